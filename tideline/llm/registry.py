@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .harmonic import pack
+from .quality_rules import verdicts
 from .token_prefix import count_tokens
 
 
@@ -23,6 +24,10 @@ def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return count_tokens(_docs(spark, sf), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return verdicts(_docs(spark, sf))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for n, f in globals().items() if n.startswith("op") and callable(f)]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
