@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .harmonic import pack
+from .quality_classifier import classify
 from .quality_rules import verdicts
 from .token_prefix import count_tokens
+from .vector_files import top_k
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -24,10 +26,19 @@ def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return count_tokens(_docs(spark, sf), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op6_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5, scale=256)
+
+
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return verdicts(_docs(spark, sf))
 
 
+def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return classify(_docs(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"), threshold=0.7)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for n, f in globals().items() if n.startswith("op") and callable(f)]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
