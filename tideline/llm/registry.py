@@ -11,6 +11,7 @@ from .harmonic import pack
 from .quality_classifier import classify
 from .quality_rules import verdicts
 from .token_prefix import count_tokens
+from .url_filter import Rule, judge
 from .vector_files import top_k
 
 
@@ -18,6 +19,20 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+#: The rules of the URL query.
+URL_RULES = [
+    Rule("block", "com/en/"),
+    Rule("allow", "example.com/en/7"),
+    Rule("allow", "net/de/"),
+    Rule("block", "example.net/de/8"),
+    Rule("block", "org/es/"),
+]
+
+
+def op3_url_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return judge(spark.read.parquet(f"{sf}/pages.parquet"), URL_RULES)
+
+
 def op4_harmonic_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(_docs(spark, sf), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=2048, with_ids=False)
 
