@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .harmonic import pack
+from .mixing import sample_sql, sample_table
 from .quality_classifier import classify
 from .quality_rules import verdicts
 from .token_prefix import count_tokens
@@ -19,6 +20,10 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return sample_table(_docs(spark, sf))
+
+
 #: The rules of the URL query.
 URL_RULES = [
     Rule("block", "com/en/"),
@@ -60,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": sample_sql()}
