@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .harmonic import pack
 from .mixing import sample_sql, sample_table
+from .near_dedup import classes
 from .quality_classifier import classify
 from .quality_rules import verdicts
+from .substring_anchors import dedup as dedup_words
 from .token_prefix import count_tokens
 from .url_filter import Rule, judge
 from .vector_files import top_k
@@ -20,6 +22,10 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return classes(_docs(spark, sf), similar=0.8, size=5)
+
+
 def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return sample_table(_docs(spark, sf))
 
@@ -55,6 +61,10 @@ def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return verdicts(_docs(spark, sf))
 
 
+def op8_fixed_block_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup_words(_docs(spark, sf), size=13, with_text=False)
+
+
 def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return classify(_docs(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"), threshold=0.7)
 
