@@ -7,12 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from .harmonic import pack
 from .mixing import sample_sql, sample_table
 from .near_dedup import classes
 from .quality_classifier import classify
 from .quality_rules import verdicts
 from .substring_anchors import dedup as dedup_words
+from .suffix_dedup import dedup as dedup_bytes
 from .token_prefix import count_tokens
 from .url_filter import Rule, judge
 from .vector_files import top_k
@@ -65,14 +68,20 @@ def op8_fixed_block_anchors(spark: SparkSession, sf: str) -> DataFrame:
     return dedup_words(_docs(spark, sf), size=13, with_text=False)
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup_bytes(_docs(spark, sf), need=400, with_text=False)
+
+
 def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return classify(_docs(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"), threshold=0.7)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for n, f in globals().items() if n.startswith("op") and callable(f)]
-    return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
+    ops = {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
+    return ops | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": sample_sql()}
+    given = {"op2_mixing": sample_sql()}
+    return given | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
