@@ -194,17 +194,16 @@ def _classes(docs: DataFrame, similar: float, size: int, bands: int, rows: int,
         spread *= 4
 
     parts = nodes.join(member, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    heads = parts.groupBy("part").agg(F.min("least").alias("class_id"), F.min("row").alias("first_row"))
-    return sketch.select("row", "id", "node"), parts.join(heads, "part").select("node", "class_id", "copies", "first_row")
+    heads = parts.groupBy("part").agg(F.min("least").alias("class_id"))
+    return sketch.select("id", "node"), parts.join(heads, "part").select("node", "class_id", "copies")
 
 
 def keep_one(docs: DataFrame, similar: float = 0.8, size: int = 5, bands: int = 24, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class, that of the least id (and of least text and other rows' place among equals); rows without words are one class, too."""
-    name = "_place"
-    while name in docs.columns:
-        name += "_"
+    """docs with one row of each class, that of the least id, and among equal ids the first in the table; rows without words are one class, too."""
+    name, kept = "_place", "_kept"
+    while {name, kept} & {*docs.columns}:
+        name, kept = name + "_", kept + "_"
     held = materialize(docs.withColumn(name, F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))), "placed")
-    sketch, found = _classes(held, similar, size, bands, rows, name, text_col)
+    _, found = _classes(held, similar, size, bands, rows, name, text_col)
     # the class's least place stays
-    keep = found.select(F.col("class_id").alias("kept")).distinct()
-    return held.join(keep, F.col(f"{name}.row") == F.col("kept.row"), "left_semi").drop(name)
+    return held.join(found.select(F.col("class_id.row").alias(kept)).distinct(), F.col(f"{name}.row") == F.col(kept), "left_semi").drop(name)

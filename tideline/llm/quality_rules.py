@@ -74,12 +74,6 @@ def _ratios(m: str) -> dict[str, Column]:
     return {"symbol_ratio": part("n_symbols", "word_chars"), "dup_line_ratio": part("n_dup_lines", "n_lines"), "repeat_ratio": part("n_repeat_words", "n_words"), "long_words": part("word_chars", "n_words")}
 
 
-def _free(docs: DataFrame, name: str) -> str:
-    while name in docs.columns:
-        name += "_"
-    return name
-
-
 def verdict(wide: DataFrame, m: str, lang_col: str, source_col: str, spread: float, accuracy: int, enough: int) -> DataFrame:
     """Adds ``kept`` to the struct ``m`` of a written table of measures."""
     sound = wide.filter(~F.col(f"{m}.base_failed"))
@@ -97,13 +91,6 @@ def verdict(wide: DataFrame, m: str, lang_col: str, source_col: str, spread: flo
     return both.select(*cols, "_own", "_all").select(*[F.col(c) if c != m else F.col(m).withField("kept", F.coalesce(good, F.lit(False))).alias(m) for c in cols])
 
 
-def _free(docs: DataFrame, name: str) -> str:
-    """A column name that docs doesn't have."""
-    while name in docs.columns:
-        name += "_"
-    return name
-
-
 def keep_good(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", spread: float = 3.0, accuracy: int = 10_000, enough: int = 50) -> DataFrame:
     """The rows of docs that the rules keep, with all of their columns, whatever those are called.
 
@@ -115,11 +102,9 @@ def keep_good(docs: DataFrame, lang_col: str = "lang", source_col: str = "source
     repeated rows count each, and an empty table gives an empty one. Texts and measures are written
     once, so that thresholds and decisions come from the same values.
     """
-    m = _free(docs, "measures")
-    lang, source = _free(docs, "_lang_of"), _free(docs, "_source_of")
-    wide = materialize(measure(docs.withColumns({lang: F.col(lang_col), source: F.col(source_col)}), m, text_col), "quality")
-    judged = verdict(wide, m, lang, source, spread, accuracy, enough)
-    return judged.filter(F.col(f"{m}.kept")).select(*docs.columns)
+    held = docs.select(F.struct(*docs.columns).alias("row"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    wide = materialize(measure(held, "m", keep=["row", "lang", "source"]), "quality")
+    return verdict(wide, "m", "lang", "source", spread, accuracy, enough).filter("m.kept").select("row.*")
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", text_col: str = "text", spread: float = 3.0, accuracy: int = 10_000, enough: int = 50) -> DataFrame:
