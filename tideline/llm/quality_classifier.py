@@ -112,17 +112,21 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit(measured: DataFrame, labels: DataFrame, id_col: str, label_col: str, most: int, pooled: float, ridge: float) -> Discriminant:
-    """Learns from at most ``most`` labelled rows of each class, those of the least id hash.
+    """Learns from about ``most`` labelled rows of each class: all, or those whose id hash is below that share.
 
     Rows held out, with a null id, or with a label other than 0 and 1 are not used. A repeated label row
-    counts once where it agrees with the others; an id with both labels is left out.
+    counts once where it agrees with the others; an id with both labels is left out. The driver gets
+    two counts and then only the sample.
     """
     y = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
     y = y.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_y"), F.max(label_col).alias("_most")).filter("_y = _most")
-    both = measured.join(y, measured[id_col] == F.col("_id")).select("features", "_y", F.xxhash64("_id").alias("_h"))
-    sample = []
-    for k in (0, 1):
-        sample += both.filter(F.col("_y") == k).orderBy("_h", "features").limit(most).select("features", "_y").collect()  # bounded by ``most``
+    both = measured.join(y, measured[id_col] == F.col("_id")).select("features", "_y", F.pmod(F.xxhash64("_id"), F.lit(1 << 30)).alias("_h"))
+    counts = {r["_y"]: r["n"] for r in y.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    below = F.lit(False)
+    for k, n in counts.items():
+        below = below | ((F.col("_y") == k) & (F.col("_h") < int(min(1.0, most / n) * (1 << 30))))
+    sample = both.filter(below).select("features", "_y").collect()
+    sample.sort(key=lambda r: (r[1], r[0]))
     return Discriminant(np.array([r[0] for r in sample]).reshape(len(sample), -1), np.array([r[1] for r in sample]), pooled, ridge)
 
 
