@@ -9,7 +9,7 @@ import pytest
 from compare import assert_equal
 from pyspark.sql import functions as F
 from tideline.llm import registry
-from tideline.llm.mixing import sample, sample_sql, sample_table
+from tideline.llm.mixing import sample, sample_table
 from tideline.llm.quality_classifier import classify
 from tideline.llm.quality_rules import keep_good, measure, verdicts
 from tideline.llm.url_filter import Rule, judge
@@ -76,9 +76,6 @@ def test_native_plans_have_no_python(spark):
         assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def test_mixing_equals_sql(spark):
-    assert_equal(spark, "/root/testdata/sf0.001", registry.op2_mixing, sample_sql())
-
 
 def test_mixing_meets_its_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

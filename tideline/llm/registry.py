@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
+from . import sql
 from .harmonic import pack
-from .mixing import sample_sql, sample_table
+from .mixing import sample_table
 from .near_dedup import classes
 from .quality_classifier import classify
 from .quality_rules import verdicts
@@ -83,5 +84,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    given = {"op2_mixing": sample_sql()}
+    given = sql.oracle_sql(URL_RULES)
     return given | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
