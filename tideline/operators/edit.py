@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..keyspec import KeySpec
-from .lookup import minus
+from .lookup import minus, present
 from .scan import global_counter, stop_at
 
 
@@ -48,6 +48,11 @@ def added(df: DataFrame, keys: KeySpec, pairs: DataFrame) -> DataFrame:
     return minus(pairs.select(*keys.names).distinct(), keys, df).agg(F.count(F.lit(1)).alias("n"))
 
 
+def removed(df: DataFrame, keys: KeySpec, gone: DataFrame) -> DataFrame:
+    """How many rows a keyed delete removes; a repeated key counts once."""
+    return present(df, keys, gone).agg(F.count(F.lit(1)).alias("n"))
+
+
 def change_if_present(df: DataFrame, keys: KeySpec, changes: DataFrame) -> DataFrame:
     """New values for keys that exist; other changes are dropped. Changes have unique keys."""
     values = [c for c in changes.columns if c not in keys.names]

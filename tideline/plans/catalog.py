@@ -365,6 +365,12 @@ def delete_keys(spark, sf):
     return _orders(spark, sf, "o_orderkey").delete_keys(read(spark, sf, "customer").select((F.col("c_custkey") * 5).alias("o_orderkey"))).df
 
 
+@query("SELECT count(*) AS n FROM orders WHERE o_orderkey IN (SELECT c_custkey * 5 FROM customer)")
+def deleted_count(spark, sf):
+    keys = read(spark, sf, "customer").select((F.col("c_custkey") * 5).alias("o_orderkey"))
+    return _orders(spark, sf, "o_orderkey").removed(keys.unionByName(keys))
+
+
 @query("SELECT o_orderkey FROM orders WHERE NOT (o_orderkey >= 50 AND o_orderkey <= 900)")
 def delete_range(spark, sf):
     return _orders(spark, sf, "o_orderkey").delete_range(50, 900, include_high=True).df

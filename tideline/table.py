@@ -216,8 +216,13 @@ class SortedTable:
         return edit.scanned(self.df, self.keys, low, high, include_high, rule, initial)
 
     def added(self, pairs: DataFrame) -> DataFrame:
+        """What set_pairs() without overwriting adds: the number of new keys."""
         return edit.added(self.df, self.keys, pairs)
 
+    def removed(self, keys: DataFrame) -> DataFrame:
+        """What delete_keys() removes: the number of keys that stand here. For a range that is count_range()."""
+        return edit.removed(self.df, self.keys, keys)
+
     # persistent forms --------------------------------------------------------
     def with_(self, row: dict, overwrite: bool = True) -> SortedTable:
         one = self.df.sparkSession.createDataFrame([tuple(row.get(c) for c in self.df.columns)], self.df.schema)
