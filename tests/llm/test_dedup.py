@@ -110,12 +110,19 @@ def test_byte_strings_of_odd_rows(odd_docs, no_docs):
 
 
 @pytest.mark.parametrize("most", [1 << 20, 4])
-def test_suffix_array(most):
+@pytest.mark.parametrize("cap", [1000, 3])
+def test_suffix_array_and_common_prefixes(most, cap):
+    """Small ``most``: many ranges, and tuples that wait on disk."""
     rng = np.random.default_rng(2)
-    for k in range(200):
+    for k in range(150):
         t = rng.integers(0, rng.integers(1, 5), rng.integers(1, 60))
-        t = np.sort(t)[::-1] if k % 3 == 0 else np.tile(t, 3) if k % 7 == 0 else t
-        assert list(suffix_array(t, most)) == sorted(range(len(t)), key=lambda i, t=list(t): t[i:])
+        t = list(np.sort(t)[::-1] if k % 3 == 0 else np.tile(t, 3) if k % 7 == 0 else t)
+        want = sorted(range(len(t)), key=lambda i, t=t: t[i:])
+        order, common = suffix_array(t, most, cap=cap)
+        assert list(order) == want
+        for n, (a, b) in enumerate(zip(want, want[1:], strict=False)):
+            same = next((x for x in range(len(t)) if max(a, b) + x >= len(t) or t[a + x] != t[b + x]), len(t))
+            assert common[n + 1] == min(same, cap)
 
 
 def test_components(spark):

@@ -2,9 +2,14 @@
 
 A text of whole numbers is sorted by its leftmost S-type suffixes: their substrings are named, the string
 of names is sorted by recursion, and two induction passes bring in the L-type and then the S-type
-suffixes. A pass pulls tuples (symbol, order of the inducing suffix, position) off a priority queue and
-pushes those of the preceding positions. Queue and passes work in bulk, one range of symbols at a
+suffixes. A pass pulls tuples (symbol, order of the inducing suffix, position, common prefix) off a priority
+queue and pushes those of the preceding positions. Queue and passes work in bulk, one range of symbols at a
 time: a range is as large as memory allows, and tuples of later ranges wait in sorted runs on disk.
+
+A tuple's common prefix is that of its inducing suffix and of the one that induced the tuple before it with
+its symbol; a suffix that is induced shares one symbol more. Where both inducing suffixes lie in the
+range at hand, it is the least common prefix between them. Recursion gives the first ones, in
+names, which are turned to symbols.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ import tempfile
 
 import numpy as np
 
-_TUPLE = np.dtype([("symbol", "<i8"), ("order", "<i8"), ("at", "<i8")])
+_TUPLE = np.dtype([("symbol", "<i8"), ("order", "<i8"), ("at", "<i8"), ("common", "<i8")])
 
 
 class DiskQueue:
@@ -26,9 +31,9 @@ class DiskQueue:
         self.count = 0
         self.runs: list[list] = []  # [memory map, place, path]
 
-    def push(self, symbol: np.ndarray, order: np.ndarray, at: np.ndarray) -> None:
+    def push(self, symbol: np.ndarray, order: np.ndarray, at: np.ndarray, common: np.ndarray) -> None:
         rows = np.empty(len(at), _TUPLE)
-        rows["symbol"], rows["order"], rows["at"] = symbol, order, at
+        rows["symbol"], rows["order"], rows["at"], rows["common"] = symbol, order, at, common
         self.fresh.append(rows)
         self.count += len(rows)
         if self.count > self.held:
@@ -74,13 +79,48 @@ def _ranges(symbols: np.ndarray, most: int) -> list[int]:
     return [int(kinds[i]) + 1 for i in last]
 
 
-def _induce(text: np.ndarray, seeds: np.ndarray, target: np.ndarray, most: int, folder: str) -> np.ndarray:
-    """Positions of seeds and targets in suffix order, from the seeds in theirs.
+class _Least:
+    """The least of values[a..b], ends included, for many a and b."""
+
+    def __init__(self, values: np.ndarray):
+        self.levels = [values]
+        while 2 << (len(self.levels) - 1) <= len(values):
+            last, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(np.minimum(last[:-half], last[half:]))
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.empty(len(a), np.int64)
+        level = np.frexp((b - a + 1).astype(float))[1] - 1
+        for k in np.unique(level):
+            own = level == k
+            out[own] = np.minimum(self.levels[k][a[own]], self.levels[k][b[own] - (1 << int(k)) + 1])
+        return out
+
+
+def _commons(symbol: np.ndarray, kind: np.ndarray, carried: np.ndarray, given: np.ndarray, runs: np.ndarray, source: np.ndarray, cap: int) -> np.ndarray:
+    """The common prefix of each suffix of a sorted range with the one before it."""
+    out = np.zeros(len(symbol), np.uint16)
+    here = np.flatnonzero(symbol[1:] == symbol[:-1]) + 1
+    now, before = kind[here], kind[here - 1]
+    value = np.where(now == 0, 1 + carried[here], np.where(now == 1, 1, np.where(before == 2, given[here], np.minimum(runs[here], runs[here - 1]))))
+    out[here] = np.minimum(value, cap)
+    inner = here[(now == 1) & (before == 1)]
+    out[inner] = cap
+    while len(inner):  # from above; each turn settles one more step of the chains
+        found = np.minimum(1 + _Least(out)(source[inner - 1] + 1, source[inner]), cap)
+        if np.array_equal(found, out[inner]):
+            break
+        out[inner] = found
+    return out
+
+
+def _induce(text: np.ndarray, seeds: np.ndarray, seed_commons: np.ndarray, target: np.ndarray, runs: np.ndarray, most: int, folder: str, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of seeds and targets in suffix order with their common prefixes, from those of the seeds.
 
     A target precedes the suffix that induces it, and its symbol is not below that one's; before seeds of its own symbol it comes first.
     """
     queue = DiskQueue(folder, most)
-    out, done, used = [], 0, 0
+    out, commons, done, used = [], [], 0, 0
     seed_symbols = text[seeds]
     members = np.concatenate([seeds, np.flatnonzero(target)])
     for end in _ranges(text[members], most):
@@ -88,40 +128,50 @@ def _induce(text: np.ndarray, seeds: np.ndarray, target: np.ndarray, most: int,
         upto = used + int(np.searchsorted(seed_symbols[used:], end))
         own = seeds[used:upto]
         at = [rows["at"], own]
-        # key within a symbol: targets induced from outside, then from inside, then seeds
+        # within a symbol: targets induced from outside, then from inside, then seeds
         order = [rows["order"], np.arange(used, upto)]
+        common = [rows["common"], seed_commons[used:upto]]
         source = [np.full(len(rows) + len(own), -1)]
         kind = [np.zeros(len(rows), np.int64), np.full(len(own), 2)]
         used = upto
         front, base = np.concatenate(at), 0
         while len(front):
             prior = front - 1
-            inside = (prior >= 0) & target[prior] & (text[prior] < end)
+            inside = np.flatnonzero((prior >= 0) & target[prior] & (text[prior] < end))
             at.append(prior[inside])
-            source.append(base + np.flatnonzero(inside))
-            order.append(np.zeros(int(inside.sum()), np.int64))
-            kind.append(np.ones(int(inside.sum()), np.int64))
+            source.append(base + inside)
+            order.append(np.zeros(len(inside), np.int64))
+            common.append(order[-1])
+            kind.append(np.ones(len(inside), np.int64))
             base, front = base + len(front), prior[inside]
-        at, order, source, kind = (np.concatenate(x) for x in (at, order, source, kind))
+        at, order, source, kind, common = (np.concatenate(x) for x in (at, order, source, kind, common))
         first = text[at] * 3 + kind
         within = source >= 0
         rank = np.zeros(len(at), np.int64)
-        order[within] = at[within] * 0
         while True:  # each turn settles the suffixes one more step away from what is known
             before = rank
             sequence = np.lexsort((order, first))
             rank = np.empty(len(at), np.int64)
             rank[sequence] = np.arange(len(at))
-            if np.array_equal(rank, before) or not within.any():
+            if not within.any() or np.array_equal(rank, before):
                 break
             order[within] = rank[source[within]]
-        at = at[sequence]
+        place = np.where(within, rank[source], -1)[sequence]
+        at, kind, common = at[sequence], kind[sequence], common[sequence]
+        shared = _commons(text[at], kind, common, common, runs[at], place, cap)
         prior = at - 1
         ahead = np.flatnonzero((prior >= 0) & target[prior] & (text[prior] >= end))
-        queue.push(text[prior[ahead]], done + ahead, prior[ahead])
+        by = np.argsort(text[prior[ahead]], kind="stable")
+        carried = np.zeros(len(ahead), np.int64)
+        a, b = ahead[by[:-1]], ahead[by[1:]]
+        alike = np.flatnonzero(text[prior[a]] == text[prior[b]])
+        if len(alike):
+            carried[by[alike + 1]] = _Least(shared)(a[alike] + 1, b[alike])
+        queue.push(text[prior[ahead]], done + ahead, prior[ahead], carried)
         out.append(at)
+        commons.append(shared)
         done += len(at)
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+    return (np.concatenate(out), np.concatenate(commons)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint16))
 
 
 def _names(text: np.ndarray, small: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -146,33 +196,52 @@ def _names(text: np.ndarray, small: np.ndarray, starts: np.ndarray) -> np.ndarra
     return name
 
 
-def suffix_array(text: np.ndarray, most: int = 1 << 22, folder: str | None = None) -> np.ndarray:
-    """Start positions of the suffixes in their order. ``most`` is the suffixes that a range holds in memory.
+def suffix_array(text: np.ndarray, most: int = 1 << 22, folder: str | None = None, cap: int = (1 << 16) - 2) -> tuple[np.ndarray, np.ndarray]:
+    """Start positions of the suffixes in their order, and the common prefix of each with the one before it, up to ``cap``.
 
-    Spilled runs go to a folder of this task alone, which is removed at the end.
+    ``most`` is the suffixes that a range holds in memory. Spilled runs go to a folder of this task alone, which is removed at the end.
     """
     with tempfile.TemporaryDirectory(dir=folder) as own:
-        kinds, dense = np.unique(np.asarray(text, np.int64), return_inverse=True)
-        return _sort(np.append(dense.astype(np.int64) + 1, 0), most, own)[1:]
+        _, dense = np.unique(np.asarray(text, np.int64), return_inverse=True)
+        order, common = _sort(np.append(dense.astype(np.int64) + 1, 0), most, own, cap)
+        return order[1:], common[1:]
+
+
+def _in_symbols(text: np.ndarray, starts: np.ndarray, order: np.ndarray, names: np.ndarray, cap: int) -> np.ndarray:
+    """Common prefixes of neighbouring suffixes of the string of names, in symbols of the text."""
+    out = np.zeros(len(order), np.int64)
+    a, b = order[:-1], order[1:]
+    out[1:] = starts[np.minimum(a + names[1:], len(starts) - 1)] - starts[a]
+    live = np.flatnonzero(out[1:] < cap)
+    while len(live):
+        x, y = starts[a[live]] + out[live + 1], starts[b[live]] + out[live + 1]
+        live = live[text[x] == text[y]]  # the closing 0 is unlike all others
+        out[live + 1] += 1
+        live = live[out[live + 1] < cap]
+    return np.minimum(out, cap)
 
 
-def _sort(text: np.ndarray, most: int, folder: str) -> np.ndarray:
+def _sort(text: np.ndarray, most: int, folder: str, cap: int) -> tuple[np.ndarray, np.ndarray]:
     """``text`` ends with its one 0, the least symbol."""
     n = len(text)
     if n == 1:
-        return np.zeros(1, np.int64)
+        return np.zeros(1, np.int64), np.zeros(1, np.int64)
     differs = np.flatnonzero(text[:-1] != text[1:])
     nxt = differs[np.searchsorted(differs, np.arange(n - 1))]
     small = np.append(text[nxt] < text[nxt + 1], True)
+    runs = np.append(nxt - np.arange(n - 1) + 1, 1)
     starts = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     names = _names(text, small, starts)
     if names.max() + 1 < len(names):
-        seeds = starts[_sort(names, most, folder)]  # the last start is the closing 0, whose name is the least and its own
+        order, named = _sort(names, most, folder, cap)  # the last start is the closing 0, whose name is the least and its own
     else:
-        seeds = starts[np.argsort(names)]
+        order, named = np.argsort(names), np.zeros(len(names), np.int64)
     big = ~small
-    both = _induce(text, seeds, big, most, folder)
-    down = both[big[both]][::-1]
+    both, common = _induce(text, starts[order], _in_symbols(text, starts, order, named.astype(np.int64), cap), big, runs, most, folder, cap)
+    kept = np.flatnonzero(big[both])
+    between = np.zeros(len(kept), np.int64)
+    if len(kept) > 1:
+        between[1:] = np.minimum.reduceat(common, kept + 1 if kept[-1] + 1 < len(both) else kept[:-1] + 1)[: len(kept) - 1]
     top = int(text.max())
-    up = _induce(top - text, down, small & (np.arange(n) < n - 1), most, folder)
-    return np.append(n - 1, up[::-1])
+    up, common = _induce(top - text, both[kept][::-1], np.append(0, between[1:][::-1])[: len(kept)], small & (np.arange(n) < n - 1), runs, most, folder, cap)
+    return np.append(n - 1, up[::-1]), np.concatenate([[0], [0] * (len(up) > 0), common[1:][::-1].astype(np.int64)])

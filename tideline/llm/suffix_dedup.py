@@ -193,16 +193,14 @@ def sort_pieces(pieces: np.ndarray, sides: np.ndarray, step: int, most: int) ->
     is_start = np.full(len(text), -1, np.int64)
     starts = pieces["starts"].astype(np.int64)
     is_start[_ragged(start, starts)] = np.repeat(np.arange(len(pieces)), starts)
-    order = suffix_array(text, most)
-    order = order[is_start[order] >= 0]
-    # the common prefix of neighbours, as far as a string reaches
-    alike, place = np.arange(len(order) - 1), 0
-    while place < step and len(alike):
-        alike = alike[text[order[alike] + place] == text[order[alike + 1] + place]]
-        place += 1
-    repeats = np.zeros(len(order), bool)
+    order, common = suffix_array(text, most, cap=step)
+    at = np.flatnonzero(is_start[order] >= 0)
+    # the common prefix of neighbouring starts is the least of all between them
+    shared = np.minimum.reduceat(common, at + 1 if at[-1] + 1 < len(order) else at[:-1] + 1)[: len(at) - 1] if len(at) > 1 else np.zeros(0, np.int64)
+    alike = np.flatnonzero(shared >= step)
+    repeats = np.zeros(len(at), bool)
     repeats[alike] = repeats[alike + 1] = True
-    hits = order[repeats]
+    hits = order[at[repeats]]
     mask = np.zeros(len(pieces), U64)
     np.bitwise_or.at(mask, is_start[hits], U64(1) << (hits - start[is_start[hits]]).astype(U64))
     return mask
