@@ -6,7 +6,7 @@ import pytest
 from tideline.llm import exchange
 from tideline.llm.components import components
 from tideline.llm.induced_sort import suffix_array
-from tideline.llm.near_dedup import arrow, classes, keep_one, signatures
+from tideline.llm.near_dedup import arrow, classes, keep_one, links_within, signatures
 from tideline.llm.substring_anchors import dedup as word_dedup
 from tideline.llm.suffix_dedup import dedup as byte_dedup
 from tideline.llm.suffix_dedup import without_repeats
@@ -132,3 +132,30 @@ def test_components(spark):
     want = brute.roots(real, {x for e in real for x in e})
     assert {r.node: r.component for r in components(spark.createDataFrame(edges, "a int, b int")).collect()} == want
     assert components(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+def test_links_within_blocks_equal_brute_force():
+    rng = random.Random(8)
+    base = [rng.choice("abcdefgh") for _ in range(60)]
+    texts, group, block = [], [], []
+    for g in range(12):
+        for _ in range(rng.randint(1, 30)):
+            w = base[: rng.randint(0, 60)]
+            for _ in range(rng.randint(0, 6)):
+                if w:
+                    w[rng.randrange(len(w))] = rng.choice("abcdefgh")
+            texts.append(" ".join(w).encode())
+            group.append(g)
+            block.append(rng.randint(0, g % 2))
+    part = list(range(len(texts)))
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = links_within(np.frombuffer(b"".join(texts), np.uint8), offsets, np.array(group), np.array(block), np.array(part), 5, 0.8)
+    sets = [brute.shingles(t.decode()) for t in texts]
+    crossed = {g: len({b for b, h in zip(block, group, strict=True) if h == g}) > 1 for g in group}
+    near = [(i, j) for i in part for j in range(i) if group[i] == group[j] and (not crossed[group[i]] or block[i] != block[j]) and total(sets[i]) and total(sets[j]) and brute.jaccard(sets[i], sets[j]) >= 0.8]
+    assert {frozenset(p) for p in got} <= {frozenset(p) for p in near}
+    assert brute.roots(got, part) == brute.roots(near, part)
+
+
+def total(c):
+    return sum(c.values())

@@ -81,16 +81,17 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int,
     return ids.reshape(n, m)
 
 
-def similarity(a: bytes, b: bytes, size: int) -> float:
-    """Weighted Jaccard of two texts' shingles; two texts without words are alike."""
-    data = np.frombuffer(a + b, np.uint8)
-    doc, h, c, _ = shingles(data, np.array([0, len(a), len(data)]), size)
-    if not len(h):
-        return 1.0
-    n = np.bincount(doc, c, 2)
-    _, left, right = np.intersect1d(h[doc == 0], h[doc == 1], assume_unique=True, return_indices=True)
-    both = np.minimum(c[doc == 0][left], c[doc == 1][right]).sum()
-    return float(both / (n.sum() - both))
+def similarities(data: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
+    """Weighted Jaccard of the shingles of texts 0 and 1, 2 and 3, and so on; two texts without words are alike."""
+    doc, h, c, _ = shingles(data, offsets, size)
+    pairs = len(offsets) // 2
+    pair = doc >> 1
+    total = np.bincount(pair, c, pairs)
+    order = np.lexsort((h, pair))
+    p, h, c = pair[order], h[order], c[order]
+    same = (p[1:] == p[:-1]) & (h[1:] == h[:-1])
+    both = np.bincount(p[1:][same], np.minimum(c[1:], c[:-1])[same], pairs)
+    return np.where(total > 0, both / np.maximum(total - both, 1), 1.0)
 
 
 def _sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
@@ -126,14 +127,138 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = [similarity(x.encode(), y.encode(), size) >= least for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            # each pair's texts one after the other, in runs of whole pairs
+            sizes = b.column("sizes").flatten().to_numpy().astype(np.int64)
+            both = np.concatenate([[0], np.cumsum(sizes)])[::2]
+            x, y = (b.column(n).to_pylist() for n in "xy")
+            good, i = [], 0
+            while i < len(b):
+                j = min(len(b), max(i + 1, int(np.searchsorted(both, both[i] + (2 << 20), "right")) - 1))
+                data = np.frombuffer(b"".join(t for k in range(i, j) for t in (x[k], y[k])), np.uint8)
+                good.append(similarities(data, np.concatenate([[0], np.cumsum(sizes[2 * i : 2 * j])]), size) >= least)
+                i = j
+            if good:
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(np.concatenate(good)))
 
-    side = lambda k, t: texts.select(F.col("node").alias(k), F.col("text").alias(t))
+    side = lambda k, t: texts.select(F.col("node").alias(k), F.col("text").cast("binary").alias(t))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    both = both.select("a", "b", "x", "y", F.array(F.octet_length("x"), F.octet_length("y")).alias("sizes"))
     return materialize(both.mapInArrow(run, "a string, b string"), "verified")
 
 
+def links_within(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, block: np.ndarray, part: np.ndarray, size: int, least: float) -> list[tuple[int, int]]:
+    """Links (i, j) between parts, for texts sorted by group: enough of them to connect all parts that any link connects.
+
+    Texts of one group are compared with each other, or, if they are of two blocks, with those of the other block. Overlaps
+    come from products of the matrix of texts and shared shingles, so no pair has a row of its own.
+    """
+    doc, h, c, _ = shingles(data, offsets, size)
+    n = len(group)
+    total = np.bincount(doc, c, n)
+    copy = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+    doc, key = np.repeat(doc, c), arrow.mix(np.repeat(h, c) + copy.astype(U64) * U64(0x9E3779B97F4A7C15))
+    owner = group[doc]
+    order = np.lexsort((key, owner))
+    doc, key, owner = doc[order], key[order], owner[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))[: len(key)]
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column, minlength=1)[column] > 1  # a shingle of one text only overlaps with nothing
+    doc, column, owner = doc[shared], column[shared], owner[shared]
+    found: list[tuple[int, int]] = []
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    for lo, hi in zip(starts, np.append(starts[1:], n), strict=True):
+        a, b = np.searchsorted(owner, [group[lo], group[lo] + 1])
+        d, col = doc[a:b] - lo, column[a:b]
+        if not len(d):
+            continue
+        col = np.cumsum(np.append(0, col[1:] != col[:-1]))
+        t, p, blk = total[lo:hi], part[lo:hi], block[lo:hi]
+        crossed = blk.min() != blk.max()
+        root = {}
+
+        def find(x, root=root):
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        for s in range(0, hi - lo, 512):
+            e = min(s + 512, hi - lo)
+            overlap = np.zeros((e - s, hi - lo), np.float32)
+            for k in range(0, int(col[-1]) + 1, 1024):
+                x, y = np.searchsorted(col, [k, k + 1024])
+                grid = np.zeros((hi - lo, min(1024, int(col[-1]) + 1 - k)), np.float32)
+                grid[d[x:y], col[x:y] - k] = 1
+                overlap += grid[s:e] @ grid.T
+            near = overlap * (1 + least) >= least * (t[s:e, None] + t[None, :]) - 1e-9
+            near &= p[s:e, None] != p[None, :]
+            if crossed:
+                near &= blk[s:e, None] != blk[None, :]
+            i, j = np.nonzero(near)
+            if len(i):
+                _, one = np.unique(np.stack([p[s + i], p[j]], 1), axis=0, return_index=True)
+                for q in one:
+                    x, y = find(p[s + i[q]]), find(p[j[q]])
+                    if x != y:
+                        root[x] = y
+                        found.append((int(lo + s + i[q]), int(lo + j[q])))
+    return found
+
+
+def _settle(cells: DataFrame, member: DataFrame, reps: DataFrame, size: int, least: float) -> DataFrame:
+    """Links that the stars miss: documents that meet in a cell are compared if the cell holds more than one class.
+
+    A cell's documents are a group. Cells of many documents that share some are one group, so that a text
+    that meets the same ones in many cells is compared once. Groups are cut into blocks of bounded size, and
+    each two blocks meet in a task.
+    """
+    here = cells.join(member, "node", "left").select("cell", "node", "total", F.coalesce("component", "node").alias("part"))
+    span = here.groupBy("cell").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("cell", "n")
+    here = materialize(here.join(span, "cell"), "open")
+    large = here.filter("n > 256")
+    joint = components(large.select(F.concat(F.lit("c"), "cell").alias("a"), F.concat(F.lit("n"), "node").alias("b")))
+    joined = large.select("node", "total", "part").distinct().join(joint.select(F.substr("node", F.lit(2)).alias("node"), F.col("component").alias("grp")), "node")
+    small = here.filter("n <= 256").select(F.concat(F.lit("c"), "cell").alias("grp"), "node", "total", "part")
+    members = materialize(small.unionByName(joined.select("grp", "node", "total", "part")), "groups")
+    blocks = members.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / 2048), F.ceil(F.sum("total") / (1 << 20)), F.lit(1)).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("grp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "part")
+    texts = reps.select("node", F.col("text").cast("binary").alias("text")).join(members.select("node").distinct(), "node", "left_semi")
+    dealt = dealt.join(texts, "node").repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(t: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+            texts = t.column("text").to_pylist()
+            _, part = np.unique(np.array(t.column("part").to_pylist()), return_inverse=True)
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+            got = links_within(np.frombuffer(b"".join(texts), np.uint8), offsets, group, t.column("own").to_numpy(), part, size, least)
+            node = t.column("node").to_pylist()
+            return pa.RecordBatch.from_arrays([pa.array([node[i] for i, _ in got], pa.string()), pa.array([node[j] for _, j in got], pa.string())], ["a", "b"])
+
+        def groups(t: pa.Table) -> np.ndarray:
+            keys = list(zip(*[t.column(c).to_pylist() for c in ("grp", "lo", "hi")], strict=True))
+            return np.cumsum([0] + [x != y for x, y in zip(keys[1:], keys[:-1], strict=True)]) if keys else np.zeros(0, np.int64)
+
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            g = groups(t)
+            size_of = np.cumsum([0] + [len(x.as_py()) for x in t.column("text")])
+            i = 0
+            last = int(np.searchsorted(g, g[-1])) if len(g) else 0  # the last group may go on in the next batch
+            while i < last:
+                j = int(np.searchsorted(size_of, size_of[i] + (2 << 20)))
+                j = last if j >= last else max(int(np.searchsorted(g, g[j])), int(np.searchsorted(g, g[i], "right")))
+                yield links(t.slice(i, j - i), g[i:j])
+                i = j
+            held = t.slice(last)
+        if held is not None and len(held):
+            yield links(held, groups(held))
+
+    return materialize(dealt.mapInArrow(run, "a string, b string"), "settled")
+
+
 def classes(docs: DataFrame, similar: float = 0.8, size: int = 5, bands: int = 24, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: (id, class_id, copies).
 
@@ -141,7 +266,8 @@ def classes(docs: DataFrame, similar: float = 0.8, size: int = 5, bands: int = 2
     weighted Jaccard similarity of at least ``similar``; ``copies`` counts the rows of the same words. Rows of the same words are
     one node from the start, so copies never meet each other. A pair of the least similarity shares no band
     with the chance (1 - similar ** rows) ** bands, 3e-6 as set here; every pair that shares one is
-    decided by its multisets, unless its documents are in one class already.
+    decided by its multisets, unless its documents are in one class already. First each document is compared with
+    one leader of each of its cells; then the cells that still hold more than one class are compared in blocks.
 
     A null text has no words and is one class with other texts without words; a class of rows without ids
     has a null class_id; repeated rows are copies; an empty table gives no rows; other columns are not read.
@@ -164,34 +290,9 @@ def _classes(docs: DataFrame, similar: float, size: int, bands: int, rows: int,
     links = _verified(pairs, texts, size, similar)
     member = materialize(components(links), "members")
 
-    # What a star leaves open: documents that meet in a cell, are in different classes and have not been compared. All
-    # pairs between classes have an end outside of the cell's largest class, so those ends are leaders in turn.
-    spent, spread = None, 16
-    while True:
-        here = cells.select("cell", "node", "total").join(member, "node", "left").select("cell", "node", "total", F.coalesce("component", "node").alias("part"))
-        by_part = here.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("k"))
-        largest = by_part.groupBy("cell").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
-        here = materialize(here.join(largest, "cell"), "open")
-        ends = here.filter("part <> main")
-        if spent is not None:
-            ends = ends.join(spent, ["cell", "node"], "left_anti")
-        ends = ends.groupBy("cell", F.pmod(F.xxhash64("node"), F.lit(spread)).alias("g")).agg(F.min(F.struct("node", "total", "part")).alias("l"))
-        ends = materialize(ends.select("cell", F.col("l.node").alias("leader"), F.col("l.total").alias("leader_total"), F.col("l.part").alias("leader_part")), "ends")
-        if ends.isEmpty():
-            break
-        open_ = here.join(ends, "cell").filter(near & (F.col("part") != F.col("leader_part")))
-        again = open_.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
-        again = materialize(again.join(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-        if not again.isEmpty():
-            texts = reps.select("node", "text").join(again.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-            more = _verified(again, texts, size, similar)
-            pairs = pairs.select("a", "b").unionByName(again)
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                member = materialize(components(links), "members")
-        done = ends.select("cell", F.col("leader").alias("node"))
-        spent = done if spent is None else spent.unionByName(done)
-        spread *= 4
+    more = _settle(cells, member, reps, size, similar)
+    if not more.isEmpty():
+        member = materialize(components(links.unionByName(more)), "members")
 
     parts = nodes.join(member, "node", "left").withColumn("part", F.coalesce("component", "node"))
     heads = parts.groupBy("part").agg(F.min("least").alias("class_id"))
