@@ -8,6 +8,7 @@ however often it stands in the batch, and no row is ever made for a pair.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import scratch_path
 from . import arrow
 
 U64 = np.uint64
@@ -27,7 +28,11 @@ _BATCH = "batch bigint, ids array<bigint>, known array<boolean>, sizes array<big
 
 
 def write_batches(docs: DataFrame, id_col: str, text_col: str, most: int = 1 << 20) -> DataFrame:
-    """docs as a written table of batches: (batch, ids, known, sizes, data). A null text is empty; ids are whole numbers or null (``known`` false)."""
+    """docs as a table of batches in buckets of the batch number: (batch, ids, known, sizes, data).
+
+    Replies join it on the batch number, several times; in buckets the texts are moved once, when they are written. A null
+    text is empty; ids are whole numbers or null (``known`` false).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n = TaskContext.get().partitionId() << 32, 0
@@ -61,7 +66,11 @@ def write_batches(docs: DataFrame, id_col: str, text_col: str, most: int = 1 <<
             yield out()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, _BATCH), "batches")
+    spark = docs.sparkSession
+    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"tideline_batches_{uuid.uuid4().hex}"
+    dealt = rows.mapInArrow(run, _BATCH).repartition(buckets, "batch")
+    dealt.write.bucketBy(buckets, "batch").sortBy("batch").option("path", scratch_path(spark, "batches")).saveAsTable(name)
+    return spark.table(name)
 
 
 class Batch:
