@@ -8,12 +8,15 @@ executor costs a re-read and never a result.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_recording: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,10 +33,23 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; removed when the driver's Python ends."""
     path = f"{shared_dir(spark)}/tideline/{name}-{uuid.uuid4().hex}"
+    for made in _recording:
+        made.append(path)
     atexit.register(remove, spark, path)
     return path
 
 
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The scratch paths that are made inside."""
+    made: list[str] = []
+    _recording.append(made)
+    try:
+        yield made
+    finally:
+        _recording[:] = [x for x in _recording if x is not made]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch path through Hadoop's file system API; a stopped session leaves nothing to do."""
     try:
