@@ -8,13 +8,14 @@ however often it stands in the batch, and no row is ever made for a pair.
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import scratch_path
@@ -70,9 +71,18 @@ def write_batches(docs: DataFrame, id_col: str, text_col: str, most: int = 1 <<
     buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"tideline_batches_{uuid.uuid4().hex}"
     dealt = rows.mapInArrow(run, _BATCH).repartition(buckets, "batch")
     dealt.write.bucketBy(buckets, "batch").sortBy("batch").option("path", scratch_path(spark, "batches")).saveAsTable(name)
+    atexit.register(_forget, spark, name)
     return spark.table(name)
 
 
+def _forget(spark: SparkSession, name: str) -> None:
+    """Take the table out of the catalog when the driver's Python ends; its files go with the other scratch tables."""
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # noqa: BLE001  the session has stopped, and an in-memory catalog with it
+        return
+
+
 class Batch:
     """One row of write_batches() as arrays."""
 

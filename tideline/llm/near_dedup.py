@@ -10,13 +10,14 @@ propose pairs and the multisets themselves decide.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import materialize
 from . import arrow
@@ -94,8 +95,8 @@ def similarities(data: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray
     return np.where(total > 0, both / np.maximum(total - both, 1), 1.0)
 
 
-def _sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
-    """(row, id, node, total, bands, text): ``row`` numbers the rows, ``node`` is the fingerprint, ``total`` the shingles."""
+def _sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int, carried: Column) -> DataFrame:
+    """(row, id, print, total, bands, carried): ``row`` numbers the rows, ``print`` is the fingerprint, ``total`` the shingles."""
     m = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,13 +114,13 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int,
                     mixed = arrow.mix(mixed ^ sig[:, :, r]) * U64(0x9FB21C651E98DF25)
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * bands), pa.array(mixed.ravel().view(np.int64)))
                 node = pa.array([f"{x:016x}{y:016x}" for x, y in prints.tolist()], pa.string())
-                cols = [pa.array(np.arange(base + n, base + n + k)), b.column(0).slice(i, k), node, pa.array(total), listed, b.column(1).slice(i, k)]
+                cols = [pa.array(np.arange(base + n, base + n + k)), b.column(0).slice(i, k), node, pa.array(total), listed, b.column(2).slice(i, k)]
                 n += k
-                yield pa.RecordBatch.from_arrays(cols, ["row", "id", "node", "total", "bands", "text"])
+                yield pa.RecordBatch.from_arrays(cols, ["row", "id", "print", "total", "bands", "carried"])
 
-    rows_in = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    return rows_in.mapInArrow(run, f"row bigint, id {kind}, node string, total bigint, bands array<bigint>, text string")
+    rows_in = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), carried.alias("carried"))
+    fields = [T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("print", T.StringType()), T.StructField("total", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), rows_in.schema["carried"]]
+    return rows_in.mapInArrow(run, T.StructType(fields))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
@@ -143,7 +144,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Da
     side = lambda k, t: texts.select(F.col("node").alias(k), F.col("text").cast("binary").alias(t))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     both = both.select("a", "b", "x", "y", F.array(F.octet_length("x"), F.octet_length("y")).alias("sizes"))
-    return materialize(both.mapInArrow(run, "a string, b string"), "verified")
+    return materialize(both.mapInArrow(run, "a bigint, b bigint"), "verified")
 
 
 def links_within(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, block: np.ndarray, part: np.ndarray, size: int, least: float) -> list[tuple[int, int]]:
@@ -216,7 +217,7 @@ def _settle(cells: DataFrame, member: DataFrame, reps: DataFrame, size: int, lea
     here = materialize(here.join(span, "cell"), "open")
     large = here.filter("n > 256")
     joint = components(large.select(F.concat(F.lit("c"), "cell").alias("a"), F.concat(F.lit("n"), "node").alias("b")))
-    joined = large.select("node", "total", "part").distinct().join(joint.select(F.substr("node", F.lit(2)).alias("node"), F.col("component").alias("grp")), "node")
+    joined = large.select("node", "total", "part").distinct().join(joint.select(F.substr("node", F.lit(2)).cast("bigint").alias("node"), F.col("component").alias("grp")), "node")
     small = here.filter("n <= 256").select(F.concat(F.lit("c"), "cell").alias("grp"), "node", "total", "part")
     members = materialize(small.unionByName(joined.select("grp", "node", "total", "part")), "groups")
     blocks = members.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / 2048), F.ceil(F.sum("total") / (1 << 20)), F.lit(1)).cast("int").alias("blocks"))
@@ -233,7 +234,7 @@ def _settle(cells: DataFrame, member: DataFrame, reps: DataFrame, size: int, lea
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
             got = links_within(np.frombuffer(b"".join(texts), np.uint8), offsets, group, t.column("own").to_numpy(), part, size, least)
             node = t.column("node").to_pylist()
-            return pa.RecordBatch.from_arrays([pa.array([node[i] for i, _ in got], pa.string()), pa.array([node[j] for _, j in got], pa.string())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([node[i] for i, _ in got], pa.int64()), pa.array([node[j] for _, j in got], pa.int64())], ["a", "b"])
 
         def groups(t: pa.Table) -> np.ndarray:
             keys = list(zip(*[t.column(c).to_pylist() for c in ("grp", "lo", "hi")], strict=True))
@@ -256,7 +257,7 @@ def _settle(cells: DataFrame, member: DataFrame, reps: DataFrame, size: int, lea
         if held is not None and len(held):
             yield links(held, groups(held))
 
-    return materialize(dealt.mapInArrow(run, "a string, b string"), "settled")
+    return materialize(dealt.mapInArrow(run, "a bigint, b bigint"), "settled")
 
 
 def classes(docs: DataFrame, similar: float = 0.8, size: int = 5, bands: int = 24, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,39 +273,40 @@ def classes(docs: DataFrame, similar: float = 0.8, size: int = 5, bands: int = 2
     A null text has no words and is one class with other texts without words; a class of rows without ids
     has a null class_id; repeated rows are copies; an empty table gives no rows; other columns are not read.
     """
-    sketch, found = _classes(docs, similar, size, bands, rows, id_col, text_col)
-    return sketch.join(found, "node").select(F.col("id").alias(id_col), "class_id", "copies")
+    sketch, found = _classes(docs, similar, size, bands, rows, id_col, text_col, F.coalesce(F.col(text_col), F.lit("")), lambda carried: carried)
+    return sketch.select("id", "print").join(found, "print").select(F.col("id").alias(id_col), F.col("least.id").alias("class_id"), "copies")
 
 
-def _classes(docs: DataFrame, similar: float, size: int, bands: int, rows: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    sketch = materialize(_sketch(docs, id_col, text_col, size, bands, rows), "sketch")
-    nodes = sketch.groupBy("node").agg(F.min("row").alias("row"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("total").alias("total"))
+def _classes(docs: DataFrame, similar: float, size: int, bands: int, rows: int, id_col: str, text_col: str, carried: Column, text_of: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """The sketch of docs, and (print, least, copies): ``least`` is the first row (no id last; id; row) of the class."""
+    sketch = materialize(_sketch(docs, id_col, text_col, size, bands, rows, carried), "sketch")
+    place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))
+    nodes = sketch.groupBy("print").agg(F.min("row").alias("node"), F.min(place).alias("least"), F.count(F.lit(1)).alias("copies"), F.max("total").alias("total"))
     nodes = materialize(nodes, "nodes")
-    reps = sketch.join(nodes.filter("total > 0").select("row"), "row", "left_semi")
+    # a node goes by the number of its first row
+    every = sketch.select(F.col("row").alias("node"), "total", "bands", text_of(F.col("carried")).alias("text"))
+    reps = every.join(nodes.filter("total > 0").select("node"), "node", "left_semi")
     cells = reps.select("node", "total", F.explode("bands").alias("cell"))
     met = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader"), F.min_by("total", "node").alias("leader_total")).filter("n > 1")
     cells = materialize(cells.join(met, "cell"), "cells")  # only cells where documents meet
     near = F.least("total", "leader_total") >= F.greatest("total", "leader_total") * F.lit(similar) - F.lit(1e-9)
     pairs = materialize(cells.filter(near & (F.col("node") != F.col("leader"))).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
-    texts = reps.select("node", "text").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    texts = every.select("node", "text").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
     links = _verified(pairs, texts, size, similar)
     member = materialize(components(links), "members")
 
-    more = _settle(cells, member, reps, size, similar)
+    more = _settle(cells, member, every, size, similar)
     if not more.isEmpty():
         member = materialize(components(links.unionByName(more)), "members")
 
     parts = nodes.join(member, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    heads = parts.groupBy("part").agg(F.min("least").alias("class_id"))
-    return sketch.select("id", "node"), parts.join(heads, "part").select("node", "class_id", "copies")
+    heads = parts.groupBy("part").agg(F.min("least").alias("least"))
+    return sketch, parts.select("print", "part", "copies").join(heads, "part").select("print", "least", "copies")
 
 
 def keep_one(docs: DataFrame, similar: float = 0.8, size: int = 5, bands: int = 24, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class, that of the least id, and among equal ids the first in the table; rows without words are one class, too."""
-    name, kept = "_place", "_kept"
-    while {name, kept} & {*docs.columns}:
-        name, kept = name + "_", kept + "_"
-    held = materialize(docs.withColumn(name, F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))), "placed")
-    _, found = _classes(held, similar, size, bands, rows, name, text_col)
-    # the class's least place stays
-    return held.join(found.select(F.col("class_id.row").alias(kept)).distinct(), F.col(f"{name}.row") == F.col(kept), "left_semi").drop(name)
+    text = lambda carried: F.coalesce(carried[text_col], F.lit(""))
+    sketch, found = _classes(docs, similar, size, bands, rows, id_col, text_col, F.struct(*docs.columns), text)
+    kept = found.select(F.col("least.row").alias("row")).distinct()
+    return sketch.join(kept, "row", "left_semi").select("carried.*")

@@ -83,6 +83,7 @@ def verdict(wide: DataFrame, m: str, lang_col: str, source_col: str, spread: flo
     fence = lambda q, n: q[1] + spread * (q[1] - q[0]) + SLACK[n]
     limits = groups.select("_lang", "_source", F.struct(*[F.when(F.col("_n") >= enough, fence(F.col(n), n)).alias(n) for n in SLACK]).alias("_own"))
     overall = overall.select(F.struct(*[fence(F.col(n), n).alias(n) for n in SLACK]).alias("_all"))
+    limits = materialize(limits, "fences")  # written, its size is known before the join is planned
     cols = wide.columns
     both = wide.join(limits, F.col(lang_col).eqNullSafe(F.col("_lang")) & F.col(source_col).eqNullSafe(F.col("_source")), "left").join(F.broadcast(overall), F.lit(True), "left")
     good = ~F.col(f"{m}.base_failed")
