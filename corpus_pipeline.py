@@ -6,6 +6,8 @@ All but the last return the columns of documents.
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from tideline.llm.mixing import sample
 from tideline.llm.near_dedup import keep_one
 from tideline.llm.quality_rules import keep_good
 from tideline.llm.suffix_dedup import without_repeats
-from tideline.storage import materialize
+from tideline.storage import materialize, recorded, remove
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +45,32 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=2048, with_ids=False)
 
 
+_left: list[str] = []
+
+
+def _tidy(stage):
+    """Removes what the stage before has left, once a stage gets its written result as docs."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles()
+        for path in [p for p in _left if not any(p.rpartition("/")[2] in f for f in read)]:
+            remove(spark, path)
+            _left.remove(path)
+        with recorded() as made:
+            out = stage(spark, docs, sf_dir)
+        _left.extend(made)
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("quality rules", quality_rules),
-    ("near dedup", near_dedup),
-    ("suffix-array dedup", suffix_array_dedup),
-    ("mixing", mixing),
-    ("packing", packing),
+    ("quality rules", _tidy(quality_rules)),
+    ("near dedup", _tidy(near_dedup)),
+    ("suffix-array dedup", _tidy(suffix_array_dedup)),
+    ("mixing", _tidy(mixing)),
+    ("packing", _tidy(packing)),
 ]
 
 #: Signatures, suffix sorting and the tokenizer are not SQL; tests hold each stage against brute force.
