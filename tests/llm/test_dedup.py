@@ -6,7 +6,7 @@ import pytest
 from tideline.llm import exchange
 from tideline.llm.components import components
 from tideline.llm.induced_sort import suffix_array
-from tideline.llm.near_dedup import arrow, classes, keep_one, links_within, signatures
+from tideline.llm.near_dedup import _settle, arrow, classes, keep_one, links_within, signatures
 from tideline.llm.substring_anchors import dedup as word_dedup
 from tideline.llm.suffix_dedup import dedup as byte_dedup
 from tideline.llm.suffix_dedup import without_repeats
@@ -157,5 +157,35 @@ def test_links_within_blocks_equal_brute_force():
     assert brute.roots(got, part) == brute.roots(near, part)
 
 
+def test_links_at_exactly_the_least_similarity():
+    """Overlap 4 of 4 and 5, 96 of 108 and 108, and many more pairs of exactly 0.8, and pairs just below it."""
+    texts, want = [], []
+    for n in [4, *range(8, 400, 4)]:
+        w = [f"w{i}" for i in range(2 * n + 8)]
+        texts += [w[: n + 4], w[: n + n // 4 + 4], w[: n + 4], w[: n + n // 4 + 5]]  # n of n and n / 4 more; one more still
+        want.append((len(texts) - 4, len(texts) - 3))
+    w = [f"v{i}" for i in range(200)]
+    texts += [w[:112], w[12:124]]
+    want.append((len(texts) - 2, len(texts) - 1))
+    data = [" ".join(t).encode() for t in texts]
+    group = np.repeat(np.arange(len(texts) // 2), 2)
+    got = links_within(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in data])]), group, np.zeros(len(texts), int), np.arange(len(texts)), 5, 0.8)
+    assert sorted(tuple(sorted(p)) for p in got) == want
+
+
+def test_settling_links_pairs_at_exactly_the_least_similarity(spark):
+    """Cells of a leader that is near neither of the other two, which are at exactly 0.8."""
+    texts, want = [], set()
+    for k in range(60):
+        n = 4 + 4 * k
+        w = [f"w{k}x{i}" for i in range(2 * n + 8)]
+        texts += [w[:5] + [f"v{k}x{i}" for i in range(n)], w[: n + 4], w[: n + n // 4 + 4]]
+        want.add((3 * k + 1, 3 * k + 2))
+    nodes = spark.createDataFrame([(i // 3, i, len(t) - 4, " ".join(t)) for i, t in enumerate(texts)], "cell long, node long, total long, text string")
+    nobody = spark.createDataFrame([], "node long, component long")
+    got = _settle(nodes.drop("text"), nobody, nodes.select("node", "text"), 5, 0.8).collect()
+    assert {tuple(sorted(r)) for r in got} == want
+
+
 def total(c):
     return sum(c.values())

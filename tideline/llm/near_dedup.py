@@ -190,7 +190,8 @@ def links_within(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, block
                 grid = np.zeros((hi - lo, min(1024, int(col[-1]) + 1 - k)), np.float32)
                 grid[d[x:y], col[x:y] - k] = 1
                 overlap += grid[s:e] @ grid.T
-            near = overlap * (1 + least) >= least * (t[s:e, None] + t[None, :]) - 1e-9
+            both = overlap.astype(float)  # float32 counts are whole, but their ratios would be rounded; as in similarities()
+            near = both / np.maximum(t[s:e, None] + t[None, :] - both, 1) >= least
             near &= p[s:e, None] != p[None, :]
             if crossed:
                 near &= blk[s:e, None] != blk[None, :]
