@@ -3,7 +3,7 @@ import random
 import brute
 import numpy as np
 import pytest
-from tideline.llm import exchange
+from tideline.llm import exchange, suffix_dedup
 from tideline.llm.components import components
 from tideline.llm.induced_sort import suffix_array
 from tideline.llm.near_dedup import _settle, arrow, classes, keep_one, links_within, signatures
@@ -98,6 +98,36 @@ def test_byte_strings_equal_brute_force(mixed, monkeypatch, need):
     assert brute.plain(byte_dedup(df, need, with_text=False).collect()) == brute.plain(brute.byte_dedup(rows, need))
 
 
+def test_byte_strings_of_hot_cores_equal_brute_force(mixed, spark, monkeypatch):
+    """Cores in most texts with other bytes around them, or with few; their starts are dealt one by one."""
+    monkeypatch.setattr(exchange, "RANGE_BYTES", 10_000)
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    core, tails = letters(58), [letters(rng.randint(0, 9)) for _ in range(6)]
+    rows = mixed[0] + [(1000 + k, letters(rng.randint(0, 90)) + rng.choice(tails) + core + rng.choice(tails) + letters(rng.randint(0, 90))) for k in range(300)]
+    rows += [(2000 + k, letters(30) + core[:56] + letters(30)) for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.plain(brute.byte_dedup(rows, 60))
+    for hot in (1, 20):
+        assert brute.plain(byte_dedup(df, 60, with_text=False, hot=hot).collect()) == want
+
+
+def test_no_task_sorts_a_hot_core_whole(monkeypatch):
+    """The most pieces of one core that a task may get, from what the core's own task answers."""
+    rows = np.zeros(500, suffix_dedup._CORE)
+    rows["a"], rows["b"], rows["c"] = 7, 9, 2 * np.arange(500)
+    said = np.unpackbits(np.frombuffer(suffix_dedup._shared([rows.tobytes()], most=100)[0], np.uint8), count=1500).reshape(-1, 3)
+    assert said[:, 1].all() and said[:, 2].all()
+    rng = np.random.default_rng(6)
+    starts = np.zeros(500, suffix_dedup._START)
+    starts["key"], starts["left"] = rng.integers(0, 200, 500), 3
+    sides = rng.integers(0, 256, (200, 6))[starts["key"].astype(int)].astype(np.uint8)
+    sizes, real = [], suffix_dedup.sort_pieces
+    monkeypatch.setattr(suffix_dedup, "sort_pieces", lambda p, *a: sizes.append(len(p)) or real(p, *a))
+    got = suffix_dedup.sort_starts(starts, sides.ravel(), 7, 400)
+    assert got.tolist() == [(starts["key"] == k).sum() > 1 for k in starts["key"]] and max(sizes) < 100
+
+
 def test_byte_strings_of_odd_rows(odd_docs, no_docs):
     some = odd_docs.filter("doc_id is null or doc_id not in (7, 8)")
     rows = [(r.doc_id, r.text) for r in some.collect()]

@@ -5,12 +5,14 @@ have equal anchors at equal places. So a string can only repeat if its anchor do
 strings of its start range share, the core, do too. Cores that stand once are out. Start ranges that stand
 twice as they are repeat as a whole. What is left is where repeats begin and end: there each start range is
 sorted among those of its core by external induced suffix sorting, the core being one symbol, and the
-common prefix of neighbours tells which strings repeat.
+common prefix of neighbours tells which strings repeat. A core of very many start ranges is not sorted in one
+place: each start of its ranges is dealt by the hash of its string, so equal strings meet and the rest spreads.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from hashlib import sha256
 
 import numpy as np
@@ -27,6 +29,9 @@ SEED = 32
 _ASK = "part int, batch bigint, question binary"
 _CORE = np.dtype([("a", "<u8"), ("b", "<u8"), ("c", "<u8")])
 _PIECE = np.dtype([("a", "<u8"), ("b", "<u8"), ("left", "<i4"), ("right", "<i4"), ("starts", "<i4")])
+_START = np.dtype([("a", "<u8"), ("b", "<u8"), ("key", "<u8"), ("left", "<i4")])
+#: Shards of the starts of hot cores for each hash range.
+SUBSHARDS = 4
 
 
 def width(need: int) -> int:
@@ -84,7 +89,7 @@ class Anchors:
         if len(owner):
             salt = arrow.mix(self.hash[keep][owner] + bucket.astype(U64))
             a = arrow.mix(arrow.range_hash(self.sums, self.core, self.core_end) ^ salt)
-            other = arrow.prefix_sums(arrow.symbols(77)[self.batch.data])
+            other = self.other = arrow.prefix_sums(arrow.symbols(77)[self.batch.data])
             b = arrow.mix(arrow.range_hash(other, self.core, self.core_end) + salt)
             shape = ((self.core - self.from_) * 64 + (self.to - self.from_)).astype(U64)
             c = arrow.mix(arrow.range_hash(self.sums, self.from_, self.to + need) ^ arrow.mix(arrow.range_hash(other, self.from_, self.to + need) + shape)) & ~U64(1)
@@ -105,10 +110,24 @@ class Anchors:
         return ((p, self.rows[cuts[p] : cuts[p + 1]].tobytes()) for p in range(n) if cuts[p + 1] > cuts[p])
 
     def pieces(self, replies: list[dict] | None, n: int) -> None:
-        """Which entries stand twice as they are, and which this batch sends to be sorted."""
+        """Which entries stand twice as they are, and which this batch sends to be sorted, whole or, of hot cores, start by start."""
         self.cuts = split(self.rows["a"], n)
-        said = bits(replies, self.cuts, 2)
-        self.twin, self.sent = said[:, 0], np.flatnonzero(said[:, 1])
+        said = bits(replies, self.cuts, 3)
+        self.twin, self.sent, hot = said[:, 0], np.flatnonzero(said[:, 1] & ~said[:, 2]), np.flatnonzero(said[:, 1] & said[:, 2])
+        i = self.sample[hot]
+        starts = self.to[i] - self.from_[i] + 1
+        at, owner = _ragged(self.from_[i], starts), np.repeat(hot, starts)
+        a = b = np.zeros(0, U64)
+        if len(at):
+            a, b = (arrow.mix(arrow.range_hash(x, at, at + self.need)) for x in (self.sums, self.other))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+        which = np.cumsum(new) - 1
+        self.start_at, self.start_of = at[order], which  # places of all starts, and which sent one each is equal to
+        self.start_twin = np.bincount(which, minlength=new.sum()) > 1
+        self.start_sent, self.start_owner, self.start_key = at[order[new]], owner[order[new]], a[new]
+        self.start_cuts = split(self.start_key, SUBSHARDS * n)
 
     def sendings(self, n: int) -> Iterator[tuple[int, bytes, bytes]]:
         """For each range: the sent pieces, and the bytes before and after their cores."""
@@ -125,21 +144,40 @@ class Anchors:
             sides = np.stack([self.from_[i], self.core_end[i]], 1).ravel()
             sizes = np.stack([rows["left"], rows["right"]], 1).ravel().astype(np.int64)
             yield p, rows.tobytes(), self.batch.data[_ragged(sides, sizes)].tobytes()
-
-    def gone(self, replies: list[dict] | None) -> np.ndarray:
+        for p in range(SUBSHARDS * n):
+            own = slice(self.start_cuts[p], self.start_cuts[p + 1])
+            at, e = self.start_sent[own], self.start_owner[own]
+            if not len(at):
+                continue
+            i = self.sample[e]
+            rows = np.empty(len(at), _START)
+            rows["a"], rows["b"], rows["key"], rows["left"] = self.rows["a"][e], self.rows["b"][e], self.start_key[own], self.core[i] - at
+            sides = np.stack([at, self.core_end[i]], 1).ravel()
+            sizes = np.stack([self.core[i] - at, at + self.need - self.core_end[i]], 1).ravel()
+            yield n + p, rows.tobytes(), self.batch.data[_ragged(sides, sizes)].tobytes()
+
+    def gone(self, replies: list[dict] | None, n: int) -> np.ndarray:
         """Bytes covered by a string that also starts elsewhere; ``replies`` have a bit for each start of each sent piece."""
         edge = np.zeros(len(self.batch.data) + 1, np.int64)
         full = self.twin[self.entry]
         np.add.at(edge, self.from_[full], 1)
         np.add.at(edge, self.to[full] + self.need, -1)
         cuts = np.searchsorted(self.sent, self.cuts)
+        alike = self.start_twin.copy()
         for r in replies or []:
+            if r["part"] >= n:
+                lo, hi = self.start_cuts[r["part"] - n], self.start_cuts[r["part"] - n + 1]
+                alike[lo:hi] |= np.frombuffer(r["reply"], bool)
+                continue
             own = self.sent[cuts[r["part"]] : cuts[r["part"] + 1]]
             mask = np.frombuffer(r["reply"], "<u8")
             for bit in range(self.step):
                 s = self.from_[self.sample[own[(mask >> U64(bit)) & U64(1) > 0]]] + bit
                 np.add.at(edge, s, 1)
                 np.add.at(edge, s + self.need, -1)
+        s = self.start_at[alike[self.start_of]]
+        np.add.at(edge, s, 1)
+        np.add.at(edge, s + self.need, -1)
         return np.cumsum(edge)[:-1] > 0
 
 
@@ -157,8 +195,8 @@ def _repeating(questions: list[bytes]) -> list[bytes]:
     return [np.packbits(x).tobytes() for x in np.split(twice[which], np.cumsum([len(q) // 4 for q in questions])[:-1])]
 
 
-def _shared(questions: list[bytes]) -> list[bytes]:
-    """For each entry: whether it stands twice as it is; whether its core has other entries, and this question is the one to send it."""
+def _shared(questions: list[bytes], most: int) -> list[bytes]:
+    """For each entry: whether it stands twice as it is; whether its core has other entries, and this question is the one to send it; whether it has more than ``most``."""
     rows = np.frombuffer(b"".join(questions), _CORE)
     multi, c = rows["c"] & U64(1) > 0, rows["c"] & ~U64(1)
     order = np.lexsort((c, rows["b"], rows["a"]))
@@ -170,9 +208,10 @@ def _shared(questions: list[bytes]) -> list[bytes]:
     twin = np.bincount(of_entry) > 1
     twin[of_entry[multi[order]]] = True
     kinds = np.bincount(of_core[entry])
-    out = np.zeros((len(rows), 2), bool)
+    out = np.zeros((len(rows), 3), bool)
     out[order, 0] = twin[of_entry]
     out[order, 1] = entry & (kinds[of_core] > 1)  # the first of equal entries sends
+    out[order, 2] = kinds[of_core] > most
     cuts = np.cumsum([len(q) // _CORE.itemsize for q in questions])[:-1]
     return [np.packbits(x).tobytes() for x in np.split(out, cuts)]
 
@@ -206,14 +245,31 @@ def sort_pieces(pieces: np.ndarray, sides: np.ndarray, step: int, most: int) ->
     return mask
 
 
-def dedup(docs: DataFrame, need: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, sorted_at_once: int = 1 << 20) -> DataFrame:
+def sort_starts(starts: np.ndarray, sides: np.ndarray, step: int, most: int) -> np.ndarray:
+    """For each start of a hot core whether its string starts elsewhere too: about ``most`` symbols at a time, never parting equal keys."""
+    order = np.argsort(starts["key"], kind="stable")
+    key, sides = starts["key"][order], sides.reshape(len(starts), step - 1)
+    found, lo = np.zeros(len(starts), bool), 0
+    while lo < len(order):
+        hi = min(len(order), lo + max(1, most // (step + 1)))
+        hi = int(np.searchsorted(key, key[hi - 1], "right"))
+        own = order[lo:hi]
+        pieces = np.empty(len(own), _PIECE)
+        pieces["a"], pieces["b"], pieces["left"] = starts["a"][own], starts["b"][own], starts["left"][own]
+        pieces["right"], pieces["starts"] = step - 1 - pieces["left"], 1
+        found[own] = sort_pieces(pieces, sides[own].ravel(), step, most) > 0
+        lo = hi
+    return found
+
+
+def dedup(docs: DataFrame, need: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, sorted_at_once: int = 1 << 20, hot: int = 1 << 13) -> DataFrame:
     """One row for each row of docs: (id, n_bytes, n_removed, n_spans, kept_sha256), and if with_text ``kept``
     (binary), ``kept_text`` (the same without the halves of characters that a cut may leave) and ``spans`` (first and end byte).
 
     A byte of a text's UTF-8 goes if it lies in a string of ``need`` bytes that starts anywhere else as well, in the same text
     or another; every copy goes. Strings lie in one text and are judged on the input. Ids are whole numbers or
     null and play no part, so repeated rows remove each other; a null text is empty; an empty table gives no rows;
-    other columns are not read. Texts are read whole. Cores are compared by 128 bits of hash, the rest by its bytes.
+    other columns are not read. Texts are read whole. A core of more than ``hot`` start ranges is sorted start by start. Cores are compared by 128 bits of hash, the rest by its bytes.
     """
     if need <= SEED:
         raise ValueError(f"need is more than {SEED} bytes")
@@ -246,8 +302,9 @@ def dedup(docs: DataFrame, need: int = 400, id_col: str = "doc_id", text_col: st
 
     def settle(table: pa.Table) -> pa.Table:
         questions = table.column("question").to_pylist()
-        mask = sort_pieces(np.frombuffer(b"".join(questions), _PIECE), np.frombuffer(b"".join(table.column("sides").to_pylist()), np.uint8), step, sorted_at_once)
-        cuts = np.cumsum([len(q) // _PIECE.itemsize for q in questions])[:-1]
+        kind, sort = (_PIECE, sort_pieces) if table.column("part")[0].as_py() < n else (_START, sort_starts)
+        mask = sort(np.frombuffer(b"".join(questions), kind), np.frombuffer(b"".join(table.column("sides").to_pylist()), np.uint8), step, sorted_at_once)
+        cuts = np.cumsum([len(q) // kind.itemsize for q in questions])[:-1]
         return pa.table({"part": table.column("part").cast(pa.int32()), "batch": table.column("batch"), "reply": pa.array([m.tobytes() for m in np.split(mask, cuts)], pa.binary())})
 
     def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +312,7 @@ def dedup(docs: DataFrame, need: int = 400, id_col: str = "doc_id", text_col: st
             x = Anchors(b, need)
             x.cores(more["anchors"], n)
             x.pieces(more["cores"], n)
-            gone = x.gone(more["repeats"])
+            gone = x.gone(more["repeats"], n)
             begins = gone.copy()
             begins[1:] &= ~gone[:-1]
             inner = b.offsets[(b.offsets > 0) & (b.offsets < len(gone))]
@@ -280,7 +337,7 @@ def dedup(docs: DataFrame, need: int = 400, id_col: str = "doc_id", text_col: st
         return to.join(materialize(replies.withColumnRenamed("replies", name), name), "batch", "left")
 
     known = replied(batches, ask(batches.mapInArrow(first, _ASK), _repeating, n), "anchors")
-    known = replied(known, ask(known.mapInArrow(second, _ASK), _shared, n), "cores")
+    known = replied(known, ask(known.mapInArrow(second, _ASK), partial(_shared, most=hot), n), "cores")
     sent = known.mapInArrow(third, _ASK + ", sides binary").repartition(max(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "part")
     settled = sent.groupBy("part").applyInArrow(settle, "part int, batch bigint, reply binary").groupBy("batch").agg(F.collect_list(F.struct("part", "reply")).alias("repeats"))
     schema = f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary, kept_text string, spans array<array<bigint>>" if with_text else "")
