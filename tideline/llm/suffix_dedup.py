@@ -269,7 +269,8 @@ def dedup(docs: DataFrame, need: int = 400, id_col: str = "doc_id", text_col: st
     A byte of a text's UTF-8 goes if it lies in a string of ``need`` bytes that starts anywhere else as well, in the same text
     or another; every copy goes. Strings lie in one text and are judged on the input. Ids are whole numbers or
     null and play no part, so repeated rows remove each other; a null text is empty; an empty table gives no rows;
-    other columns are not read. Texts are read whole. A core of more than ``hot`` start ranges is sorted start by start. Cores are compared by 128 bits of hash, the rest by its bytes.
+    other columns are not read. Texts are read whole. A core of more than ``hot`` start ranges is sorted start by start. Cores, start ranges
+    that stand twice as they are, and starts of hot cores that stand twice in a batch are compared by 128 bits of hash, the rest by its bytes.
     """
     if need <= SEED:
         raise ValueError(f"need is more than {SEED} bytes")
