@@ -1,16 +1,18 @@
 """Near-duplicate classes by BagMinHash.
 
-A document is the multiset of its five-word shingles. Each shingle has Poisson processes over its
-weight axis, one for each discretised level [0, 1), [1, 2), [2, 4), [4, 8) ...; a level that the weight covers in
-part keeps the points below the weight. A signature component is the first point that falls to it, so
-two components agree with the probability of the weighted Jaccard similarity, without bias. Points are
-drawn in rising order and drawing stops when none can be the first any more. Bands of components
-propose pairs and the multisets themselves decide.
+A document is the multiset of its five-word shingles. Each shingle has a Poisson process over its weight axis, cut
+into [0, 1), [1, 2), [2, 4), [4, 8) ... A signature component is the first point below the weight that falls to it, so
+two components agree with the probability of the weighted Jaccard similarity, without bias. Points are found from coarse
+to fine: an interval gives its first point, is then split into halves, and each half goes on by itself; halves above the weight
+are never looked at. Drawing stops when no point can be the first any more. Bands of components propose
+pairs, whole signatures rule most of the unlike ones out, and the multisets themselves decide.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -24,67 +26,85 @@ from . import arrow
 from .components import components
 
 U64 = np.uint64
+#: The bound of what _likely() broadcasts: so many rows of a word number and 64 bits.
+WORDS = 1 << 18
+#: Pairs with one leader that share a copy of its text.
+PAIRS = 256
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, shingle hash, count) of the multisets, and a 128-bit fingerprint (n, 2) of each document's words.
+def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, shingle hash, count) of the multisets.
 
     A document of fewer than ``size`` words has its words as its one shingle; one without words has none.
     """
     start, end, first = arrow.words(data, offsets)
     words = arrow.word_hashes(data, start, end, 5)
-    sums = arrow.prefix_sums(words)
-    other = arrow.prefix_sums(arrow.mix(words ^ U64(0x2545F4914F6CDD1D)))
     lo, hi = first[:-1], first[1:]
-    n_words = (hi - lo).astype(U64)
-    prints = np.stack([arrow.mix(arrow.range_hash(s, lo, hi) + n_words) for s in (sums, other)], 1)
     at, hashes = arrow.windows(words, first, size)
     doc = np.searchsorted(first, at, "right") - 1
     short = np.flatnonzero((hi - lo < size) & (hi > lo))
-    doc, hashes = np.concatenate([doc, short]), np.concatenate([hashes, prints[short, 0]])
+    whole = arrow.mix(arrow.range_hash(arrow.prefix_sums(words), lo[short], hi[short]) + (hi - lo)[short].astype(U64))
+    doc, hashes = np.concatenate([doc, short]), np.concatenate([hashes, whole])
     order = np.lexsort((hashes, doc))
     d, h = doc[order], hashes[order]
     new = np.ones(len(d), bool)
     new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
     where = np.flatnonzero(new)
-    return d[where], h[where], np.diff(np.append(where, len(d))), prints
+    return d[where], h[where], np.diff(np.append(where, len(d)))
+
+
+def digests(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """128 bits of BLAKE2 of each text's words, one space between them."""
+    text = data.tobytes()
+    return [blake2b(b" ".join(text[a:b].split()), digest_size=16).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
 def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int, m: int) -> np.ndarray:
     """The ids of the first points, m for each of n documents; documents without shingles have zeros."""
-    level = np.ceil(np.log2(np.maximum(count, 1))).astype(np.int64) + 1  # levels that the weight reaches
+    level = np.ceil(np.log2(np.maximum(count, 1))).astype(np.int64) + 1  # intervals that the weight reaches
     owner = np.repeat(np.arange(len(count)), level)
     step = np.arange(len(owner)) - np.repeat(np.cumsum(level) - level, level)
-    base = np.where(step == 0, 0, 1 << np.maximum(step - 1, 0)).astype(float)
-    width = np.where(step == 0, 1, 1 << np.maximum(step - 1, 0)).astype(float)
+    low = np.where(step == 0, 0, 1 << np.maximum(step - 1, 0))
+    width = np.where(step == 0, 1, 1 << np.maximum(step - 1, 0))
     seed = arrow.mix(shingle[owner] + step.astype(U64) * U64(0x9E3779B97F4A7C15))
-    doc, weight = doc[owner], count[owner].astype(float)
+    doc, weight = doc[owner], count[owner]
     first = np.full(n * m, np.inf)
     ids = np.zeros(n * m, U64)
-    time, drawn, points = np.zeros(len(seed)), 0, 1
+    time, drawn = np.zeros(len(seed)), np.zeros(len(seed), U64)
+    points = 1
     while len(seed):
-        draw = arrow.mix(seed[:, None] + (np.arange(drawn + 1, drawn + points + 1, dtype=U64) * U64(0xD1B54A32D192ED03))[None, :])
+        # unit intervals are not split: they give several points in a turn
+        draw = arrow.mix(seed[:, None] + (drawn[:, None] + np.arange(1, points + 1, dtype=U64)[None, :]) * U64(0xD1B54A32D192ED03))
         uniform = ((draw >> U64(11)).astype(float) + 0.5) * 2.0**-53
-        times = time[:, None] + np.cumsum(-np.log(uniform) / (width * m)[:, None], axis=1)
+        times = time[:, None] + np.cumsum(-np.log(uniform) / (width * float(m))[:, None], axis=1)
         mark = arrow.mix(draw ^ U64(0xA0761D6478BD642F))
-        place = base[:, None] + width[:, None] * ((mark >> U64(32)).astype(float) * 2.0**-32)
+        place = low[:, None] + width[:, None] * ((mark >> U64(32)).astype(float) * 2.0**-32)
         slot = doc[:, None] * m + ((mark & U64(0xFFFFFFFF)) % U64(m)).astype(np.int64)
         ok = (place < weight[:, None]) & (times < first[slot])
+        wide = width > 1
+        ok[wide, 1:] = False
         t, s, i = times[ok], slot[ok], draw[ok]
         np.minimum.at(first, s, t)
         best = first[s] == t
         ids[s[best]] = i[best]
-        time = times[:, -1]
-        last = first.reshape(n, m).max(1)
-        live = time <= last[doc]
-        seed, doc, weight, base, width, time = seed[live], doc[live], weight[live], base[live], width[live], time[live]
-        drawn, points = drawn + points, min(2 * points, 64)
+        time = np.where(wide, times[:, 0], times[:, -1])
+        live = time <= first.reshape(n, m).max(1)[doc]
+        one, two = live & ~wide, live & wide
+        half = width[two] // 2
+        upper = low[two] + half < weight[two]
+        join = lambda x, lower, higher: np.concatenate([x[one], lower, higher[upper]])
+        left, right = (arrow.mix(seed[two] ^ U64(k)) for k in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
+        zero = np.zeros(len(half), U64)
+        drawn = join(drawn + U64(points), zero, zero)
+        low, width = join(low, low[two], low[two] + half), join(width, half, half)
+        seed, doc, weight, time = join(seed, left, right), join(doc, doc[two], doc[two]), join(weight, weight[two], weight[two]), join(time, time[two], time[two])
+        points = min(2 * points, 16)
     return ids.reshape(n, m)
 
 
 def similarities(data: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
     """Weighted Jaccard of the shingles of texts 0 and 1, 2 and 3, and so on; two texts without words are alike."""
-    doc, h, c, _ = shingles(data, offsets, size)
+    doc, h, c = shingles(data, offsets, size)
     pairs = len(offsets) // 2
     pair = doc >> 1
     total = np.bincount(pair, c, pairs)
@@ -96,35 +116,71 @@ def similarities(data: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray
 
 
 def _sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int, carried: Column) -> DataFrame:
-    """(row, id, print, total, bands, carried): ``row`` numbers the rows, ``print`` is the fingerprint, ``total`` the shingles."""
+    """(row, id, print, total, bands, marks, carried): ``row`` numbers the rows, ``print`` is the digest of the words, ``total`` the shingles, ``marks`` a byte of each component."""
     m = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n = TaskContext.get().partitionId() << 33, 0
         salt = np.arange(bands, dtype=U64) * U64(0xE7037ED1A0B428DB)
         for b in batches:
-            for i, j, data, offsets in arrow.spans(b.column(1), 2 << 20):
+            for i, j, data, offsets in arrow.spans(b.column(1), 1 << 18):
                 k = j - i
-                doc, h, c, prints = shingles(data, offsets, size)
+                doc, h, c = shingles(data, offsets, size)
                 total = np.bincount(doc, c, k).astype(np.int64)
-                sig = signatures(doc, h, c, k, m).reshape(k, bands, rows)
-                mixed = salt[None, :] + U64(1)
-                mixed = np.broadcast_to(mixed, (k, bands)).copy()
+                sig = signatures(doc, h, c, k, m)
+                mixed = np.broadcast_to(salt[None, :] + U64(1), (k, bands)).copy()
                 for r in range(rows):
-                    mixed = arrow.mix(mixed ^ sig[:, :, r]) * U64(0x9FB21C651E98DF25)
+                    mixed = arrow.mix(mixed ^ sig.reshape(k, bands, rows)[:, :, r]) * U64(0x9FB21C651E98DF25)
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * bands), pa.array(mixed.ravel().view(np.int64)))
-                node = pa.array([f"{x:016x}{y:016x}" for x, y in prints.tolist()], pa.string())
-                cols = [pa.array(np.arange(base + n, base + n + k)), b.column(0).slice(i, k), node, pa.array(total), listed, b.column(2).slice(i, k)]
+                marks = [x.tobytes() for x in (arrow.mix(sig) >> U64(56)).astype(np.uint8)]
+                cols = [pa.array(np.arange(base + n, base + n + k)), b.column(0).slice(i, k), pa.array(digests(data, offsets), pa.binary()), pa.array(total), listed, pa.array(marks, pa.binary()), b.column(2).slice(i, k)]
                 n += k
-                yield pa.RecordBatch.from_arrays(cols, ["row", "id", "print", "total", "bands", "carried"])
+                yield pa.RecordBatch.from_arrays(cols, ["row", "id", "print", "total", "bands", "marks", "carried"])
 
     rows_in = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), carried.alias("carried"))
-    fields = [T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("print", T.StringType()), T.StructField("total", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), rows_in.schema["carried"]]
+    fields = [T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("print", T.BinaryType()), T.StructField("total", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("marks", T.BinaryType()), rows_in.schema["carried"]]
     return rows_in.mapInArrow(run, T.StructType(fields))
 
 
+def least_agreement(m: int, similar: float, miss: float = 1e-6) -> int:
+    """The agreeing components of m that a pair of this similarity falls short of with at most the chance ``miss``."""
+    below, k = 0.0, 0
+    while k < m:
+        below += comb(m, k) * similar**k * (1 - similar) ** (m - k)
+        if below > miss:
+            break
+        k += 1
+    return k
+
+
+def _likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """rows without most of those whose key is not among ``wanted``; an exact join must follow.
+
+    A filter of bits with at most WORDS rows is broadcast, whatever the size of ``wanted``. The more there is, the fewer rows it holds back; it never holds back a wanted one.
+    """
+    hashed = F.xxhash64(key)
+    word, bit = F.pmod(hashed, F.lit(WORDS)).cast("int"), F.pmod(F.shiftrightunsigned(hashed, 32), F.lit(64)).cast("int")
+    bits = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
+    bits = materialize(bits, "bits")
+    held = rows.select("*", word.alias("_at"), bit.alias("_bit"))
+    return held.join(F.broadcast(bits), F.col("_at") == F.col("_word")).filter(F.expr("(shiftrightunsigned(_bits, _bit) & 1L) = 1L")).select(*rows.columns)
+
+
+def _promising(pairs: DataFrame, marks: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in ``least`` components or more, by a byte of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                x, y = (np.frombuffer(b"".join(b.column(n).to_pylist()), np.uint8).reshape(len(b), -1) for n in "xy")
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
+
+    side = lambda k, t: marks.select(F.col("node").alias(k), F.col("marks").alias(t))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose multisets reach ``least``, written."""
+    """The pairs (a, b) of nodes whose multisets reach ``least``, written. A leader of more than PAIRS pairs is dealt over several tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,8 +197,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Da
             if good:
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(np.concatenate(good)))
 
-    side = lambda k, t: texts.select(F.col("node").alias(k), F.col("text").cast("binary").alias(t))
-    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    busy = pairs.groupBy(F.col("b").alias("_b")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PAIRS)
+    busy = materialize(busy.select("_b", F.ceil(F.col("n") / PAIRS).cast("int").alias("salts")), "busy")
+    salted = pairs.join(busy, F.col("b") == F.col("_b"), "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    leaders = texts.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi").join(busy, F.col("node") == F.col("_b"), "left")
+    leaders = leaders.select(F.col("node").alias("b"), F.col("text").alias("y"), F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    leaders = materialize(leaders, "leaders")
+    both = salted.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(leaders, ["b", "salt"])
     both = both.select("a", "b", "x", "y", F.array(F.octet_length("x"), F.octet_length("y")).alias("sizes"))
     return materialize(both.mapInArrow(run, "a bigint, b bigint"), "verified")
 
@@ -153,7 +214,7 @@ def links_within(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, block
     Texts of one group are compared with each other, or, if they are of two blocks, with those of the other block. Overlaps
     come from products of the matrix of texts and shared shingles, so no pair has a row of its own.
     """
-    doc, h, c, _ = shingles(data, offsets, size)
+    doc, h, c = shingles(data, offsets, size)
     n = len(group)
     total = np.bincount(doc, c, n)
     copy = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
@@ -206,7 +267,7 @@ def links_within(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, block
     return found
 
 
-def _settle(cells: DataFrame, member: DataFrame, reps: DataFrame, size: int, least: float) -> DataFrame:
+def _settle(cells: DataFrame, member: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
     """Links that the stars miss: documents that meet in a cell are compared if the cell holds more than one class.
 
     A cell's documents are a group. Cells of many documents that share some are one group, so that a text
@@ -225,8 +286,7 @@ def _settle(cells: DataFrame, member: DataFrame, reps: DataFrame, size: int, lea
     dealt = members.join(blocks, "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("grp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "part")
-    texts = reps.select("node", F.col("text").cast("binary").alias("text")).join(members.select("node").distinct(), "node", "left_semi")
-    dealt = dealt.join(texts, "node").repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
+    dealt = dealt.join(texts.select("node", F.col("text").cast("binary").alias("text")), "node").repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(t: pa.Table, group: np.ndarray) -> pa.RecordBatch:
@@ -261,13 +321,13 @@ def _settle(cells: DataFrame, member: DataFrame, reps: DataFrame, size: int, lea
     return materialize(dealt.mapInArrow(run, "a bigint, b bigint"), "settled")
 
 
-def classes(docs: DataFrame, similar: float = 0.8, size: int = 5, bands: int = 24, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, similar: float = 0.8, size: int = 5, bands: int = 30, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: (id, class_id, copies).
 
     ``class_id`` is the least id of the connected class of documents whose shingle multisets have a
-    weighted Jaccard similarity of at least ``similar``; ``copies`` counts the rows of the same words. Rows of the same words are
+    weighted Jaccard similarity of at least ``similar``; ``copies`` counts the rows of the same words, by a digest of 128 bits. Rows of the same words are
     one node from the start, so copies never meet each other. A pair of the least similarity shares no band
-    with the chance (1 - similar ** rows) ** bands, 3e-6 as set here; every pair that shares one is
+    with the chance (1 - similar ** rows) ** bands, 7e-6 as set here, and its signatures agree too little with a chance of 1e-6; every other pair that shares a band is
     decided by its multisets, unless its documents are in one class already. First each document is compared with
     one leader of each of its cells; then the cells that still hold more than one class are compared in blocks.
 
@@ -285,18 +345,21 @@ def _classes(docs: DataFrame, similar: float, size: int, bands: int, rows: int,
     nodes = sketch.groupBy("print").agg(F.min("row").alias("node"), F.min(place).alias("least"), F.count(F.lit(1)).alias("copies"), F.max("total").alias("total"))
     nodes = materialize(nodes, "nodes")
     # a node goes by the number of its first row
-    every = sketch.select(F.col("row").alias("node"), "total", "bands", text_of(F.col("carried")).alias("text"))
+    every = sketch.select(F.col("row").alias("node"), "total", "bands")
     reps = every.join(nodes.filter("total > 0").select("node"), "node", "left_semi")
     cells = reps.select("node", "total", F.explode("bands").alias("cell"))
     met = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader"), F.min_by("total", "node").alias("leader_total")).filter("n > 1")
     cells = materialize(cells.join(met, "cell"), "cells")  # only cells where documents meet
+    wanted = materialize(cells.select("node").distinct(), "wanted")
+    texts = _likely(sketch.select(F.col("row").alias("node"), text_of(F.col("carried")).cast("binary").alias("text")), "node", wanted)
+    texts = materialize(texts.join(wanted, "node", "left_semi"), "texts")  # of the documents that meet others, for all that follows
     near = F.least("total", "leader_total") >= F.greatest("total", "leader_total") * F.lit(similar) - F.lit(1e-9)
-    pairs = materialize(cells.filter(near & (F.col("node") != F.col("leader"))).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
-    texts = every.select("node", "text").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    pairs = cells.filter(near & (F.col("node") != F.col("leader"))).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    pairs = materialize(_promising(materialize(pairs, "met"), _likely(sketch.select(F.col("row").alias("node"), "marks"), "node", wanted), least_agreement(bands * rows, similar)), "pairs")
     links = _verified(pairs, texts, size, similar)
     member = materialize(components(links), "members")
 
-    more = _settle(cells, member, every, size, similar)
+    more = _settle(cells, member, texts, size, similar)
     if not more.isEmpty():
         member = materialize(components(links.unionByName(more)), "members")
 
@@ -305,8 +368,12 @@ def _classes(docs: DataFrame, similar: float, size: int, bands: int, rows: int,
     return sketch, parts.select("print", "part", "copies").join(heads, "part").select("print", "least", "copies")
 
 
-def keep_one(docs: DataFrame, similar: float = 0.8, size: int = 5, bands: int = 24, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class, that of the least id, and among equal ids the first in the table; rows without words are one class, too."""
+def keep_one(docs: DataFrame, similar: float = 0.8, size: int = 5, bands: int = 30, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each class of classes(), with all of its columns whatever those are called.
+
+    The row of the least id stays, and among equal ids the first in the table; rows without an id come after all others. Rows without words, null texts among them, are one class, too;
+    repeated rows are copies; an empty table gives an empty one.
+    """
     text = lambda carried: F.coalesce(carried[text_col], F.lit(""))
     sketch, found = _classes(docs, similar, size, bands, rows, id_col, text_col, F.struct(*docs.columns), text)
     kept = found.select(F.col("least.row").alias("row")).distinct()
