@@ -190,7 +190,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Da
             x, y = (b.column(n).to_pylist() for n in "xy")
             good, i = [], 0
             while i < len(b):
-                j = min(len(b), max(i + 1, int(np.searchsorted(both, both[i] + (2 << 20), "right")) - 1))
+                j = min(len(b), max(i + 1, int(np.searchsorted(both, both[i] + (1 << 20), "right")) - 1))
                 data = np.frombuffer(b"".join(t for k in range(i, j) for t in (x[k], y[k])), np.uint8)
                 good.append(similarities(data, np.concatenate([[0], np.cumsum(sizes[2 * i : 2 * j])]), size) >= least)
                 i = j
@@ -310,7 +310,7 @@ def _settle(cells: DataFrame, member: DataFrame, texts: DataFrame, size: int, le
             i = 0
             last = int(np.searchsorted(g, g[-1])) if len(g) else 0  # the last group may go on in the next batch
             while i < last:
-                j = int(np.searchsorted(size_of, size_of[i] + (2 << 20)))
+                j = int(np.searchsorted(size_of, size_of[i] + (1 << 20)))
                 j = last if j >= last else max(int(np.searchsorted(g, g[j])), int(np.searchsorted(g, g[i], "right")))
                 yield links(t.slice(i, j - i), g[i:j])
                 i = j

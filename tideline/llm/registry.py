@@ -70,7 +70,7 @@ def op8_fixed_block_anchors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup_bytes(_docs(spark, sf), need=400, with_text=False)
+    return dedup_bytes(_docs(spark, sf), need=400, passage=240, with_text=False)
 
 
 def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:

@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 from . import arrow
-from .exchange import U64, Batch, ask, bits, loaded, ranges, split, write_batches
+from .exchange import ASK, U64, Batch, Ranges, ask, bits, loaded, posed, ragged, ranges, split, write_batches
 
 _LOW = U64((1 << 30) - 1)
+_CLAIM = np.dtype([("key", "<u8"), ("check", "<u8"), ("doc", "<i8")])
 
 
 class Windows:
@@ -33,23 +35,22 @@ class Windows:
         self.probe_at, probes = arrow.windows(self.words, self.first, block)
         self.asked, self.which, self.count = np.unique(probes, return_inverse=True, return_counts=True)
 
-    def questions(self, n: int) -> Iterator[tuple[int, bytes]]:
-        """For each range: 30 bits of each distinct probe, whether it is one of the batch's own blocks, and whether it stands here twice."""
+    def questions(self, number: int, given: Ranges) -> Iterator[pa.RecordBatch]:
+        """30 bits of each distinct probe, whether it is one of the batch's own blocks, and whether it stands here twice."""
         owner = np.repeat(self.first[:-1], np.diff(self.first))[self.probe_at]
         is_block = np.zeros(len(self.asked), bool)
         is_block[self.which[(self.probe_at - owner) % self.block == 0]] = True
         packed = (((self.asked >> U64(8)) & _LOW) << U64(2)) | (is_block.astype(U64) << U64(1)) | (self.count > 1).astype(U64)
-        packed, cuts = packed.astype("<u4"), split(self.asked, n)
-        return ((p, packed[cuts[p] : cuts[p + 1]].tobytes()) for p in range(n) if cuts[p + 1] > cuts[p])
+        return posed(number, packed.astype("<u4"), split(self.asked, given.n), given)
 
-    def candidates(self, replies: list[dict] | None, n: int) -> None:
+    def candidates(self, replies: list[dict] | None, given: Ranges) -> None:
         """Extends the hits to the whole windows around them, distinct ones in the order of their hash."""
-        hit = bits(replies, split(self.asked, n))[self.which]
+        hit = bits(replies, given.outer(split(self.asked, given.n)))[self.which]
         hits = np.zeros(len(self.words) + 1, np.int64)
         hits[self.probe_at[hit] + 1] = 1
         hits = np.cumsum(hits)  # hits at words before i
         counts = np.maximum(np.diff(self.first) - self.size + 1, 0)
-        at = np.arange(counts.sum()) + np.repeat(self.first[:-1] - (np.cumsum(counts) - counts), counts)
+        at = ragged(self.first[:-1], counts)
         doc = np.repeat(np.arange(len(counts)), counts)
         near = hits[at + self.size - self.block + 1] > hits[at]
         self.at, self.doc = at[near], doc[near]
@@ -68,16 +69,15 @@ class Windows:
         self.least = np.full(len(self.key), np.iinfo(np.int64).max)
         np.minimum.at(self.least, self.entry, self.batch.rank[self.doc])
 
-    def claims(self, n: int) -> Iterator[tuple[int, bytes]]:
-        """For each range: the distinct candidate windows and the least document of the batch that has each."""
-        rows = np.empty(len(self.key), [("key", "<u8"), ("check", "<u8"), ("doc", "<i8")])
+    def claims(self, number: int, given: Ranges) -> Iterator[pa.RecordBatch]:
+        """The distinct candidate windows and the least document of the batch that has each."""
+        rows = np.empty(len(self.key), _CLAIM)
         rows["key"], rows["check"], rows["doc"] = self.key, self.check, self.least
-        cuts = split(self.key, n)
-        return ((p, rows[cuts[p] : cuts[p + 1]].tobytes()) for p in range(n) if cuts[p + 1] > cuts[p])
+        return posed(number, rows, split(self.key, given.n), given)
 
-    def removed(self, replies: list[dict] | None, n: int) -> np.ndarray:
+    def removed(self, replies: list[dict] | None, given: Ranges) -> np.ndarray:
         """Words covered by a window that also starts in a lesser document."""
-        elsewhere = bits(replies, split(self.key, n))
+        elsewhere = bits(replies, given.outer(split(self.key, given.n)))
         gone = elsewhere[self.entry] | (self.batch.rank[self.doc] > self.least[self.entry])
         edge = np.zeros(len(self.words) + 1, np.int64)
         np.add.at(edge, self.at[gone], 1)
@@ -104,7 +104,7 @@ def _index(questions: list[bytes]) -> list[bytes]:
 
 def _lesser(questions: list[bytes]) -> list[bytes]:
     """For each window of each batch: whether a lesser document elsewhere has it."""
-    rows = np.frombuffer(b"".join(questions), [("key", "<u8"), ("check", "<u8"), ("doc", "<i8")])
+    rows = np.frombuffer(b"".join(questions), _CLAIM)
     sizes = [len(q) // 24 for q in questions]
     order = np.lexsort((rows["check"], rows["key"]))
     k, c, d = rows["key"][order], rows["check"][order], rows["doc"][order]
@@ -129,28 +129,23 @@ def dedup(docs: DataFrame, size: int = 13, block: int | None = None, id_col: str
     if not 1 <= block <= (size + 1) // 2:
         raise ValueError("a window of size words must hold a whole block")
     batches = write_batches(docs, id_col, text_col)
-    n = ranges(batches)
-    asks = "part int, batch bigint, question binary"
-
-    def table(number: int, found: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        for p, q in found:
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([number], pa.int64()), pa.array([q], pa.binary())], ["part", "batch", "question"])
+    given = ranges(batches)
 
     def probe(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, b, _ in loaded(rows):
-            yield from table(number, Windows(b, block, size).questions(n))
+            yield from Windows(b, block, size).questions(number, given)
 
     def claim(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, b, more in loaded(rows):
             w = Windows(b, block, size)
-            w.candidates(more["replies"], n)
-            yield from table(number, w.claims(n))
+            w.candidates(more["replies"], given)
+            yield from w.claims(number, given)
 
     def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, b, more in loaded(rows):
             w = Windows(b, block, size)
-            w.candidates(more["replies"], n)
-            gone = w.removed(more["lesser"], n)
+            w.candidates(more["replies"], given)
+            gone = w.removed(more["lesser"], given)
             total = np.diff(w.first)
             before = np.concatenate([[0], np.cumsum(gone)])
             lost = before[w.first[1:]] - before[w.first[:-1]]
@@ -170,15 +165,8 @@ def dedup(docs: DataFrame, size: int = 13, block: int | None = None, id_col: str
                 cols += [pa.array(texts, pa.string()), pa.array([s.tolist() for s in spans], pa.list_(pa.list_(pa.int64())))]
             yield pa.RecordBatch.from_arrays(cols, [id_col, "n_words", "n_removed", "kept_sha256", "kept", "spans"][: len(cols)])
 
-    hits = ask(batches.mapInArrow(probe, asks), _index, n)
-    hit = materialize_replies(batches, hits)
-    lesser = ask(hit.mapInArrow(claim, asks), _lesser, n).withColumnRenamed("replies", "lesser")
+    hits = ask(batches.mapInArrow(probe, ASK), _index, given, "<u4")
+    hit = batches.join(materialize(hits, "replies"), "batch", "left")  # written, being needed twice
+    lesser = ask(hit.mapInArrow(claim, ASK), _lesser, given, _CLAIM).withColumnRenamed("replies", "lesser")
     schema = f"`{id_col}` bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept string, spans array<array<bigint>>" if with_text else "")
     return hit.join(lesser, "batch", "left").mapInArrow(finish, schema)
-
-
-def materialize_replies(batches: DataFrame, replies: DataFrame) -> DataFrame:
-    """Batches with their replies; the replies are written, being needed twice."""
-    from ..storage import materialize
-
-    return batches.join(materialize(replies, "replies"), "batch", "left")

@@ -22,12 +22,15 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize
 from . import arrow
-from .exchange import U64, Batch, ask, bits, loaded, ranges, split, write_batches
+from .exchange import ASK, U64, Batch, Ranges, ask, bits, loaded, posed, ragged, ranges, split, write_batches
 from .induced_sort import suffix_array
 
 SEED = 32
-_ASK = "part int, batch bigint, question binary"
+_SENT = "part int, batch bigint, question binary, sides binary"
+_ANCHOR = np.dtype([("at", "<u4"), ("low", "<u4"), ("hash", "<u8")])
 _CORE = np.dtype([("a", "<u8"), ("b", "<u8"), ("c", "<u8")])
+#: With the hash of the longer string's core, where passages are told, too.
+_CORES = np.dtype([("a", "<u8"), ("b", "<u8"), ("c", "<u8"), ("d", "<u8")])
 _PIECE = np.dtype([("a", "<u8"), ("b", "<u8"), ("left", "<i4"), ("right", "<i4"), ("starts", "<i4")])
 _START = np.dtype([("a", "<u8"), ("b", "<u8"), ("key", "<u8"), ("left", "<i4")])
 #: Shards of the starts of hot cores for each hash range.
@@ -40,83 +43,106 @@ def width(need: int) -> int:
     return min((d for d in range(1, places + 1) if places % d == 0), key=lambda d: abs(d - places / 9)) if places > 9 else 1
 
 
-class Anchors:
-    """The anchors of one batch, with the range of starts that each is the anchor of."""
-
-    def __init__(self, batch: Batch, need: int):
-        self.batch, self.need, self.step = batch, need, min(width(need), 63)
-        data, offsets = batch.data, batch.offsets
-        counts = np.maximum(np.diff(offsets) - need + 1, 0)
-        starts = np.arange(counts.sum()) + np.repeat(offsets[:-1] - (np.cumsum(counts) - counts), counts)
-        if not len(starts):
-            self.at = self.low = self.high = np.zeros(0, np.int64)
-            self.hash = np.zeros(0, U64)
-        else:
-            self.sums = arrow.prefix_sums(arrow.symbols(9)[data])
-            at = np.arange(len(data) - SEED + 1)
-            seeds = arrow.mix(arrow.range_hash(self.sums, at, at + SEED))
-            low_bits = U64(len(data).bit_length())
-            key = ((seeds >> low_bits) << low_bits) | at.astype(U64)  # the first of equal ones is the least
-            span = need - SEED + 1
-            whole = np.concatenate([key, np.full(-len(key) % span, ~U64(0))]).reshape(-1, span)
-            before = np.minimum.accumulate(whole, 1).ravel()
-            after = np.minimum.accumulate(whole[:, ::-1], 1)[:, ::-1].ravel()
-            least = np.minimum(after[starts], before[starts + span - 1])
-            own = (least & ((U64(1) << low_bits) - U64(1))).astype(np.int64)
-            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            self.at, self.low = own[first], starts[first]
-            self.high = starts[np.append(first[1:], len(own)) - 1]
-            self.hash = seeds[self.at]
+def anchors(batch: Batch, length: int) -> bytes:
+    """The place and hash of each anchor of the batch's strings of ``length`` bytes, with the first start that it is the anchor of."""
+    data, offsets = batch.data, batch.offsets
+    counts = np.maximum(np.diff(offsets) - length + 1, 0)
+    starts = ragged(offsets[:-1], counts)
+    if not len(starts):
+        return b""
+    sums = arrow.prefix_sums(arrow.symbols(9)[data])
+    at = np.arange(len(data) - SEED + 1)
+    seeds = arrow.mix(arrow.range_hash(sums, at, at + SEED))
+    low_bits = U64(len(data).bit_length())
+    key = ((seeds >> low_bits) << low_bits) | at.astype(U64)  # the first of equal ones is the least
+    span = length - SEED + 1
+    whole = np.concatenate([key, np.full(-len(key) % span, ~U64(0))]).reshape(-1, span)
+    before = np.minimum.accumulate(whole, 1).ravel()
+    after = np.minimum.accumulate(whole[:, ::-1], 1)[:, ::-1].ravel()
+    least = np.minimum(after[starts], before[starts + span - 1])
+    own = (least & ((U64(1) << low_bits) - U64(1))).astype(np.int64)
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    out = np.empty(len(first), _ANCHOR)
+    out["at"], out["low"], out["hash"] = own[first], starts[first], seeds[own[first]]
+    return out.tobytes()
+
+
+class Asked:
+    """The distinct anchors of one batch, as they are asked about."""
+
+    def __init__(self, notes: bytes):
+        self.found = np.frombuffer(notes, _ANCHOR)
+        self.hash = self.found["hash"].astype(U64)
         self.asked, self.which, self.count = np.unique(self.hash, return_inverse=True, return_counts=True)
 
-    def questions(self, n: int) -> Iterator[tuple[int, bytes]]:
+    def questions(self, number: int, given: Ranges) -> Iterator[pa.RecordBatch]:
         """31 bits of each distinct anchor, and whether it stands here twice."""
         packed = ((((self.asked >> U64(8)) & U64((1 << 31) - 1)) << U64(1)) | (self.count > 1).astype(U64)).astype("<u4")
-        cuts = split(self.asked, n)
-        return ((p, packed[cuts[p] : cuts[p + 1]].tobytes()) for p in range(n) if cuts[p + 1] > cuts[p])
-
-    def cores(self, replies: list[dict] | None, n: int) -> None:
-        """Start ranges of the anchors that repeat, cut by distance from the anchor; equal ones share an entry."""
-        keep = np.flatnonzero(bits(replies, split(self.asked, n))[self.which])
-        at, low, high, step, need = self.at[keep], self.low[keep], self.high[keep], self.step, self.need
-        near, far = (at - high) // step, (at - low) // step
+        return posed(number, packed, split(self.asked, given.n), given)
+
+
+class Pieces:
+    """The start ranges of one batch whose anchors repeat, for strings of ``need`` bytes and passages of ``least`` <= need bytes."""
+
+    def __init__(self, batch: Batch, notes: bytes, replies: list[dict] | None, given: Ranges, need: int, least: int):
+        self.batch, self.need, self.step, self.given = batch, need, min(width(need), 63), given
+        asked = Asked(notes)
+        keep = np.flatnonzero(bits(replies, given.outer(split(asked.asked, given.n)))[asked.which])
+        all_low = asked.found["low"].astype(np.int64)
+        doc = np.searchsorted(batch.offsets, all_low[keep], "right") - 1
+        ends = batch.offsets[doc + 1]
+        at, low = asked.found["at"][keep].astype(np.int64), all_low[keep]
+        high = np.minimum(np.append(all_low, len(batch.data))[keep + 1] - 1, ends - least)
+        near, far = (at - high) // self.step, (at - low) // self.step
         k = far - near + 1
         owner = np.repeat(np.arange(len(keep)), k)
-        bucket = near[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(k) - k, k)
-        self.core = at[owner] - step * bucket
-        self.core_end = self.core - step + 1 + need
-        self.from_, self.to = np.maximum(low[owner], self.core - step + 1), np.minimum(high[owner], self.core)
+        bucket = ragged(near, k)
+        # the bytes that all strings of a start range share, cut by distance from the anchor
+        self.core = at[owner] - self.step * bucket
+        self.passage_end, self.core_end = self.core - self.step + 1 + least, self.core - self.step + 1 + need
+        self.from_ = np.maximum(low[owner], self.core - self.step + 1)
+        last = ends[owner] - need
+        self.to = np.minimum(np.minimum(high[owner], self.core), last)  # below from_ if no whole string starts here
+        kind = _CORES if least < need else _CORE
+        row = np.zeros(len(owner), kind)
         if len(owner):
-            salt = arrow.mix(self.hash[keep][owner] + bucket.astype(U64))
-            a = arrow.mix(arrow.range_hash(self.sums, self.core, self.core_end) ^ salt)
-            other = self.other = arrow.prefix_sums(arrow.symbols(77)[self.batch.data])
-            b = arrow.mix(arrow.range_hash(other, self.core, self.core_end) + salt)
-            shape = ((self.core - self.from_) * 64 + (self.to - self.from_)).astype(U64)
-            c = arrow.mix(arrow.range_hash(self.sums, self.from_, self.to + need) ^ arrow.mix(arrow.range_hash(other, self.from_, self.to + need) + shape)) & ~U64(1)
-        else:
-            a = b = c = np.zeros(0, U64)
-        order = np.lexsort((c, b, a))
-        a, b, c = a[order], b[order], c[order]
-        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1]))[: len(order)]
+            sums = self.sums = arrow.prefix_sums(arrow.symbols(9)[batch.data])
+            other = self.other = arrow.prefix_sums(arrow.symbols(77)[batch.data])
+            salt = arrow.mix(asked.hash[keep][owner] + bucket.astype(U64))
+            row["a"] = arrow.mix(arrow.range_hash(sums, self.core, self.passage_end) ^ salt)
+            row["b"] = arrow.mix(arrow.range_hash(other, self.core, self.passage_end) + salt)
+            whole = np.flatnonzero(self.to >= self.from_)
+            x, y, from_ = self.core[whole], self.to[whole], self.from_[whole]
+            shape = ((x - from_) * 64 + (y - from_)).astype(U64)
+            row["c"][whole] = arrow.mix(arrow.range_hash(sums, from_, y + need) ^ arrow.mix(arrow.range_hash(other, from_, y + need) + shape)) & ~U64(1)
+            if least < need:
+                row["d"][whole] = arrow.mix(arrow.range_hash(sums, x, self.core_end[whole]) + arrow.mix(arrow.range_hash(other, x, self.core_end[whole]))) | U64(1)
+        # equal ranges share an entry
+        names = ("a", "b", "d", "c") if least < need else ("a", "b", "c")
+        order = np.lexsort([row[x] for x in names[::-1]])
+        row = row[order]
+        new = np.append(True, np.logical_or.reduce([row[x][1:] != row[x][:-1] for x in names]))[: len(order)]
         self.entry = np.empty(len(order), np.int64)
         self.entry[order] = np.cumsum(new) - 1
         self.sample = order[new]  # one occurrence of each entry
-        self.rows = np.empty(len(self.sample), _CORE)
-        self.rows["a"], self.rows["b"] = a[new], b[new]
-        self.rows["c"] = c[new] | (np.bincount(self.entry, minlength=len(self.sample)) > 1).astype(U64)
+        self.rows = row[new]
+        self.rows["c"] |= (np.bincount(self.entry, minlength=len(self.sample)) > 1).astype(U64)
+        self.cuts = split(self.rows["a"], given.n)
 
-    def core_questions(self, n: int) -> Iterator[tuple[int, bytes]]:
-        cuts = split(self.rows["a"], n)
-        return ((p, self.rows[cuts[p] : cuts[p + 1]].tobytes()) for p in range(n) if cuts[p + 1] > cuts[p])
+    def core_questions(self, number: int) -> Iterator[pa.RecordBatch]:
+        return posed(number, self.rows, self.cuts, self.given)
 
-    def pieces(self, replies: list[dict] | None, n: int) -> None:
+    def told(self, replies: list[dict] | None) -> None:
         """Which entries stand twice as they are, and which this batch sends to be sorted, whole or, of hot cores, start by start."""
-        self.cuts = split(self.rows["a"], n)
-        said = bits(replies, self.cuts, 3)
+        said = bits(replies, self.given.outer(self.cuts), 4)
+        self.passage, self.of_core = said[:, 3], self.rows
+        if "d" in self.rows.dtype.names:
+            self.of_core = np.empty(len(self.rows), _CORE)
+            self.of_core["a"], self.of_core["b"] = arrow.mix(self.rows["a"] ^ self.rows["d"]), arrow.mix(self.rows["b"] + self.rows["d"])
         self.twin, self.sent, hot = said[:, 0], np.flatnonzero(said[:, 1] & ~said[:, 2]), np.flatnonzero(said[:, 1] & said[:, 2])
         i = self.sample[hot]
         starts = self.to[i] - self.from_[i] + 1
-        at, owner = _ragged(self.from_[i], starts), np.repeat(hot, starts)
+        at, owner = ragged(self.from_[i], starts), np.repeat(hot, starts)
         a = b = np.zeros(0, U64)
         if len(at):
             a, b = (arrow.mix(arrow.range_hash(x, at, at + self.need)) for x in (self.sums, self.other))
@@ -127,39 +153,36 @@ class Anchors:
         self.start_at, self.start_of = at[order], which  # places of all starts, and which sent one each is equal to
         self.start_twin = np.bincount(which, minlength=new.sum()) > 1
         self.start_sent, self.start_owner, self.start_key = at[order[new]], owner[order[new]], a[new]
-        self.start_cuts = split(self.start_key, SUBSHARDS * n)
+        self.start_cuts = split(self.start_key, SUBSHARDS * self.given.n)
 
-    def sendings(self, n: int) -> Iterator[tuple[int, bytes, bytes]]:
+    def sendings(self) -> Iterator[tuple[int, bytes, bytes]]:
         """For each range: the sent pieces, and the bytes before and after their cores."""
         cuts = np.searchsorted(self.sent, self.cuts)
-        for p in range(n):
+        for p in np.flatnonzero(np.diff(cuts)).tolist():
             own = self.sent[cuts[p] : cuts[p + 1]]
-            if not len(own):
-                continue
             i = self.sample[own]
             rows = np.empty(len(own), _PIECE)
-            rows["a"], rows["b"] = self.rows["a"][own], self.rows["b"][own]
+            rows["a"], rows["b"] = self.of_core["a"][own], self.of_core["b"][own]
             rows["left"], rows["right"] = self.core[i] - self.from_[i], self.to[i] + self.need - self.core_end[i]
             rows["starts"] = self.to[i] - self.from_[i] + 1
             sides = np.stack([self.from_[i], self.core_end[i]], 1).ravel()
             sizes = np.stack([rows["left"], rows["right"]], 1).ravel().astype(np.int64)
-            yield p, rows.tobytes(), self.batch.data[_ragged(sides, sizes)].tobytes()
-        for p in range(SUBSHARDS * n):
+            yield p, rows.tobytes(), self.batch.data[ragged(sides, sizes)].tobytes()
+        for p in np.flatnonzero(np.diff(self.start_cuts)).tolist():
             own = slice(self.start_cuts[p], self.start_cuts[p + 1])
             at, e = self.start_sent[own], self.start_owner[own]
-            if not len(at):
-                continue
             i = self.sample[e]
             rows = np.empty(len(at), _START)
-            rows["a"], rows["b"], rows["key"], rows["left"] = self.rows["a"][e], self.rows["b"][e], self.start_key[own], self.core[i] - at
+            rows["a"], rows["b"], rows["key"], rows["left"] = self.of_core["a"][e], self.of_core["b"][e], self.start_key[own], self.core[i] - at
             sides = np.stack([at, self.core_end[i]], 1).ravel()
             sizes = np.stack([self.core[i] - at, at + self.need - self.core_end[i]], 1).ravel()
-            yield n + p, rows.tobytes(), self.batch.data[_ragged(sides, sizes)].tobytes()
+            yield self.given.n + p, rows.tobytes(), self.batch.data[ragged(sides, sizes)].tobytes()
 
-    def gone(self, replies: list[dict] | None, n: int) -> np.ndarray:
+    def gone(self, replies: list[dict] | None) -> np.ndarray:
         """Bytes covered by a string that also starts elsewhere; ``replies`` have a bit for each start of each sent piece."""
+        n = self.given.n
         edge = np.zeros(len(self.batch.data) + 1, np.int64)
-        full = self.twin[self.entry]
+        full = self.twin[self.entry] & (self.to >= self.from_)
         np.add.at(edge, self.from_[full], 1)
         np.add.at(edge, self.to[full] + self.need, -1)
         cuts = np.searchsorted(self.sent, self.cuts)
@@ -180,10 +203,13 @@ class Anchors:
         np.add.at(edge, s + self.need, -1)
         return np.cumsum(edge)[:-1] > 0
 
-
-def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """start, start + 1 .. for each size, one after the other."""
-    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    def in_passages(self) -> np.ndarray:
+        """Bytes of cores of passages that stand in more than one place."""
+        edge = np.zeros(len(self.batch.data) + 1, np.int64)
+        told = self.passage[self.entry]
+        np.add.at(edge, self.core[told], 1)
+        np.add.at(edge, self.passage_end[told], -1)
+        return np.cumsum(edge)[:-1] > 0
 
 
 def _repeating(questions: list[bytes]) -> list[bytes]:
@@ -195,24 +221,28 @@ def _repeating(questions: list[bytes]) -> list[bytes]:
     return [np.packbits(x).tobytes() for x in np.split(twice[which], np.cumsum([len(q) // 4 for q in questions])[:-1])]
 
 
-def _shared(questions: list[bytes], most: int) -> list[bytes]:
-    """For each entry: whether it stands twice as it is; whether its core has other entries, and this question is the one to send it; whether it has more than ``most``."""
-    rows = np.frombuffer(b"".join(questions), _CORE)
+def _shared(questions: list[bytes], most: int, kind: np.dtype = _CORE) -> list[bytes]:
+    """For each entry: whether it stands twice as it is; whether its core has other entries, and this question is the one to send it; whether it has more than ``most``; whether its passage's core stands twice."""
+    rows = np.frombuffer(b"".join(questions), kind)
     multi, c = rows["c"] & U64(1) > 0, rows["c"] & ~U64(1)
-    order = np.lexsort((c, rows["b"], rows["a"]))
-    a, b, c = rows["a"][order], rows["b"][order], c[order]
-    core = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    d = rows["d"] if "d" in kind.names else np.ones(len(rows), U64)  # 0: no whole string starts in the range
+    order = np.lexsort((c, d, rows["b"], rows["a"]))
+    a, b, c, d, multi = rows["a"][order], rows["b"][order], c[order], d[order], multi[order]
+    passage = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    core = passage.copy()
+    core[1:] |= d[1:] != d[:-1]
     entry = core.copy()
     entry[1:] |= c[1:] != c[:-1]
-    of_core, of_entry = np.cumsum(core) - 1, np.cumsum(entry) - 1
-    twin = np.bincount(of_entry) > 1
-    twin[of_entry[multi[order]]] = True
+    of_passage, of_core, of_entry = np.cumsum(passage) - 1, np.cumsum(core) - 1, np.cumsum(entry) - 1
+    twin, told = np.bincount(of_entry) > 1, np.bincount(of_passage) > 1
+    twin[of_entry[multi]] = told[of_passage[multi]] = True
     kinds = np.bincount(of_core[entry])
-    out = np.zeros((len(rows), 3), bool)
-    out[order, 0] = twin[of_entry]
-    out[order, 1] = entry & (kinds[of_core] > 1)  # the first of equal entries sends
+    out = np.zeros((len(rows), 4), bool)
+    out[order, 0] = twin[of_entry] & (d > 0)
+    out[order, 1] = entry & (kinds[of_core] > 1) & (d > 0)  # the first of equal entries sends
     out[order, 2] = kinds[of_core] > most
-    cuts = np.cumsum([len(q) // _CORE.itemsize for q in questions])[:-1]
+    out[order, 3] = told[of_passage]
+    cuts = np.cumsum([len(q) // kind.itemsize for q in questions])[:-1]
     return [np.packbits(x).tobytes() for x in np.split(out, cuts)]
 
 
@@ -228,10 +258,10 @@ def sort_pieces(pieces: np.ndarray, sides: np.ndarray, step: int, most: int) ->
     text = np.empty(size.sum(), np.int64)
     text[start + left] = core
     text[start + size - 1] = core.max() + 1 + np.arange(len(pieces))  # no two ends are equal
-    text[_ragged(np.stack([start, start + left + 1], 1).ravel(), np.stack([left, right], 1).ravel())] = sides
+    text[ragged(np.stack([start, start + left + 1], 1).ravel(), np.stack([left, right], 1).ravel())] = sides
     is_start = np.full(len(text), -1, np.int64)
     starts = pieces["starts"].astype(np.int64)
-    is_start[_ragged(start, starts)] = np.repeat(np.arange(len(pieces)), starts)
+    is_start[ragged(start, starts)] = np.repeat(np.arange(len(pieces)), starts)
     order, common = suffix_array(text, most, cap=step)
     at = np.flatnonzero(is_start[order] >= 0)
     # the common prefix of neighbouring starts is the least of all between them
@@ -262,58 +292,52 @@ def sort_starts(starts: np.ndarray, sides: np.ndarray, step: int, most: int) ->
     return found
 
 
-def dedup(docs: DataFrame, need: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, sorted_at_once: int = 1 << 20, hot: int = 1 << 13) -> DataFrame:
-    """One row for each row of docs: (id, n_bytes, n_removed, n_spans, kept_sha256), and if with_text ``kept``
+def dedup(docs: DataFrame, need: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, passage: int | None = None, sorted_at_once: int = 1 << 20, hot: int = 1 << 13) -> DataFrame:
+    """One row for each row of docs: (id, n_bytes, n_removed, n_spans, kept_sha256), with ``passage`` n_passage, and if with_text ``kept``
     (binary), ``kept_text`` (the same without the halves of characters that a cut may leave) and ``spans`` (first and end byte).
 
     A byte of a text's UTF-8 goes if it lies in a string of ``need`` bytes that starts anywhere else as well, in the same text
-    or another; every copy goes. Strings lie in one text and are judged on the input. Ids are whole numbers or
+    or another; every copy goes. ``n_passage`` tells shorter repeats, which stay: the bytes of passages' cores that stand in more than one place. Each string of ``passage``
+    bytes that starts anywhere else has a core of at least passage - width(need) + 1 bytes, so none of that length is missed and none shorter than its core counts. Strings lie in one text and are judged on the input. Ids are whole numbers or
     null and play no part, so repeated rows remove each other; a null text is empty; an empty table gives no rows;
     other columns are not read. Texts are read whole. A core of more than ``hot`` start ranges is sorted start by start. Cores, start ranges
     that stand twice as they are, and starts of hot cores that stand twice in a batch are compared by 128 bits of hash, the rest by its bytes.
     """
-    if need <= SEED:
-        raise ValueError(f"need is more than {SEED} bytes")
-    batches = write_batches(docs, id_col, text_col)
-    n, step = ranges(batches), min(width(need), 63)
-
-    def row(p: int, number: int, *blobs: bytes) -> pa.RecordBatch:
-        names = ["part", "batch", "question", "sides"][: 2 + len(blobs)]
-        return pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([number], pa.int64()), *[pa.array([x], pa.binary()) for x in blobs]], names)
+    least = need if passage is None else passage
+    step = min(width(need), 63)
+    if least > need or least - step + 1 < SEED or need <= SEED:
+        raise ValueError(f"need is more than {SEED} bytes, and a passage is no longer than that and has a core of {SEED} bytes")
+    batches = write_batches(docs, id_col, text_col, notes=partial(anchors, length=least))
+    given, kind = ranges(batches), _CORES if least < need else _CORE
 
     def first(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, b, _ in loaded(rows):
-            for p, q in Anchors(b, need).questions(n):
-                yield row(p, number, q)
+        for b in rows:
+            for number, notes in zip(b.column("batch").to_pylist(), b.column("notes").to_pylist(), strict=True):
+                yield from Asked(notes).questions(number, given)
 
     def second(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, b, more in loaded(rows):
-            x = Anchors(b, need)
-            x.cores(more["anchors"], n)
-            for p, q in x.core_questions(n):
-                yield row(p, number, q)
+            yield from Pieces(b, more["notes"], more["anchors"], given, need, least).core_questions(number)
 
     def third(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, b, more in loaded(rows):
-            x = Anchors(b, need)
-            x.cores(more["anchors"], n)
-            x.pieces(more["cores"], n)
-            for p, q, s in x.sendings(n):
-                yield row(p, number, q, s)
+            x = Pieces(b, more["notes"], more["anchors"], given, need, least)
+            x.told(more["cores"])
+            for p, q, s in x.sendings():
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([number], pa.int64()), pa.array([q], pa.binary()), pa.array([s], pa.binary())], ["part", "batch", "question", "sides"])
 
     def settle(table: pa.Table) -> pa.Table:
         questions = table.column("question").to_pylist()
-        kind, sort = (_PIECE, sort_pieces) if table.column("part")[0].as_py() < n else (_START, sort_starts)
-        mask = sort(np.frombuffer(b"".join(questions), kind), np.frombuffer(b"".join(table.column("sides").to_pylist()), np.uint8), step, sorted_at_once)
-        cuts = np.cumsum([len(q) // kind.itemsize for q in questions])[:-1]
+        of, sort = (_PIECE, sort_pieces) if table.column("part")[0].as_py() < given.n else (_START, sort_starts)
+        mask = sort(np.frombuffer(b"".join(questions), of), np.frombuffer(b"".join(table.column("sides").to_pylist()), np.uint8), step, sorted_at_once)
+        cuts = np.cumsum([len(q) // of.itemsize for q in questions])[:-1]
         return pa.table({"part": table.column("part").cast(pa.int32()), "batch": table.column("batch"), "reply": pa.array([m.tobytes() for m in np.split(mask, cuts)], pa.binary())})
 
     def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, b, more in loaded(rows):
-            x = Anchors(b, need)
-            x.cores(more["anchors"], n)
-            x.pieces(more["cores"], n)
-            gone = x.gone(more["repeats"], n)
+            x = Pieces(b, more["notes"], more["anchors"], given, need, least)
+            x.told(more["cores"])
+            gone = x.gone(more["repeats"])
             begins = gone.copy()
             begins[1:] &= ~gone[:-1]
             inner = b.offsets[(b.offsets > 0) & (b.offsets < len(gone))]
@@ -330,23 +354,30 @@ def dedup(docs: DataFrame, need: int = 400, id_col: str = "doc_id", text_col: st
                     texts.append(kept)
                     spans.append(np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))).reshape(-1, 2).tolist())
             cols = [pa.array(b.ids, mask=~b.known), pa.array(np.diff(b.offsets)), pa.array(lost), pa.array(count(begins)), pa.array(digests, pa.string())]
+            if passage:
+                cols += [pa.array(count(x.in_passages()))]
             if with_text:
                 cols += [pa.array(texts, pa.binary()), pa.array([t.decode(errors="ignore") for t in texts], pa.string()), pa.array(spans, pa.list_(pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays(cols, [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text", "spans"][: len(cols)])
+            yield pa.RecordBatch.from_arrays(cols, list(fields))
 
     def replied(to: DataFrame, replies: DataFrame, name: str) -> DataFrame:
         return to.join(materialize(replies.withColumnRenamed("replies", name), name), "batch", "left")
 
-    known = replied(batches, ask(batches.mapInArrow(first, _ASK), _repeating, n), "anchors")
-    known = replied(known, ask(known.mapInArrow(second, _ASK), partial(_shared, most=hot), n), "cores")
-    sent = known.mapInArrow(third, _ASK + ", sides binary").repartition(max(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "part")
+    fields = {id_col: "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"}
+    fields |= {"n_passage": "bigint"} if passage else {}
+    fields |= {"kept": "binary", "kept_text": "string", "spans": "array<array<bigint>>"} if with_text else {}
+    known = replied(batches, ask(batches.select("batch", "notes").mapInArrow(first, ASK), _repeating, given, "<u4"), "anchors")
+    known = replied(known, ask(known.mapInArrow(second, ASK), partial(_shared, most=hot, kind=kind), given, kind, 4), "cores")
+    sent = known.mapInArrow(third, _SENT).repartition(max(given.n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "part")
     settled = sent.groupBy("part").applyInArrow(settle, "part int, batch bigint, reply binary").groupBy("batch").agg(F.collect_list(F.struct("part", "reply")).alias("repeats"))
-    schema = f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary, kept_text string, spans array<array<bigint>>" if with_text else "")
-    return known.join(materialize(settled, "repeats"), "batch", "left").mapInArrow(finish, schema)
+    return known.join(materialize(settled, "repeats"), "batch", "left").mapInArrow(finish, ", ".join(f"`{name}` {kind_}" for name, kind_ in fields.items()))
 
 
 def without_repeats(docs: DataFrame, need: int = 400, text_col: str = "text") -> DataFrame:
-    """docs with the kept part of each text, without the halves of characters that a cut may leave. A null text stays null."""
+    """docs with the kept part of each text by the rules of dedup(), without the halves of characters that a cut may leave.
+
+    A null text stays null and an empty one empty, repeated rows lose all that they share, an empty table gives an empty one, and other columns stay as they are whatever those are called.
+    """
     key, there = "_row", "_there"
     while {key, there} & {*docs.columns}:
         key, there = key + "_", there + "_"
