@@ -31,13 +31,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that stand more than once go from the texts; n_chars follows."""
-    return without_repeats(docs, need=400).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    """Strings of 240 bytes, about 50 short words, that stand more than once go from the texts; n_chars follows."""
+    return without_repeats(docs, need=240).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled to the target shares of sources, languages and topics."""
-    return sample(docs, budget=0.5)
+    """Documents are sampled to the target shares of sources, languages and genres; the corpus keeps about its size."""
+    return sample(docs, budget=1.0)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """Plain versions to hold the operators against."""
 
 import hashlib
-from collections import Counter
+from collections import Counter, defaultdict
+from math import floor
+
+import regex
 
 
 def grams(words, n):
@@ -75,5 +78,57 @@ def byte_dedup(rows, need):
     return out
 
 
+def kept_bytes(rows, need):
+    """What byte_dedup() keeps of each row, in the order of rows."""
+    texts = [(t or "").encode() for _, t in rows]
+    count = Counter(t[k : k + need] for t in texts for k in range(len(t) - need + 1))
+    out = []
+    for t in texts:
+        gone = bytearray(len(t))
+        for k in range(len(t) - need + 1):
+            if count[t[k : k + need]] > 1:
+                gone[k : k + need] = b"\1" * need
+        out.append(bytes(c for c, g in zip(t, gone, strict=True) if not g))
+    return out
+
+
+def mixed(rows, temper, seed=17):
+    """id -> (topic, tokens, rate, copies) for rows of (id, text, lang, source)."""
+    n = lambda p, t: len(regex.findall(p, t))
+    tokens = {i: n(r"\p{L}{1,6}|\p{N}{1,3}|[^\s\p{L}\p{N}]{1,3}", t) for i, t, _, _ in rows}
+    letters, words, marks = ({i: n(p, t) for i, t, _, _ in rows} for p in (r"\p{L}", r"[^\x20\x09-\x0D]+", r"[^\s\p{L}]"))
+    form = [{i: letters[i] / words[i] for i in words if words[i]}, {i: marks[i] / (letters[i] + marks[i]) for i in letters if letters[i] + marks[i]}]
+    cuts = [[sorted(f.values())[max(0, -(-len(f) * k // 3) - 1)] for k in (1, 2)] for f in form]
+    place = lambda k, i: "".join(str(int(form[k][i] > c)) for c in cuts[k])
+    topic = {i: f"long{place(0, i)} marked{place(1, i)}" if all(i in f for f in form) else None for i in tokens}
+    cell = {i: {"source": s, "lang": x, "topic": topic[i]} for i, _, x, s in rows}
+    goal, weight = {}, {}
+    for d, power in temper.items():
+        by = defaultdict(int)
+        for i, c in cell.items():
+            by[c[d]] += tokens[i]
+        goal[d] = {v: x**power / sum(y**power for y in by.values()) for v, x in by.items()}
+        weight[d] = dict.fromkeys(by, 1.0)
+    total = sum(tokens.values())
+    for _ in range(50):
+        off = 0
+        for d in temper:
+            mass = defaultdict(float)
+            for i, c in cell.items():
+                others = [weight[o][c[o]] for o in temper if o != d]
+                mass[c[d]] += tokens[i] * others[0] * others[1]
+            new = {v: share * total / mass[v] if mass[v] else 1.0 for v, share in goal[d].items()}
+            off = max(off, *(abs(new[v] / weight[d][v] - 1) for v in new))
+            weight[d] = new
+        if off <= 1e-6:
+            break
+    out = {}
+    for i, c in cell.items():
+        rate = round(weight["source"][c["source"]] * weight["lang"][c["lang"]] * weight["topic"][c["topic"]], 6)
+        chance = int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        out[i] = topic[i], tokens[i], rate, floor(rate) + (chance < rate - floor(rate))
+    return out
+
+
 def plain(rows):
     return sorted(map(tuple, rows), key=lambda r: tuple((x is not None, str(type(x)), x) if not isinstance(x, bool) else (True, "", x) for x in r))

@@ -7,6 +7,8 @@ sampled with their cell's calibrated probability.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,16 +17,34 @@ from ..storage import materialize
 DIMENSIONS = ("source", "lang", "topic")
 #: Target shares are the token shares to this power, made to add up to one: below 1 lifts what is rare.
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 0.9}
+#: What a tokenizer of sub-words never joins: a run of letters, a few figures, a run of other marks. Long words count once for each six letters.
+PIECES = "\\p{L}{1,6}|\\p{N}{1,3}|[^\\s\\p{L}\\p{N}]{1,3}"
+#: The quantiles of each measure of form() that part the corpus into genres.
+PARTED = (1 / 3, 2 / 3)
+
 
+def pieces_in(text: Column) -> Column:
+    """About the tokens of a sub-word tokenizer, for tables without a column of token counts."""
+    return F.coalesce(F.regexp_count(text, F.lit(PIECES)), F.lit(0)).cast("bigint")
 
-def topic_of(text: Column) -> Column:
-    """A coarse topic from the form of the text, for tables without one of their own."""
+
+def form(text: Column) -> dict[str, Column]:
+    """What genres go by: letters in a word, and the share of all characters that are marks or figures. Null without words."""
     t = F.coalesce(text, F.lit(""))
-    return F.when(F.contains(t, F.lit(" | ")), "table").when(F.contains(t, F.lit("icense")), "legal").when(F.contains(t, F.lit("@")), "contact").otherwise("prose")
+    letters, words = F.regexp_count(t, F.lit("\\p{L}")), F.regexp_count(t, F.lit("[^\\x20\\x09-\\x0D]+"))
+    marks = F.regexp_count(t, F.lit("[^\\s\\p{L}]"))
+    return {"long": F.try_divide(letters, words), "marked": F.try_divide(marks, letters + marks)}
+
 
+def genres(rows: DataFrame, accuracy: int = 10_000) -> DataFrame:
+    """One row of quantiles of each measure over all documents, from mergeable sketches."""
+    return rows.agg(*[F.percentile_approx(f"_{n}", list(PARTED), accuracy).alias(f"_at_{n}") for n in ("long", "marked")])
 
-def words_in(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("bigint")
+
+def genre() -> Column:
+    """The class of a row among the corpus's quantiles: words from short to long, then marks from few to many; null without words."""
+    place = lambda n: F.concat(*[(F.col(f"_{n}") > F.col(f"_at_{n}")[i]).cast("int").cast("string") for i in range(len(PARTED))])
+    return F.concat(F.lit("long"), place("long"), F.lit(" marked"), place("marked"))
 
 
 def chance(id_: Column, text: Column, seed: int) -> Column:
@@ -33,44 +53,56 @@ def chance(id_: Column, text: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int) -> dict[str, DataFrame]:
-    """A weight table (v, w) for each dimension. cells: the dimensions and ``tokens``; targets: (v, share)."""
-    weights = {d: t.select("v", F.lit(1.0).alias("w")) for d, t in targets.items()}
-    total = cells.agg(F.sum("tokens").alias("total"))  # one row
-    for _ in range(rounds):
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float, most_rounds: int) -> DataFrame:
+    """cells with a weight ``w_<dimension>`` for each dimension. cells: the dimensions as text, and ``tokens``; targets: (v, share) by dimension.
+
+    Each round rakes one dimension after the other and is written; ``off`` is how far the tokens of a cell's values were from
+    their targets before, relative to those. Rounds end once none is further off than ``tolerance``. Targets
+    that no weights meet, as where two dimensions say the same and their targets don't, end with a warning after ``most_rounds``.
+    """
+    small = int(str(cells._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 4 << 20
+    now = cells.crossJoin(F.broadcast(cells.agg(F.sum("tokens").cast("double").alias("total"))))  # one row
+    for d in DIMENSIONS:
+        goal = targets[d].select(F.col("v").cast("string").alias("v"), F.col("share").cast("double").alias(f"share_{d}"))
+        now = now.join(goal, F.col(d).eqNullSafe(F.col("v"))).drop("v").withColumn(f"w_{d}", F.lit(1.0))
+    # a few cells are one partition, whose sums need no shuffle
+    now = materialize(now.coalesce(1) if small else now, "raked")
+    worst = None
+    for _ in range(most_rounds):
+        off = []
         for d in DIMENSIONS:
-            mass = cells
-            for other in DIMENSIONS:
-                if other != d:
-                    mass = mass.join(weights[other].select(F.col("v").alias(f"_{other}"), F.col("w").alias(f"_w_{other}")), F.col(other).eqNullSafe(F.col(f"_{other}")))
-            product = F.col("tokens").cast("double")
-            for other in DIMENSIONS:
-                if other != d:
-                    product = product * F.col(f"_w_{other}")
-            sums = mass.groupBy(F.col(d).alias("s")).agg(F.sum(product).alias("mass")).join(F.broadcast(total), F.lit(True))
-            new = targets[d].join(sums, F.col("v").eqNullSafe(F.col("s"))).select("v", F.when(F.col("mass") > 0, F.col("share") * F.col("total") / F.col("mass")).otherwise(F.lit(1.0)).alias("w"))
-            weights[d] = materialize(new, "weights")
-    return weights
+            a, b = (F.col(f"w_{x}") for x in DIMENSIONS if x != d)
+            sums = now.groupBy(F.col(d).alias("_v")).agg(F.sum(F.col("tokens") * a * b).alias("_mass"))
+            new = F.when(F.col("_mass") > 0, F.col(f"share_{d}") * F.col("total") / F.col("_mass")).otherwise(F.lit(1.0))
+            off.append(f"_off_{d}")
+            now = now.join(sums, F.col(d).eqNullSafe(F.col("_v"))).withColumns({f"w_{d}": new, off[-1]: F.abs(F.coalesce(F.try_divide(new, F.col(f"w_{d}")), F.lit(1.0)) - 1)}).drop("_v", "_mass")
+        now = materialize(now.withColumn("off", F.greatest(*off)).drop(*off), "raked")
+        worst = now.agg(F.max("off")).first()[0]  # one number
+        if worst is None or worst <= tolerance:
+            return now
+        now = now.drop("off")
+    warnings.warn(f"a value's tokens were {worst:.1e} off their target, relative to it, before the last of {most_rounds} rounds", stacklevel=2)
+    return now
 
 
 def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     """(v, share) from the token shares to ``power``."""
     by = cells.groupBy(F.col(dimension).alias("v")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("p"))
-    return materialize(by.join(F.broadcast(by.agg(F.sum("p").alias("all"))), F.lit(True)).select("v", F.when(F.col("all") > 0, F.col("p") / F.col("all")).otherwise(F.lit(0.0)).alias("share")), "targets")
+    every = by.agg(F.sum("p").alias("all"))  # one row
+    return by.join(F.broadcast(every), F.lit(True)).select("v", F.when(F.col("all") > 0, F.col("p") / F.col("all")).otherwise(F.lit(0.0)).alias("share"))
 
 
-def rates(cells: DataFrame, budget: float, rounds: int, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+def rates(cells: DataFrame, budget: float, tolerance: float, most_rounds: int, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """(source, lang, topic, rate): the expected number of copies of each document of the cell.
 
-    The weighted tokens of the rates are ``budget`` times the tokens there are, in the target shares.
+    The weighted tokens of the rates are ``budget`` times the tokens there are, in the target shares as far as rake() meets them.
     """
-    goals = {d: (targets or {}).get(d) for d in DIMENSIONS}
-    goals = {d: tempered(cells, d, TEMPER[d]) if t is None else t for d, t in goals.items()}
-    out, product = cells.select(*DIMENSIONS), F.lit(budget)
-    for d, w in rake(cells, goals, rounds).items():
-        out = out.join(w.select(F.col("v").alias(f"_{d}"), F.col("w").alias(f"_w_{d}")), F.col(d).eqNullSafe(F.col(f"_{d}")))
-        product = product * F.col(f"_w_{d}")
-    return materialize(out.select(*DIMENSIONS, F.round(product, 9).alias("rate")), "rates")
+    goals = {d: tempered(cells, d, TEMPER[d]) if (targets or {}).get(d) is None else targets[d] for d in DIMENSIONS}
+    raked, product = rake(cells, goals, tolerance, most_rounds), F.lit(budget)
+    for d in DIMENSIONS:
+        product = product * F.col(f"w_{d}")
+    # no target says anything of a cell without tokens
+    return materialize(raked.select(*DIMENSIONS, F.when(F.col("tokens") > 0, F.round(product, 6)).otherwise(F.lit(float(budget))).alias("rate")), "rates")
 
 
 def _with_rates(rows: DataFrame, table: DataFrame) -> DataFrame:
@@ -85,55 +117,70 @@ def _copies() -> Column:
     return (F.floor("_rate") + F.when(F.col("_chance") < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)).cast("int")
 
 
-def _cells(rows: DataFrame) -> DataFrame:
-    return materialize(rows.groupBy(*[F.col(f"_d_{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("_tokens").alias("tokens")), "cells")
+def _marked(docs: DataFrame, held: Column, id_col: str, text_col: str, source_col: str, lang_col: str, topic: Column | None, tokens: Column | None, seed: int) -> DataFrame:
+    """A written row for each row of docs: (_held, _d_source, _d_lang, _d_topic, _tokens, _chance)."""
+    text = F.col(text_col)
+    marks = {"_d_source": F.col(source_col).cast("string"), "_d_lang": F.col(lang_col).cast("string"), "_tokens": pieces_in(text) if tokens is None else F.coalesce(tokens, F.lit(0)).cast("bigint"), "_chance": chance(F.col(id_col), text, seed)}
+    marks |= {f"_{n}": x for n, x in form(text).items()} if topic is None else {"_d_topic": topic.cast("string")}
+    rows = materialize(docs.select(held.alias("_held"), *[c.alias(n) for n, c in marks.items()]), "marked")
+    if topic is None:
+        rows = rows.join(F.broadcast(genres(rows)), F.lit(True)).withColumn("_d_topic", genre())  # one row
+    return rows.select("_held", *[f"_d_{d}" for d in DIMENSIONS], "_tokens", "_chance")
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic: Column | None, seed: int) -> dict[str, Column]:
-    text = F.col(text_col)
-    return {"_d_source": F.col(source_col), "_d_lang": F.col(lang_col), "_d_topic": topic_of(text) if topic is None else topic, "_tokens": words_in(text), "_chance": chance(F.col(id_col), text, seed)}
+def _rated(rows: DataFrame, budget: float, tolerance: float, most_rounds: int, targets: dict[str, DataFrame] | None) -> DataFrame:
+    cells = materialize(rows.groupBy(*[F.col(f"_d_{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("_tokens").alias("tokens")), "cells")
+    return _with_rates(rows, rates(cells, budget, tolerance, most_rounds, targets))
 
 
-def sample_table(docs: DataFrame, budget: float = 0.5, rounds: int = 8, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+def sample_table(docs: DataFrame, budget: float = 1.0, tolerance: float = 1e-6, most_rounds: int = 50, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, tokens: Column | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """One row for each row of docs: (id, source, lang, topic, tokens, rate, copies).
 
     ``copies`` is the rate's whole part, and one more with the chance of the rest; the chance is fixed by
-    the id, so a task that runs again decides alike, and repeated rows of one id are taken or left together.
+    the id, so a task that runs again decides alike, and repeated rows of one id are taken or left together. At a ``budget`` of 1 the sample has
+    about the tokens of docs. ``topic`` and ``tokens`` are columns of docs; without them genre() and pieces_in() stand in.
     Null sources, languages and topics are values like others; a null text has no tokens and still has its cell's
-    rate; rows with a null id are decided by their text; an empty table gives no rows; other columns are not read.
+    rate, which is ``budget`` where the whole cell has none; null tokens are 0; rows with a null id are decided by their text; an empty table gives no rows; other columns are not read.
     """
-    marks = _marked(docs, id_col, text_col, source_col, lang_col, topic, seed)
-    rows = materialize(docs.select(F.col(id_col).alias("_id"), *[c.alias(n) for n, c in marks.items()]), "marked")
-    both = _with_rates(rows, rates(_cells(rows), budget, rounds, targets))
-    return both.select(F.col("_id").alias(id_col), *[F.col(f"_d_{d}").alias(d) for d in DIMENSIONS], F.col("_tokens").alias("tokens"), F.col("_rate").alias("rate"), _copies().alias("copies"))
+    both = _rated(_marked(docs, F.col(id_col), id_col, text_col, source_col, lang_col, topic, tokens, seed), budget, tolerance, most_rounds, targets)
+    return both.select(F.col("_held").alias(id_col), *[F.col(f"_d_{d}").alias(d) for d in DIMENSIONS], F.col("_tokens").alias("tokens"), F.col("_rate").alias("rate"), _copies().alias("copies"))
 
 
-def sample(docs: DataFrame, budget: float = 0.5, rounds: int = 8, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The sampled rows of docs with all of their columns, each as often as sample_table() says. docs is read twice, so it should be a written table."""
-    marks = _marked(docs, id_col, text_col, source_col, lang_col, topic, seed)
-    held = docs.select(F.struct(*docs.columns).alias("_row"), *[c.alias(n) for n, c in marks.items()])
-    table = rates(_cells(held.select("_d_source", "_d_lang", "_d_topic", "_tokens")), budget, rounds, targets)
-    taken = _with_rates(held.drop("_tokens"), table).select("_row", _copies().alias("_copies")).filter("_copies > 0")
-    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+def sample(docs: DataFrame, budget: float = 1.0, tolerance: float = 1e-6, most_rounds: int = 50, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, tokens: Column | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The rows of docs with all of their columns, whatever those are called, each as often as sample_table() says.
+
+    Nulls, repeated rows and empty tables are as there; a row of 0 copies goes.
+    """
+    rows = _marked(docs, F.struct(*docs.columns), id_col, text_col, source_col, lang_col, topic, tokens, seed)
+    taken = _rated(rows, budget, tolerance, most_rounds, targets).select("_held", _copies().alias("_copies")).filter("_copies > 0")
+    return taken.select("_held", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_held.*")
 
 
-def sample_sql(budget: float = 0.5, rounds: int = 8, seed: int = 17, table: str = "documents") -> str:
-    """sample_table() in DuckDB's SQL, its rounds written out."""
+def sample_sql(budget: float = 1.0, tolerance: float = 1e-6, most_rounds: int = 50, seed: int = 17, table: str = "documents") -> str:
+    """sample_table() in DuckDB's SQL; rounds are steps of a recursion."""
+    count = lambda p: f"len(regexp_extract_all(t, '{p}'))"
+    letters, marks = count("\\p{L}"), count("[^\\s\\p{L}]")
+    place = lambda n: " || ".join(f"({n} > q_{n}[{i + 1}])::INTEGER::VARCHAR" for i in range(len(PARTED)))
     steps = [
-        f"d AS MATERIALIZED (SELECT doc_id, source, lang, CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'table' WHEN contains(coalesce(text, ''), 'icense') THEN 'legal' WHEN contains(coalesce(text, ''), '@') THEN 'contact' ELSE 'prose' END AS topic, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens, ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13))::BIGINT / {1 << 52}.0::DOUBLE AS chance FROM {table})",
+        f"e AS MATERIALIZED (SELECT doc_id, source, lang, coalesce(text, '') AS t, ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13))::BIGINT / {1 << 52}.0::DOUBLE AS chance FROM {table})",
+        f"f AS MATERIALIZED (SELECT doc_id, source, lang, chance, {count(PIECES)} AS tokens, {letters}::DOUBLE / nullif({count('[^\\x20\\x09-\\x0D]+')}, 0) AS long, {marks}::DOUBLE / nullif({letters} + {marks}, 0) AS marked FROM e)",
+        f"q AS (SELECT quantile_disc(long, {list(PARTED)}) AS q_long, quantile_disc(marked, {list(PARTED)}) AS q_marked FROM f)",
+        f"d AS MATERIALIZED (SELECT doc_id, source, lang, 'long' || {place('long')} || ' marked' || {place('marked')} AS topic, tokens, chance FROM f, q)",
         "cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM d GROUP BY ALL)",
         "total AS MATERIALIZED (SELECT sum(tokens) AS total FROM cells)",
     ]
     for d in DIMENSIONS:
         steps.append(f"p_{d} AS MATERIALIZED (SELECT {d} AS v, power(sum(tokens), {TEMPER[d]}) AS p FROM cells GROUP BY 1)")
         steps.append(f"t_{d} AS MATERIALIZED (SELECT v, p / (SELECT sum(p) FROM p_{d}) AS share FROM p_{d})")
-        steps.append(f"{d}_0 AS MATERIALIZED (SELECT v, 1.0::DOUBLE AS w FROM t_{d})")
-    now = dict.fromkeys(DIMENSIONS, 0)
-    for _ in range(rounds):
-        for d in DIMENSIONS:
-            a, b = (x for x in DIMENSIONS if x != d)
-            steps.append(f"{d}_{now[d] + 1} AS MATERIALIZED (SELECT t.v, CASE WHEN m.mass > 0 THEN t.share * total / m.mass ELSE 1.0 END AS w FROM t_{d} t JOIN (SELECT c.{d} AS s, sum(c.tokens * x.w * y.w) AS mass FROM cells c JOIN {a}_{now[a]} x ON c.{a} IS NOT DISTINCT FROM x.v JOIN {b}_{now[b]} y ON c.{b} IS NOT DISTINCT FROM y.v GROUP BY 1) m ON t.v IS NOT DISTINCT FROM m.s, total)")
-            now[d] += 1
-    w = " JOIN ".join(["d", *[f"{x}_{now[x]} w_{x} ON d.{x} IS NOT DISTINCT FROM w_{x}.v" for x in DIMENSIONS]])
-    steps.append(f"r AS (SELECT d.*, round({budget} * w_source.w * w_lang.w * w_topic.w, 9) AS rate FROM {w})")
-    return f"WITH {', '.join(steps)} SELECT doc_id, source, lang, topic, tokens, rate, (floor(rate) + CASE WHEN chance < rate - floor(rate) THEN 1 ELSE 0 END)::INTEGER AS copies FROM r"
+    start = " UNION ALL ".join(f"SELECT 0 AS n, '{d}' AS dimension, v, 1.0::DOUBLE AS w, 1.0::DOUBLE AS off FROM t_{d}" for d in DIMENSIONS)
+    inner = [f"live AS (SELECT * FROM it WHERE n < {most_rounds} AND (SELECT max(off) FROM it) > {tolerance})"]
+    for k, d in enumerate(DIMENSIONS):
+        w = lambda x, k=k: f"new_{x}" if DIMENSIONS.index(x) < k else f"(SELECT v, w FROM live WHERE dimension = '{x}')"
+        a, b = (x for x in DIMENSIONS if x != d)
+        inner.append(f"new_{d} AS (SELECT t.v, CASE WHEN m.mass > 0 THEN t.share * total / m.mass ELSE 1.0 END AS w FROM t_{d} t JOIN (SELECT c.{d} AS s, sum(c.tokens * x.w * y.w) AS mass FROM cells c JOIN {w(a)} x ON c.{a} IS NOT DISTINCT FROM x.v JOIN {w(b)} y ON c.{b} IS NOT DISTINCT FROM y.v GROUP BY 1) m ON t.v IS NOT DISTINCT FROM m.s, total)")
+    step = " UNION ALL ".join(f"SELECT o.n + 1, o.dimension, o.v, x.w, abs(x.w / o.w - 1) FROM live o JOIN new_{d} x ON o.v IS NOT DISTINCT FROM x.v WHERE o.dimension = '{d}'" for d in DIMENSIONS)
+    steps.append(f"it AS ({start} UNION ALL (WITH {', '.join(inner)} {step}))")
+    steps.append("z AS MATERIALIZED (SELECT dimension, v, w FROM it WHERE n = (SELECT max(n) FROM it))")
+    w = " JOIN ".join(["d", "cells c ON d.source IS NOT DISTINCT FROM c.source AND d.lang IS NOT DISTINCT FROM c.lang AND d.topic IS NOT DISTINCT FROM c.topic", *[f"z w_{x} ON w_{x}.dimension = '{x}' AND d.{x} IS NOT DISTINCT FROM w_{x}.v" for x in DIMENSIONS]])
+    steps.append(f"r AS (SELECT d.*, CASE WHEN c.tokens > 0 THEN round({budget}::DOUBLE * w_source.w * w_lang.w * w_topic.w, 6) ELSE {budget}::DOUBLE END AS rate FROM {w})")
+    return f"WITH RECURSIVE {', '.join(steps)} SELECT doc_id, source, lang, topic, tokens, rate, (floor(rate) + CASE WHEN chance < rate - floor(rate) THEN 1 ELSE 0 END)::INTEGER AS copies FROM r"
