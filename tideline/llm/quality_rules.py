@@ -1,7 +1,8 @@
 """Quality rules whose thresholds follow the corpus: quantile sketches by language and source.
 
 DataFrame functions only. Each text is measured once; quantile summaries, which Spark merges across
-tasks, give every (language, source) its own outlier fences, and a join applies them.
+tasks, give every (language, source) its own limit for each ratio, and a join applies them. No limit is a
+number given here: it is where the group's own upper tail thins out.
 """
 
 from __future__ import annotations
@@ -16,8 +17,12 @@ _PLACE = 24
 _LONG = 1 << _PLACE
 _SPACES = "[\\x20\\x09-\\x0D]+"
 
-#: What is judged beyond the base rules: the distance that a group's fence keeps at least from its upper quartile.
-SLACK = {"symbol_ratio": 0.03, "dup_line_ratio": 0.35, "repeat_ratio": 0.35, "long_words": 1.5}
+#: What is judged beyond the base rules: (numerator, denominator) among the measures.
+RATIOS = {"symbol_ratio": ("n_symbols", "word_chars"), "dup_line_ratio": ("n_dup_lines", "n_lines"), "repeat_ratio": ("n_repeat_words", "n_words"), "long_words": ("word_chars", "n_words")}
+#: The quantiles whose distance tells how wide a group's body is.
+BODY = (0.5, 0.75)
+#: The share of a group's texts that a ratio leaves alone where most texts have none of what it counts.
+SPARED = {"symbol_ratio": 0.9, "dup_line_ratio": 0.99, "repeat_ratio": 0.99, "long_words": 0.99}
 
 
 #: SQL: places j in the sorted packed windows ``s`` whose hash is that of place j - 1.
@@ -69,37 +74,44 @@ def measure(docs: DataFrame, into: str, text_col: str = "text", keep: list[str]
 
 
 def _ratios(m: str) -> dict[str, Column]:
-    x = lambda n: F.col(f"{m}.{n}")
-    part = lambda a, b: F.coalesce(F.try_divide(x(a), x(b)), F.lit(0.0))
-    return {"symbol_ratio": part("n_symbols", "word_chars"), "dup_line_ratio": part("n_dup_lines", "n_lines"), "repeat_ratio": part("n_repeat_words", "n_words"), "long_words": part("word_chars", "n_words")}
+    return {n: F.coalesce(F.try_divide(F.col(f"{m}.{a}"), F.col(f"{m}.{b}")), F.lit(0.0)) for n, (a, b) in RATIOS.items()}
+
+
+def limits(wide: DataFrame, m: str, lang_col: str, source_col: str, spread: float, accuracy: int, enough: int) -> tuple[DataFrame, DataFrame]:
+    """(_lang, _source, _n, _own) for each group, and (_all) of the corpus in one row: structs of a limit for each ratio.
+
+    A limit is the upper quartile plus ``spread`` times its distance from the median; where those two
+    are equal, as for what most texts have none of, it is the quantile of SPARED. A group of n texts
+    that pass the base rules weighs n to ``enough`` against the corpus.
+    """
+    sound = wide.filter(~F.col(f"{m}.base_failed"))
+    sketches = [F.percentile_approx(x, [*BODY, SPARED[n]], accuracy).alias(n) for n, x in _ratios(m).items()]
+    groups = sound.groupBy(F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source")).agg(F.count(F.lit(1)).alias("_n"), *sketches)
+    tail = lambda q: F.when(q[1] > q[0], q[1] + spread * (q[1] - q[0])).otherwise(q[2])
+    corpus = sound.agg(*sketches).select(F.struct(*[tail(F.col(n)).alias(n) for n in RATIOS]).alias("_all"))  # one row
+    mixed = lambda n: (F.col("_n") * tail(F.col(n)) + enough * F.col(f"_all.{n}")) / (F.col("_n") + enough)
+    both = groups.join(F.broadcast(corpus), F.lit(True))
+    return both.select("_lang", "_source", "_n", F.struct(*[mixed(n).alias(n) for n in RATIOS]).alias("_own")), corpus
 
 
 def verdict(wide: DataFrame, m: str, lang_col: str, source_col: str, spread: float, accuracy: int, enough: int) -> DataFrame:
     """Adds ``kept`` to the struct ``m`` of a written table of measures."""
-    sound = wide.filter(~F.col(f"{m}.base_failed"))
-    quartiles = [F.percentile_approx(x, [0.25, 0.75], accuracy).alias(n) for n, x in _ratios(m).items()]
-    groups = sound.groupBy(F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source")).agg(F.count(F.lit(1)).alias("_n"), *quartiles)
-    overall = sound.agg(*quartiles)  # one row
-    fence = lambda q, n: q[1] + spread * (q[1] - q[0]) + SLACK[n]
-    limits = groups.select("_lang", "_source", F.struct(*[F.when(F.col("_n") >= enough, fence(F.col(n), n)).alias(n) for n in SLACK]).alias("_own"))
-    overall = overall.select(F.struct(*[fence(F.col(n), n).alias(n) for n in SLACK]).alias("_all"))
-    limits = materialize(limits, "fences")  # written, its size is known before the join is planned
+    own, corpus = limits(wide, m, lang_col, source_col, spread, accuracy, enough)
+    own = materialize(own.drop("_n"), "limits")  # written, its size is known before the join is planned
     cols = wide.columns
-    both = wide.join(limits, F.col(lang_col).eqNullSafe(F.col("_lang")) & F.col(source_col).eqNullSafe(F.col("_source")), "left").join(F.broadcast(overall), F.lit(True), "left")
+    both = wide.join(own, F.col(lang_col).eqNullSafe(F.col("_lang")) & F.col(source_col).eqNullSafe(F.col("_source")), "left").join(F.broadcast(corpus), F.lit(True), "left")
     good = ~F.col(f"{m}.base_failed")
     for n, x in _ratios(m).items():
         good = good & (x <= F.coalesce(F.col(f"_own.{n}"), F.col(f"_all.{n}")))
     return both.select(*cols, "_own", "_all").select(*[F.col(c) if c != m else F.col(m).withField("kept", F.coalesce(good, F.lit(False))).alias(m) for c in cols])
 
 
-def keep_good(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", spread: float = 3.0, accuracy: int = 10_000, enough: int = 50) -> DataFrame:
+def keep_good(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", spread: float = 5.0, accuracy: int = 10_000, enough: int = 50) -> DataFrame:
     """The rows of docs that the rules keep, with all of their columns, whatever those are called.
 
     A row goes if the base rules fail (under 50 words, or more than half of the words in repeated
-    windows), or if a ratio lies beyond its group's fence: the upper quartile of the texts of the
-    same language and source that pass the base rules, plus ``spread`` times the quartile distance,
-    plus that ratio's SLACK. Groups of fewer than ``enough`` such texts take the fences of the whole
-    corpus. Null languages and sources are groups like others, a null text has no words and goes,
+    windows), or if one of RATIOS lies beyond its group's limit, which limits() takes from the texts of the
+    same language and source that pass the base rules, and for small groups also from the whole corpus. Null languages and sources are groups like others, a null text has no words and goes,
     repeated rows count each, and an empty table gives an empty one. Texts and measures are written
     once, so that thresholds and decisions come from the same values.
     """
@@ -108,7 +120,7 @@ def keep_good(docs: DataFrame, lang_col: str = "lang", source_col: str = "source
     return verdict(wide, "m", "lang", "source", spread, accuracy, enough).filter("m.kept").select("row.*")
 
 
-def verdicts(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", text_col: str = "text", spread: float = 3.0, accuracy: int = 10_000, enough: int = 50) -> DataFrame:
+def verdicts(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", text_col: str = "text", spread: float = 5.0, accuracy: int = 10_000, enough: int = 50) -> DataFrame:
     """One row for each row of docs: id, the measures, base_failed and kept, by the rules of keep_good(); only measures are written."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
     wide = materialize(measure(slim, "m", keep=["id", "lang", "source"]), "quality")
