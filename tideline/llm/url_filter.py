@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,30 +57,62 @@ def action(rules: list[Rule], text: Column) -> Column:
     return out
 
 
+#: Host labels and query parameters that choose a view of a page or tell where its reader came from.
+VIEWS = ("www.", "m.")
+TRACKING = ("utm_", "ref=", "fbclid=", "gclid=")
+#: What a browser doesn't take for markup of the page.
+HIDDEN = "(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>"
+TAGS = "(?i)<(?:link|meta)\\b[^>]*>"
+CANONICAL = "(?i)\\brel\\s*=\\s*(?:\"(?:[^\"]*\\s)?canonical(?:\\s[^\"]*)?\"|'(?:[^']*\\s)?canonical(?:\\s[^']*)?'|canonical[\\s/>])"
+REFRESH = "(?i)\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b"
+HREF, TO, BASE = ("(?i)%s\\s*=\\s*[\"']?\\s*([^\"'\\s>]+)" % x for x in ("\\bhref", "\\burl", "<base\\b[^>]*\\bhref"))
+#: How html writes the sign & in an attribute.
+AMPERSAND = "&(?:amp|#38|#[xX]26);"
+ORIGIN, FOLDER, PAGE = "^([^:/?#]+://[^/?#]*)", "^([^:/?#]+://[^/?#]*(?:/[^?#]*/|/)?)", "^([^?#]*)"
+SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
+
+
 def address(url: Column) -> Column:
-    """What an address's usual redirects end at: no scheme, ``www.``, fragment, utm parameters or closing slash. Null without ``://``."""
+    """What an address's usual redirects end at: no scheme, host label of VIEWS, fragment, parameters of TRACKING, ``.html``, index page or closing slash. Null without ``://``."""
     host, path = split_url(url)
     query = F.regexp_extract(url, "^[^?#]*\\?([^#]*)", 1)
-    kept = F.array_join(F.filter(F.split(query, "&"), lambda x: ~x.startswith("utm_") & (x != "")), "&")
-    base = F.concat(F.regexp_replace(host, "^www\\.", ""), F.regexp_replace(path, "/+$", ""))
+    told = lambda x: reduce(or_, [x.startswith(t) for t in TRACKING], x == "")
+    kept = F.array_join(F.filter(F.split(query, "&"), lambda x: ~told(x)), "&")
+    plain = F.regexp_replace(F.regexp_replace(path, "(?:/index)?\\.html?$", ""), "/+$", "")
+    base = F.concat(F.regexp_replace(host, f"^(?:{'|'.join(v[:-1] for v in VIEWS)})\\.", ""), plain)
     return F.when(F.instr(url, "://") > 0, F.concat(base, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit(""))))
 
 
-def declared(url: Column, html: Column) -> Column:
-    """The addresses that a page names as its canonical one or sends its reader to, as an array of urls."""
-    tags = F.regexp_extract_all(html, F.lit("(?i)<(?:link|meta)\\b[^>]*>"), 0)
-    canonical = F.filter(tags, lambda t: t.rlike("(?i)\\brel\\s*=\\s*[\"']?canonical\\b"))
-    refresh = F.filter(tags, lambda t: t.rlike("(?i)http-equiv\\s*=\\s*[\"']?refresh\\b"))
-    to = F.concat(F.transform(canonical, lambda t: F.regexp_extract(t, "(?i)\\bhref\\s*=\\s*[\"']?\\s*([^\"'\\s>]+)", 1)), F.transform(refresh, lambda t: F.regexp_extract(t, "(?i)\\burl\\s*=\\s*[\"']?\\s*([^\"'\\s>]+)", 1)))
-    root = F.regexp_extract(url, "^([^:]*://[^/?#]*)", 1)
-    folder = F.regexp_extract(url, "^([^:]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
+def resolved(base: Column, to: Column) -> Column:
+    """The address that a reference leads to from a page of address ``base``, without dot segments; null where that is no other page."""
+    first = lambda x, p: F.regexp_extract(x, p, 1)
+    folder = first(base, FOLDER)
     folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
+    whole = (
+        F.when(to.rlike(SCHEME), F.when(to.contains("://"), to))
+        .when((to == "") | to.startswith("#"), F.lit(None))
+        .when(to.startswith("//"), F.concat(first(base, "^([^:]*:)"), to))
+        .when(to.startswith("/"), F.concat(first(base, ORIGIN), to))
+        .when(to.startswith("?"), F.concat(first(base, PAGE), to))
+        .otherwise(F.concat(folder, to))
+    )
+    step = lambda kept, x: F.when(x == ".", kept).when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(F.concat(kept, F.array(x)))
+    path = F.aggregate(F.split(F.regexp_extract(whole, "^[^:/?#]+://[^/?#]*([^?#]*)", 1), "/"), F.array().cast("array<string>"), step)
+    return F.concat(first(whole, ORIGIN), F.array_join(path, "/"), F.regexp_extract(whole, "^[^?#]*(.*)$", 1))
 
-    def absolute(x: Column) -> Column:
-        scheme = F.regexp_extract(url, "^([^:]*:)", 1)
-        return F.when(F.instr(x, "://") > 0, x).when(x.startswith("//"), F.concat(scheme, x)).when(x.startswith("/"), F.concat(root, x)).otherwise(F.concat(folder, x))
 
-    return F.transform(F.filter(to, lambda x: x != ""), absolute)
+def declared(url: Column, html: Column) -> Column:
+    """The addresses that a page names as its canonical one or sends its reader to, as an array of urls.
+
+    Comments, scripts and styles are no markup; ``<base>``, dot segments and ``&amp;`` are read as browsers do.
+    """
+    shown = F.regexp_replace(html, HIDDEN, "")
+    tags = F.regexp_extract_all(shown, F.lit(TAGS), 0)
+    canonical, refresh = F.filter(tags, lambda t: t.rlike(CANONICAL)), F.filter(tags, lambda t: t.rlike(REFRESH))
+    to = F.concat(F.transform(canonical, lambda t: F.regexp_extract(t, HREF, 1)), F.transform(refresh, lambda t: F.regexp_extract(t, TO, 1)))
+    named = F.regexp_extract(shown, BASE, 1)
+    base = F.coalesce(F.when(named != "", resolved(url, F.regexp_replace(named, AMPERSAND, "&"))), url)
+    return F.filter(F.transform(to, lambda x: resolved(base, F.regexp_replace(x, AMPERSAND, "&"))), lambda x: x.isNotNull())
 
 
 def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
@@ -116,6 +150,9 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
     member = member.select(F.col("node").alias("address"), "component")
     decided = said.join(member, "address", "left").groupBy(F.coalesce("component", "address").alias("alias_of"))
     decided = decided.agg(F.min("action").alias("class_action"))  # allow comes before block
-    out = rows.drop("url", "to").join(member, "address", "left").withColumn("alias_of", F.coalesce("component", "address")).join(decided, "alias_of", "left")
+    known = rows.filter("address IS NOT NULL").join(member, "address", "left").withColumn("alias_of", F.coalesce("component", "address")).join(decided, "alias_of", "left")
+    # rows without an address meet nothing, and so need no task of their own
+    alone = rows.filter("address IS NULL").withColumns({"alias_of": F.lit(None).cast("string"), "class_action": F.lit(None).cast("string")})
+    out = known.select("id", "host", "path", "rule", "alias_of", "class_action").unionByName(alone.select("id", "host", "path", "rule", "alias_of", "class_action"))
     verdict = F.coalesce(action(rules, F.col("rule")), F.col("class_action"), F.lit("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "alias_of")
