@@ -2,10 +2,11 @@
 
 import math
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
-from tideline import Key, KeySpec, SortedTable
+from tideline import Key, KeySpec, SortedTable, storage
 from tideline.functions import joined_text_key, mixed_key
 from tideline.operators.audit import InvalidTable
 from tideline.operators.edit import Rule
@@ -210,3 +211,88 @@ def test_stream_upserts(spark, tmp_path):
         stream = spark.readStream.schema("k int, v int, n int").parquet(src)
         upsert_stream(stream, spec, F.col("n"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     assert sorted(pairs(read_version(spark, f"{tmp_path}/out", 1).select("k", "v"))) == [(1, 10), (2, 21), (3, 30)]
+
+
+def test_batch_neighbours_follow_the_key_order(spark):
+    """Each probe of a batch finds what the constant lookup finds, in both directions, with NaN and without ``by``."""
+    nan = float("nan")
+    rows = [(0, nan, 10), (0, -1.0, 11), (0, 0.0, 12), (0, 5.0, 13), (1, 2.0, 14)]
+    probes = [(i, g, x) for i, (g, x) in enumerate((g, x) for g in (0, 1) for x in (nan, -2.0, -1.0, -0.0, 0.5, 5.0, 9.0, None))]
+    p = spark.createDataFrame(probes, "i int, g int, at double")
+    for up in (True, False):
+        for lower in (True, False):
+            for strict in (True, False):
+                for by in ([], ["g"]):
+                    keys = [*by, "k"]
+                    spec = KeySpec.of(*by, Key("k", ascending=up))
+                    t = SortedTable(spark.createDataFrame(rows if by else rows[:4], "g int, k double, v int"), spec)
+                    got = {r.i: r.v for r in t.asof(p, "k", "at", by, ["v"], "lower" if lower else "higher", strict).collect()}
+                    held = rows if by else rows[:4]
+                    for i, g, x in probes:
+                        assert got[i] == _constant(held, g if by else None, x, up, lower, strict), (up, lower, strict, by, g, x)
+                    one = SortedTable(t.df.filter("g = 0"), KeySpec.of(Key("k", ascending=up)))
+                    find = {(True, True): one.next_lower_pair, (False, True): one.next_higher_pair, (True, False): one.get_pair_or_next_lower, (False, False): one.get_pair_or_next_higher}[(lower, strict)]
+                    row = find(0.5).first()
+                    assert (row.v if row else None) == _constant(rows, 0, 0.5, up, lower, strict)
+
+
+def _constant(rows, g, x, up, lower, strict):
+    rank = lambda k: (k == k, 0.0 if k != k else k + 0.0)
+    own = sorted(((rank(k), v) for h, k, v in rows if g is None or h == g), reverse=not up)
+    if not lower:
+        own = own[::-1]
+    if x is None:
+        return own[-1][1]
+    before = (lambda a, b: a < b) if up == lower else (lambda a, b: a > b)
+    fit = [v for k, v in own if before(k, rank(x)) or (not strict and k == rank(x))]
+    return fit[-1] if fit else None
+
+
+def test_batch_neighbours_where_nulls_are_keys(spark):
+    t = SortedTable(spark.createDataFrame([(None, 1), (3, 2), (5, 3)], "k int, v int"), KeySpec.of(Key("k", nulls="first"), allow_null=True))
+    p = spark.createDataFrame([(0, None), (1, 4)], "i int, at int")
+    assert {r.i: r.v for r in t.asof(p, "k", "at", [], ["v"], "lower", False).collect()} == {0: 1, 1: 2}
+    assert {r.i: r.v for r in t.asof(p, "k", "at", [], ["v"], "lower", True).collect()} == {0: None, 1: 2}
+    assert {r.i: r.v for r in t.asof(p, "k", "at", [], ["v"], "higher", True).collect()} == {0: 2, 1: 3}
+
+
+def test_batch_neighbours_of_clashing_names(spark):
+    t = SortedTable(spark.createDataFrame([(1, 10)], "k int, v int"), "k")
+    p = spark.createDataFrame([(2, 7, 8, 9)], "at int, v int, matched_k int, matched_v int")
+    out = t.asof(p, "k", "at", [], ["v"], "lower", True)
+    assert out.columns == ["at", "v", "matched_k", "matched_v", "matched_matched_k", "matched_matched_v"]
+    assert tuple(out.first()) == (2, 7, 8, 9, 1, 10)
+
+
+def test_stops_on_float_and_composite_keys(spark):
+    nan = float("nan")
+    t = SortedTable(spark.createDataFrame([(5.0, 1), (nan, 2), (0.0, 3), (-1.0, 4)], "k double, v int"), "k")
+    assert [(r.v, r.counter) for r in t.for_each(stop=F.col("k") == 0).orderBy("counter").collect()] == [(2, 0), (4, 1), (3, 2)]
+    assert t.edit_range_count(None, None, False, Rule(stop=F.col("k") == 0)).first().n == 3
+    both = SortedTable(spark.createDataFrame([(1, "b", 1), (1, None, 2), (2, "a", 3), (None, "z", 4)], "a int, b string, v int"), KeySpec.of("a", Key("b", ascending=False), allow_null=True))
+    got = [r.v for r in both.for_each(stop=F.col("v") == 2).orderBy("counter").collect()]
+    assert got == [1, 2]
+    assert [r.v for r in both.for_each(stop=F.col("v") == 99).orderBy("counter").collect()] == [1, 2, 3, 4]
+
+
+def test_python_edits(spark):
+    t = SortedTable(spark.createDataFrame([(i, float(i)) for i in range(20)], "k int, v double"), "k")
+    out = t.edit_range_with(5, 15, False, lambda b: b.assign(v=b["counter"] * 10.0, _delete=b["k"] == 6, _stop=b["k"] == 9), uses_counter=True)
+    assert {r.k: r.v for r in out.df.collect()} == {i: float(i) for i in range(20) if i != 6} | {5: 0.0, 7: 20.0, 8: 30.0, 9: 40.0}
+    assert t.without_range(None, None).edit_range_with(None, None, False, lambda b: b.assign(v=0.0)).size() == 0
+    with pytest.raises(Exception, match="the rows that it gets"):
+        t.edit_range_with(None, None, False, lambda b: b.head(1))
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {})
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)))
+
+
+def test_partitions_follow_the_size(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert storage.spread(rows) == least
+    assert least < storage.spread(rows, each=10_000) < 1000
+    assert storage.spread(rows, each=10, most=500) == 500

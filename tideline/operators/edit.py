@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..keyspec import KeySpec
+from ..storage import materialize
 from .lookup import minus, present
-from .scan import global_counter, stop_at
+from .scan import global_counter, stop_at, until_stop
 
 
 @dataclass(frozen=True)
@@ -75,7 +78,7 @@ def _active(df: DataFrame, keys: KeySpec, low, high, include_high: bool, rule: R
 
 
 def edit_range(df: DataFrame, keys: KeySpec, low, high, include_high: bool, rule: Rule) -> DataFrame:
-    """Rows of the range edited by ``rule``; without a counter or a stop this is one pass with no shuffle."""
+    """Rows of the range edited by ``rule``. Without a counter this is a pass with no shuffle; a stop adds a top 1 before it, and a counter a sort of the range alone."""
     on = F.lit(True) if rule.when is None else F.coalesce(rule.when, F.lit(False))
     gone = F.lit(False) if rule.delete is None else F.coalesce(rule.delete, F.lit(False))
     if set(rule.set) & set(keys.names):
@@ -84,12 +87,68 @@ def edit_range(df: DataFrame, keys: KeySpec, low, high, include_high: bool, rule
     def edited(active: Column) -> list[Column]:
         return [F.when(active & on, rule.set[c]).otherwise(F.col(c)).alias(c) if c in rule.set else F.col(c) for c in df.columns]
 
-    if not rule.uses_counter and rule.stop is None:
-        active = keys.within(df, low, high, include_high)
-        return df.filter(~(active & gone)).select(*edited(active))
-    visited = _active(df, keys, low, high, include_high, rule)
-    done = visited.filter(~gone).select(*edited(F.lit(True)))
-    return minus(df, keys, visited).unionByName(done)
+    inside = F.coalesce(keys.within(df, low, high, include_high), F.lit(False))
+    if rule.uses_counter:
+        counted = global_counter(df.filter(inside), keys, "counter")
+        wide, active = (counted, F.lit(True)) if rule.stop is None else until_stop(counted, counted, keys, rule.stop)
+        return wide.filter(~(active & gone)).select(*edited(active)).unionByName(df.filter(~inside))
+    wide, active = (df, inside) if rule.stop is None else until_stop(df, df.filter(inside), keys, rule.stop)
+    active = inside & active
+    return wide.filter(~(active & gone)).select(*edited(active))
+
+
+Batches = Callable[[pd.DataFrame], pd.DataFrame]
+
+
+def edit_range_with(df: DataFrame, keys: KeySpec, low, high, include_high: bool, edit: Batches, uses_counter: bool = False) -> DataFrame:
+    """Rows of the range edited by Python, for what a Rule cannot say.
+
+    ``edit`` gets a pandas frame of some rows of the range, with ``counter`` if uses_counter, and returns them in the same order
+    with new values. Boolean columns ``_delete`` and ``_stop`` may come with them: rows of a true ``_delete`` go, and nothing after the first true
+    ``_stop`` in key order is edited. It is called on batches in any order, also of rows past the stop, whose edits are dropped.
+    """
+    inside = F.coalesce(keys.within(df, low, high, include_high), F.lit(False))
+    rows = global_counter(df.filter(inside), keys, "counter") if uses_counter else df.filter(inside)
+    old, cols, key_names = F.struct(*df.columns), df.columns, keys.names
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    schema += f", _delete boolean, _stop boolean, _old {rows.select(old.alias('o')).schema['o'].dataType.simpleString()}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            held, given = b["_old"], b.drop(columns="_old")
+            out = edit(given.copy()).reset_index(drop=True)
+            if len(out) != len(b) or any(not out[k].equals(given[k].reset_index(drop=True)) for k in key_names):
+                raise ValueError("an edit returns the rows that it gets, with their keys")
+            flags = {c: out[c].fillna(False).astype(bool) if c in out else False for c in ("_delete", "_stop")}
+            yield out[cols].assign(**flags, _old=held.reset_index(drop=True))
+
+    done = materialize(rows.withColumn("_old", old).mapInPandas(run, schema), "edited")
+    wide, active = until_stop(done, done, keys, F.col("_stop"))
+    kept = wide.filter(~(active & F.col("_delete"))).select(*[F.when(active, F.col(c)).otherwise(F.col("_old")[c]).alias(c) for c in df.columns])
+    return kept.unionByName(df.filter(~inside))
+
+
+def filter_with(df: DataFrame, keep: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
+    """Rows for which ``keep`` gives true, asked in Arrow batches of pandas frames."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[pd.Series(keep(b)).fillna(False).astype(bool).to_numpy()]
+
+    return df.mapInPandas(run, df.schema)
+
+
+def map_values_with(df: DataFrame, keys: KeySpec, values: Batches, schema: str) -> DataFrame:
+    """Keys with the value columns, of ``schema``, that ``values`` gives for each Arrow batch of rows, in their order."""
+    key_names = keys.names
+    kinds = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in key_names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = values(b)
+            yield pd.concat([b[key_names].reset_index(drop=True), out.reset_index(drop=True)], axis=1)
+
+    return df.mapInPandas(run, f"{kinds}, {schema}")
 
 
 def scanned(df: DataFrame, keys: KeySpec, low, high, include_high: bool, rule: Rule, initial: int = 0) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..keyspec import Key, KeySpec
+from ..storage import materialize, spread
 
-from ..keyspec import KeySpec
-from ..storage import materialize
+_BEFORE_ALL, _AFTER_ALL = 0, 2
 
 
 def nearest(df: DataFrame, keys: KeySpec, key, direction: str, strict: bool) -> DataFrame:
@@ -17,54 +22,84 @@ def nearest(df: DataFrame, keys: KeySpec, key, direction: str, strict: bool) ->
     return df.orderBy(*keys.order(df, reverse=lower)).limit(1)
 
 
-def _merged(table: DataFrame, probes: DataFrame, on: str, probe_on: str, by: list[str], values: list[str]) -> DataFrame:
-    match = F.struct(F.col(on).alias("_on"), *[F.col(v).alias(v) for v in values])
-    left = table.select(*by, F.col(on).alias("_at"), F.lit(0).alias("_side"), match.alias("_match"))
-    probe = F.struct(*probes.columns)
-    right = probes.select(*by, F.col(probe_on).alias("_at"), F.lit(1).alias("_side"), probe.alias("_probe"))
-    return left.unionByName(right, allowMissingColumns=True)
-
-
-def _pick(direction: str, strict: bool) -> tuple[list[Column], bool]:
-    """The order of the merged rows, and whether the match is the last before (else the first after)."""
-    lower = direction == "lower"
-    table_first = lower != strict
-    return [F.col("_at").asc(), F.col("_side").asc() if table_first else F.col("_side").desc()], lower
-
-
-def _result(merged: DataFrame, match: Column, on: str, values: list[str], probes: DataFrame) -> DataFrame:
-    out = merged.withColumn("_hit", match).filter(F.col("_side") == 1)
-    return out.select("_probe.*", F.col("_hit._on").alias(f"matched_{on}"), *[F.col(f"_hit.{v}").alias(v) for v in values])
+class Sweep:
+    """Table rows and probes in one order, where a probe's match is the last table row before it or the first after.
 
+    The order is that of the table's key ``on``: its direction, NaN below all numbers, and its place of
+    NULL if the spec allows them. Otherwise rows of the table without a key take no part, and a NULL
+    probe is an open end, as in nearest(): the highest row downwards, the lowest upwards.
+    """
 
-def asof_by(table: DataFrame, probes: DataFrame, on: str, probe_on: str, by: list[str], values: list[str], direction: str, strict: bool) -> DataFrame:
+    def __init__(self, table: DataFrame, probes: DataFrame, keys: KeySpec, on: str, probe_on: str, by: list[str], values: list[str], direction: str, strict: bool):
+        self.on, self.values, self.before = on, values, direction == "lower"
+        key = next((k for k in keys.keys if k.name == on), Key(on))
+        if not keys.allow_null:
+            table = table.filter(F.col(on).isNotNull())
+            key = replace(key, nulls="last" if self.before else "first")
+        match = F.struct(F.col(on).alias("on"), *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
+        kind = table.schema[on].dataType
+        left = table.select(*by, F.col(on).alias("_at"), F.lit(0).alias("_side"), match.alias("_match"))
+        right = probes.select(*by, F.col(probe_on).alias("_at"), F.lit(1).alias("_side"), F.struct(*probes.columns).alias("_probe"))
+        self.rows = left.unionByName(right, allowMissingColumns=True)
+        self.key = replace(key, name="_at")
+        self.by_key = KeySpec((self.key,)).order(self.rows)
+        table_first = self.before != strict
+        self.order = [*self.by_key, F.col("_side").asc() if table_first else F.col("_side").desc()]
+        self.floats = isinstance(kind, (T.DoubleType, T.FloatType))
+        self.names = list(probes.columns)
+
+    def hit(self, *by: str) -> Column:
+        w = Window.partitionBy(*by).orderBy(*self.order)
+        if self.before:
+            return F.last("_match", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        return F.first("_match", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+
+    def edge(self) -> Column:
+        """The table row that is last (first) in the order, as an aggregate."""
+        first = self.key.nulls == "first" if self.key.nulls else None
+        x = F.col("_at")
+        if first is None:  # the type's own place, as KeySpec has it
+            first = not isinstance(self.rows.schema["_at"].dataType, (T.BooleanType, T.NumericType))
+            first = first if self.key.ascending else not first
+        null = F.when(x.isNull(), _BEFORE_ALL if first == self.key.ascending else _AFTER_ALL).otherwise(1)
+        place = F.struct(null, *[F.when(F.isnan(x), 0).otherwise(1)] * self.floats, x)
+        return (F.max_by if self.before == self.key.ascending else F.min_by)("_match", place)
+
+    def result(self, swept: DataFrame, match: Column) -> DataFrame:
+        """Each probe with the match's key and values, under names that the probe does not have: ``matched_`` goes before as often as needed."""
+        out = swept.withColumn("_hit", match).filter(F.col("_side") == 1)
+        taken, cols = {*self.names}, []
+        for name, at in [(f"matched_{self.on}", "on"), *[(v, f"v{i}") for i, v in enumerate(self.values)]]:
+            while name in taken:
+                name = f"matched_{name}"
+            taken.add(name)
+            cols.append(F.col(f"_hit.{at}").alias(name))
+        return out.select("_probe.*", *cols)
+
+
+def asof_by(table: DataFrame, probes: DataFrame, keys: KeySpec, on: str, probe_on: str, by: list[str], values: list[str], direction: str, strict: bool) -> DataFrame:
     """For each probe the table row of the same ``by`` that is nearest in the direction, else NULLs.
 
     Both sides are united and swept once by a window, so the plan is one shuffle on ``by``
-    and a sort. The table's keys must be unique within ``by``.
+    and a sort. The table's keys must be unique within ``by``. Order and names are those of Sweep.
     """
-    order, before = _pick(direction, strict)
-    w = Window.partitionBy(*by).orderBy(*order)
-    hit = F.last("_match", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) if before else F.first("_match", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return _result(_merged(table, probes, on, probe_on, by, values), hit, on, values, probes)
+    sweep = Sweep(table, probes, keys, on, probe_on, by, values, direction, strict)
+    return sweep.result(sweep.rows, sweep.hit(*by))
 
 
-def asof_global(table: DataFrame, probes: DataFrame, on: str, probe_on: str, values: list[str], direction: str, strict: bool, partitions: int | None = None) -> DataFrame:
+def asof_global(table: DataFrame, probes: DataFrame, keys: KeySpec, on: str, probe_on: str, values: list[str], direction: str, strict: bool, partitions: int | None = None) -> DataFrame:
     """The same without ``by``: range partitions are swept on their own, then each takes over
     the boundary match of the partitions before (after) it. One row for each partition is broadcast.
     """
     spark = table.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order, before = _pick(direction, strict)
-    dealt = _merged(table, probes, on, probe_on, [], values).repartitionByRange(n, F.col("_at"))
+    sweep = Sweep(table, probes, keys, on, probe_on, [], values, direction, strict)
+    n = partitions or spread(sweep.rows)
+    dealt = sweep.rows.repartitionByRange(n, *sweep.by_key)
     dealt = materialize(dealt.withColumn("_part", F.spark_partition_id()), "asof")
-    w = Window.partitionBy("_part").orderBy(*order)
-    at_edge = F.struct("_at", "_match")
-    held = dealt.filter(F.col("_side") == 0).groupBy("_part").agg((F.max_by if before else F.min_by)("_match", "_at").alias("_edge"))
+    held = dealt.filter(F.col("_side") == 0).groupBy("_part").agg(sweep.edge().alias("_edge"))
     parts = spark.range(n).select(F.col("id").cast("int").alias("_part")).join(held, "_part", "left")
     across = Window.orderBy("_part")
-    carry = F.last("_edge", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)) if before else F.first("_edge", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing))
+    carry = F.last("_edge", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)) if sweep.before else F.first("_edge", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing))
     carries = parts.select("_part", carry.alias("_carry"))
-    hit = F.last("_match", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) if before else F.first("_match", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    swept = dealt.withColumn("_local", hit).join(F.broadcast(carries), "_part")  # one row for each partition
-    return _result(swept, F.coalesce(F.col("_local"), F.col("_carry")), on, values, probes)
+    swept = dealt.withColumn("_local", sweep.hit("_part")).join(F.broadcast(carries), "_part")  # one row for each partition
+    return sweep.result(swept, F.coalesce(F.col("_local"), F.col("_carry")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..keyspec import KeySpec
-from ..storage import materialize
+from ..storage import materialize, spread
 
 
 def get_range(df: DataFrame, keys: KeySpec, low, high, include_high: bool = False, max_length: int | None = None) -> DataFrame:
@@ -26,8 +26,7 @@ def global_counter(df: DataFrame, keys: KeySpec, name: str, initial: int = 0, pa
     each one on its own, and shift by the rows in the partitions before it. Only one
     count for each partition is ever brought together.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or spread(df)
     dealt = df.repartitionByRange(n, *keys.order(df)).withColumn("_part", F.spark_partition_id())
     dealt = materialize(dealt, "counter")
     sums = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -38,14 +37,22 @@ def global_counter(df: DataFrame, keys: KeySpec, name: str, initial: int = 0, pa
     return out.select(*df.columns, (F.col("_start") + F.col("_local") - 1 + initial).cast("bigint").alias(name))
 
 
+def until_stop(df: DataFrame, rows: DataFrame, keys: KeySpec, stop: Column) -> tuple[DataFrame, Column]:
+    """df with further columns, and whether a row's key is at or before the first of ``rows``, in key order, where ``stop`` is true.
+
+    The one row that stops is broadcast; nothing is shuffled, sorted or gathered but a top 1.
+    """
+    held = [F.col(n).alias(f"_stop_{n}") for n in keys.names]
+    first = rows.filter(stop).orderBy(*keys.order(rows)).limit(1).select(*held, F.lit(True).alias("_stops"))
+    bounds = [F.col(f"_stop_{n}") for n in keys.names]
+    wide = df.join(F.broadcast(first), F.lit(True), "left")
+    return wide, F.col("_stops").isNull() | keys.compare(df, "<=", tuple(bounds) if len(bounds) > 1 else bounds[0])
+
+
 def stop_at(df: DataFrame, keys: KeySpec, stop: Column) -> DataFrame:
     """Rows up to and including the first, in key order, where ``stop`` is true."""
-    first = df.filter(stop).orderBy(*keys.order(df)).limit(1).select(*[F.col(n).alias(f"_stop_{n}") for n in keys.names], F.lit(True).alias("_stops"))
-    if len(keys.keys) == 1 and keys.keys[0].ascending and not keys.allow_null:
-        n = keys.names[0]
-        return df.join(F.broadcast(first), F.lit(True), "left").filter(F.col("_stops").isNull() | (F.col(n) <= F.col(f"_stop_{n}"))).select(*df.columns)
-    row = first.take(1)
-    return df if not row else df.filter(keys.compare(df, "<=", tuple(row[0][f"_stop_{n}"] for n in keys.names) if len(keys.names) > 1 else row[0][0]))
+    wide, visited = until_stop(df, df, keys, stop)
+    return wide.filter(visited).select(*df.columns)
 
 
 def for_range(df: DataFrame, keys: KeySpec, low, high, include_high: bool, initial: int = 0, stop: Column | None = None) -> DataFrame:

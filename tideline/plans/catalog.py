@@ -12,7 +12,7 @@ from ..keyspec import Key, KeySpec
 from ..operators.audit import audit
 from ..operators.edit import Rule
 from ..sources import read
-from ..table import SortedTable
+from ..table import FrozenError, SortedTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -194,7 +194,8 @@ def alternative_orders(spark, sf):
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 77")
 def get_one(spark, sf):
     t = _orders(spark, sf)
-    return t.df.filter(t.keys.compare(t.df, "==", 77))
+    found = t.get(77)
+    return spark.createDataFrame([found] if found else [], t.df.schema)
 
 
 @query("SELECT c.o_orderkey, coalesce(o.o_totalprice, -1.0) AS o_totalprice, o.o_orderkey IS NOT NULL AS found FROM (SELECT c_custkey * 13 AS o_orderkey FROM customer) c LEFT JOIN orders o USING (o_orderkey)")
@@ -217,7 +218,8 @@ def missing_keys(spark, sf):
 
 @query("SELECT count(*) AS n, count(*) = 0 AS empty FROM orders")
 def size(spark, sf):
-    return _orders(spark, sf).df.agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) == 0).alias("empty"))
+    t = _orders(spark, sf)
+    return spark.createDataFrame([(t.size(), t.is_empty())], "n long, empty boolean")
 
 
 @query("SELECT 'min' AS edge, min(o_orderkey) AS o_orderkey FROM orders UNION ALL SELECT 'max', max(o_orderkey) FROM orders")
@@ -517,3 +519,187 @@ def diff_first(spark, sf):
 def check_valid(spark, sf):
     orders = audit(_orders(spark, sf).df, ORDER_KEY).select(F.lit("orders").alias("name"), "*")
     return orders.unionByName(audit(read(spark, sf, "lineitem"), ITEM_KEY).select(F.lit("lineitem").alias("name"), "*"))
+
+
+# what the table answers or refuses ---------------------------------------------------------
+
+
+_PRICES = ("o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey = 7 THEN -1.0 ELSE o_totalprice END AS o_totalprice FROM orders UNION ALL SELECT -5, 0.5")
+def with_one(spark, sf):
+    frozen = _orders(spark, sf, *_PRICES).freeze()
+    out = frozen.with_({"o_orderkey": 7, "o_totalprice": -1.0}).with_({"o_orderkey": -5, "o_totalprice": 0.5})
+    return out.with_({"o_orderkey": -5, "o_totalprice": 9.0}, overwrite=False).df
+
+
+@query("SELECT 'clone' AS name, o_orderkey FROM orders UNION ALL SELECT 'edited', o_orderkey FROM orders WHERE o_orderkey >= 1000")
+def clone_independence(spark, sf):
+    t = _orders(spark, sf, "o_orderkey")
+    copy, edited = t.clone(), t.delete_range(None, 1000)
+    return copy.df.select(F.lit("clone").alias("name"), "o_orderkey").unionByName(edited.df.select(F.lit("edited").alias("name"), "o_orderkey"))
+
+
+@query("SELECT * FROM (VALUES ('frozen', true, true), ('clone', false, false), ('unfrozen', false, false), ('edited', false, false)) s(name, frozen, refused), (SELECT count(*) AS n FROM orders)")
+def freezing(spark, sf):
+    def row(name: str, t: SortedTable) -> tuple:
+        try:
+            t.delete_range(None, 10)
+        except FrozenError:
+            return name, t.is_frozen, True, t.size()
+        return name, t.is_frozen, False, t.size()
+
+    t = _orders(spark, sf, "o_orderkey").freeze()
+    rows = [row("frozen", t), row("clone", t.clone()), row("edited", t.without(-1))]
+    return spark.createDataFrame([*rows, row("unfrozen", t.unfreeze())], "name string, frozen boolean, refused boolean, n long")
+
+
+@query("SELECT 0::BIGINT AS n, true AS empty, true AS frozen, min(o_orderkey) AS o_orderkey, min(o_totalprice) AS o_totalprice FROM orders")
+def empty_table(spark, sf):
+    full = _orders(spark, sf, *_PRICES)
+    t = SortedTable.empty(spark, full.df.schema, ORDER_KEY)
+    first = t.with_pairs(full.df, F.col("o_orderkey")).min_pair().select("o_orderkey")
+    lowest = full.reduce(o_totalprice=F.min("o_totalprice"))
+    return first.join(F.broadcast(lowest), F.lit(True)).select(F.lit(t.size()).cast("bigint").alias("n"), F.lit(t.is_empty()).alias("empty"), F.lit(t.is_frozen).alias("frozen"), "*")
+
+
+@query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders ORDER BY 1 LIMIT 40")
+def iteration(spark, sf):
+    """The first rows that the table's iterator hands to the driver, one partition at a time."""
+    rows = [(*r, i) for i, r in zip(range(40), _orders(spark, sf, *_PRICES), strict=False)]
+    return spark.createDataFrame(rows, "o_orderkey long, o_totalprice double, place long")
+
+
+@query("SELECT * FROM (VALUES ('new', true), ('old', false), ('gone', true), ('absent', false), ('changed', true), ('unknown', false)) t(step, told)")
+def told(spark, sf):
+    t = _orders(spark, sf, *_PRICES)
+    lowest = t.min_key().first()[0]
+    steps = {
+        "new": t.set_told({"o_orderkey": -3, "o_totalprice": 1.0}),
+        "old": t.set_told({"o_orderkey": lowest, "o_totalprice": 1.0}),
+        "gone": t.delete_told(lowest),
+        "absent": t.delete_told(-3),
+        "changed": t.change_told({"o_orderkey": lowest, "o_totalprice": 1.0}),
+        "unknown": t.change_told({"o_orderkey": -3, "o_totalprice": 1.0}),
+    }
+    return spark.createDataFrame([(k, v) for k, (_, v) in steps.items()], "step string, told boolean")
+
+
+@query("SELECT CASE WHEN o_orderkey = k THEN -1.0 ELSE o_totalprice END AS o_totalprice, o_orderkey FROM orders, (SELECT min(o_orderkey) AS k FROM orders)")
+def change_one(spark, sf):
+    t = _orders(spark, sf, *_PRICES)
+    return t.change_told({"o_orderkey": t.min_key().first()[0], "o_totalprice": -1.0})[0].change_told({"o_orderkey": -3, "o_totalprice": 1.0})[0].df
+
+
+@query("SELECT * FROM (VALUES ('without', true), ('with_keys', true), ('without_keys', true), ('without_range', true), ('filter', true), ('removed', false)) t(step, same)")
+def same_table(spark, sf):
+    t = _orders(spark, sf, *_PRICES)
+    some = read(spark, sf, "orders").filter("o_orderkey < 100").select("o_orderkey")
+    steps = {
+        "without": t.without(-3, same_if_unchanged=True),
+        "with_keys": t.with_keys(some, same_if_unchanged=True),
+        "without_keys": t.without_keys(some.select((-F.col("o_orderkey") - 1).alias("o_orderkey")), same_if_unchanged=True),
+        "without_range": t.without_range(-9, -3, same_if_unchanged=True),
+        "filter": t.filter(F.col("o_orderkey") >= 0, same_if_unchanged=True),
+        "removed": t.without_keys(some, same_if_unchanged=True),
+    }
+    return spark.createDataFrame([(k, v is t) for k, v in steps.items()], "step string, same boolean")
+
+
+@query("SELECT * FROM (VALUES ('right', false), ('wrong size', true), ('repeated keys', true)) t(name, raised)")
+def check(spark, sf):
+    t = _orders(spark, sf, "o_orderkey", "o_custkey")
+    twice = SortedTable(t.df.select(F.col("o_custkey").alias("k")), "k")
+    rows = []
+    for name, table, expected in (("right", t, t.size()), ("wrong size", t, t.size() + 1), ("repeated keys", twice, None)):
+        try:
+            table.check_valid(expected)
+            rows.append((name, False))
+        except (AssertionError, ValueError):
+            rows.append((name, True))
+    return spark.createDataFrame(rows, "name string, raised boolean")
+
+
+# keys in another order, NaN, nulls -------------------------------------------------------------
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY event_id <> 5, event_id) - 1 AS counter FROM events WHERE event_id = 5 OR event_id <= (SELECT min(event_id) FROM events WHERE event_id > 20)")
+def stop_after_nan(spark, sf):
+    """NaN is the least key, so it is visited first."""
+    k = F.when(F.col("event_id") == 5, F.lit(float("nan"))).otherwise(F.col("event_id") / 2)
+    t = SortedTable(read(spark, sf, "events").select("event_id", k.alias("k")), "k")
+    return t.for_each(stop=F.col("event_id") > 20).select("event_id", "counter")
+
+
+@query("SELECT event_id, CASE WHEN event_id = 5 OR event_id <= (SELECT min(event_id) FROM events WHERE event_id > 20) THEN 'seen' ELSE event_type END AS event_type FROM events")
+def edit_until_stop_after_nan(spark, sf):
+    k = F.when(F.col("event_id") == 5, F.lit(float("nan"))).otherwise(F.col("event_id") / 2)
+    t = SortedTable(read(spark, sf, "events").select("event_id", "event_type", k.alias("k")), "k")
+    return t.edit_all(Rule(set={"event_type": F.lit("seen")}, stop=F.col("event_id") > 20)).df.select("event_id", "event_type")
+
+
+@query("WITH s AS (SELECT min(o_orderkey) AS k FROM orders WHERE o_orderkey >= 200 AND o_totalprice > 300000), c AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders, s WHERE o_orderkey >= 200 AND (k IS NULL OR o_orderkey <= k)) SELECT o.o_orderkey, CASE WHEN c.n IS NULL THEN o.o_totalprice ELSE c.n::DOUBLE END AS o_totalprice FROM orders o LEFT JOIN c USING (o_orderkey) WHERE c.n IS NULL OR c.n % 3 <> 1")
+def edit_with_counter_until_stop(spark, sf):
+    n = F.col("counter")
+    rule = Rule(set={"o_totalprice": n.cast("double")}, delete=n % 3 == 1, stop=F.col("o_totalprice") > 300000, uses_counter=True)
+    return _orders(spark, sf, *_PRICES).edit_range(200, None, False, rule).df
+
+
+_DOWN = "SELECT p.event_id, p.at, t.k AS matched_k, t.o_totalprice FROM (SELECT event_id, event_id::DOUBLE * 1.5 - 10 AS at FROM events) p ASOF LEFT JOIN (SELECT o_orderkey::DOUBLE AS k, o_totalprice FROM orders) t ON p.at {op} t.k"
+
+
+def _descending(spark, sf, direction: str, strict: bool) -> DataFrame:
+    rows = read(spark, sf, "orders").select(F.col("o_orderkey").cast("double").alias("k"), "o_totalprice")
+    probes = read(spark, sf, "events").select("event_id", (F.col("event_id") * 1.5 - 10).alias("at"))
+    return SortedTable(rows, KeySpec.of(Key("k", ascending=False))).asof(probes, "k", "at", [], ["o_totalprice"], direction, strict)
+
+
+@query(_DOWN.format(op="<"))
+def descending_next_lower(spark, sf):
+    """What comes before in a descending table has a larger key."""
+    return _descending(spark, sf, "lower", True)
+
+
+@query(_DOWN.format(op=">="))
+def descending_or_next_higher(spark, sf):
+    return _descending(spark, sf, "higher", False)
+
+
+@query("WITH t AS (SELECT o_custkey, max(o_totalprice) AS o_totalprice FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1), p AS (SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey::DOUBLE END AS probe, c_custkey % 5 = 0 AS odd FROM customer), e AS (SELECT max(o_custkey) AS hi FROM t) SELECT c_custkey, k::DOUBLE AS matched_k, t.o_totalprice FROM (SELECT c_custkey, CASE WHEN probe IS NULL THEN hi WHEN odd THEN -1 ELSE (SELECT max(o_custkey) FROM t WHERE o_custkey < probe) END AS k FROM p, e) x LEFT JOIN t ON o_custkey = k")
+def asof_of_nan_and_null(spark, sf):
+    """A null probe is an open end; a NaN probe, told by -1 here, is below all numbers and finds nothing."""
+    orders = read(spark, sf, "orders").filter("o_custkey % 3 <> 0").select(F.col("o_custkey").cast("double").alias("k"), "o_totalprice")
+    t = SortedTable.from_pairs(orders, "k", F.col("o_totalprice"))
+    at = F.when(F.col("c_custkey") % 7 == 0, F.lit(None)).when(F.col("c_custkey") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("c_custkey"))
+    found = t.asof(read(spark, sf, "customer").select("c_custkey", at.cast("double").alias("at")), "k", "at", [], ["o_totalprice"], "lower", True)
+    return found.select("c_custkey", F.when(F.isnan("at"), F.lit(-1.0)).otherwise(F.col("matched_k")).alias("matched_k"), "o_totalprice")
+
+
+@query("SELECT event_id, s.status, s.kind FROM events, (VALUES ('different', 'exact')) s(status, kind) WHERE event_id % 3 = 1 UNION ALL SELECT event_id, 'different', k FROM events, (VALUES ('exact'), ('plain')) s(k) WHERE event_id % 3 = 2")
+def diff_of_odd_values(spark, sf):
+    """NaN equals NaN; -0.0 differs from 0.0 only if asked for; null differs from a value."""
+    events = read(spark, sf, "events").select("event_id")
+    third = F.col("event_id") % 3
+    side = lambda zero, last: SortedTable(events.select("event_id", F.when(third == 0, F.lit(float("nan"))).when(third == 1, F.lit(zero)).otherwise(F.lit(last)).cast("double").alias("x")), "event_id")
+    a, b = side(-0.0, None), side(0.0, 1.0)
+    kinds = [a.diff_against(b, exact_zero=exact).select("event_id", "status", F.lit(k).alias("kind")) for k, exact in (("exact", True), ("plain", False))]
+    return kinds[0].unionByName(kinds[1])
+
+
+# Python callbacks ---------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 7 = 3")
+def filter_python(spark, sf):
+    return _orders(spark, sf, *_PRICES).filter_with(lambda b: b["o_orderkey"] % 7 == 3).df
+
+
+@query("SELECT o_orderkey, o_custkey * 2 + 1 AS x FROM orders")
+def map_values_python(spark, sf):
+    return _orders(spark, sf).map_values_with(lambda b: (b[["o_custkey"]] * 2 + 1).rename(columns={"o_custkey": "x"}), "x long").df
+
+
+@query("WITH s AS (SELECT min(o_orderkey) AS k FROM orders WHERE o_orderkey >= 200 AND o_totalprice > 300000) SELECT o_orderkey, CASE WHEN o_orderkey >= 200 AND (k IS NULL OR o_orderkey <= k) THEN -o_totalprice ELSE o_totalprice END AS o_totalprice FROM orders, s WHERE NOT (o_orderkey >= 200 AND (k IS NULL OR o_orderkey <= k) AND o_orderkey % 2 = 0)")
+def edit_range_python(spark, sf):
+    return _orders(spark, sf, *_PRICES).edit_range_with(200, None, False, lambda b: b.assign(_delete=b["o_orderkey"] % 2 == 0, _stop=b["o_totalprice"] > 300000, o_totalprice=-b["o_totalprice"])).df

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,10 +21,15 @@ _recording: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, or a folder of our own where it is unset (tests, notebooks)."""
+    """``spark.checkpoint.dir`` of the session, or a folder of our own where it is unset and the master is local (tests, notebooks).
+
+    On a cluster a machine's own folder would hold only what that machine wrote, so there it is an error.
+    """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = f"file://{tempfile.mkdtemp(prefix='tideline-')}"
@@ -60,6 +66,13 @@ def remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def spread(df: DataFrame, each: int = 64 << 20, most: int = 1 << 16) -> int:
+    """Partitions for a shuffle of df: spark.sql.shuffle.partitions, or more where its estimated size has more parts of ``each`` bytes."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return least if size >= 1 << 60 else max(least, min(most, -(-size // each)))  # beyond that it stands for an unknown size
+
+
 def materialize(df: DataFrame, name: str, by: tuple[str, ...] = (), into: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back, so what follows never recomputes it.
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import types as T
 
@@ -159,10 +160,10 @@ class SortedTable:
         return neighbor.nearest(self.df, self.keys, key, "higher", strict=False)
 
     def asof(self, probes: DataFrame, on: str, probe_on: str, by: list[str], values: list[str], direction: str, strict: bool) -> DataFrame:
-        """Batch neighbour lookup; ``by`` empty means one global order."""
+        """Batch neighbour lookup in this table's key order; ``by`` empty means one global order. NULLs and clashing names: see neighbor.Sweep."""
         if by:
-            return neighbor.asof_by(self.df, probes, on, probe_on, by, values, direction, strict)
-        return neighbor.asof_global(self.df, probes, on, probe_on, values, direction, strict)
+            return neighbor.asof_by(self.df, probes, self.keys, on, probe_on, by, values, direction, strict)
+        return neighbor.asof_global(self.df, probes, self.keys, on, probe_on, values, direction, strict)
 
     # edits ----------------------------------------------------------------
     def _mutable(self) -> None:
@@ -184,6 +185,23 @@ class SortedTable:
     def set_if_not_present(self, row: dict) -> SortedTable:
         return self.set(row, overwrite=False)
 
+    def _key_of(self, row: dict):
+        values = tuple(row.get(n) for n in self.keys.names)
+        return values if len(values) > 1 else values[0]
+
+    def set_told(self, row: dict, overwrite: bool = True) -> tuple[SortedTable, bool]:
+        """set(), and whether the key is new."""
+        return self.set(row, overwrite), not self.has(self._key_of(row))
+
+    def delete_told(self, key) -> tuple[SortedTable, bool]:
+        """delete(), and whether the key was there."""
+        return self.delete(key), self.has(key)
+
+    def change_told(self, row: dict) -> tuple[SortedTable, bool]:
+        """change_if_present() of one key, and whether it is there."""
+        there = self.has(self._key_of(row))
+        return (self.set(row) if there else self.clone()), there
+
     def change_if_present(self, changes: DataFrame) -> SortedTable:
         self._mutable()
         return self._new(edit.change_if_present(self.df, self.keys, changes))
@@ -211,6 +229,11 @@ class SortedTable:
     def edit_all(self, rule: edit.Rule) -> SortedTable:
         return self.edit_range(None, None, False, rule)
 
+    def edit_range_with(self, low, high, include_high: bool, edit_batch: edit.Batches, uses_counter: bool = False) -> SortedTable:
+        """edit_range() by a Python function of pandas batches."""
+        self._mutable()
+        return self._new(edit.edit_range_with(self.df, self.keys, low, high, include_high, edit_batch, uses_counter))
+
     def edit_range_count(self, low, high, include_high: bool, rule: edit.Rule, initial: int = 0) -> DataFrame:
         """What the edit scan returns: ``initial`` plus the rows it visits."""
         return edit.scanned(self.df, self.keys, low, high, include_high, rule, initial)
@@ -232,10 +255,14 @@ class SortedTable:
         changes = edit.collapse(pairs, self.keys, seq, last=overwrite)
         return self._new(edit.upsert(self.df, self.keys, changes, overwrite))
 
-    def with_keys(self, keys: DataFrame) -> SortedTable:
+    def with_keys(self, keys: DataFrame, same_if_unchanged: bool = False) -> SortedTable:
+        if same_if_unchanged and lookup.minus(keys.select(*self.keys.names), self.keys, self.df).isEmpty():
+            return self
         return self._new(edit.with_keys(self.df, self.keys, keys))
 
-    def without(self, key) -> SortedTable:
+    def without(self, key, same_if_unchanged: bool = False) -> SortedTable:
+        if same_if_unchanged and not self.has(key):
+            return self
         return self._new(self.df.filter(~self.keys.compare(self.df, "==", key)))
 
     def without_keys(self, keys: DataFrame, same_if_unchanged: bool = False) -> SortedTable:
@@ -259,6 +286,14 @@ class SortedTable:
 
     where = filter
 
+    def filter_with(self, keep: Callable[[pd.DataFrame], pd.Series]) -> SortedTable:
+        """filter() by a Python function of pandas batches."""
+        return self._new(edit.filter_with(self.df, keep))
+
+    def map_values_with(self, values: edit.Batches, schema: str) -> SortedTable:
+        """map_values() by a Python function of pandas batches; ``schema`` is that of the values."""
+        return self._new(edit.map_values_with(self.df, self.keys, values, schema))
+
     def map_values(self, **values: Column) -> SortedTable:
         if set(values) & set(self.keys.names):
             raise ValueError("map_values keeps the keys")
@@ -303,8 +338,9 @@ class SortedTable:
             raise ValueError("both tables need the same key order")
         return diff.diff_digest(self.df, other.df, self.keys, bucket)
 
-    def diff_first(self, other: SortedTable) -> DataFrame:
-        return self.diff_against(other).orderBy(*self.keys.order(self.df, reverse=True)).limit(1)
+    def diff_first(self, other: SortedTable, only_a: bool = True, only_b: bool = True, different: bool = True) -> DataFrame:
+        """The first difference of the wanted kinds, from the highest key down: a top 1, so a task keeps one row."""
+        return self.diff_against(other, only_a, only_b, different).orderBy(*self.keys.order(self.df, reverse=True)).limit(1)
 
     def union_keep(self, other: SortedTable) -> SortedTable:
         """Keyed union: this table's rows, then the other's for keys that are new."""
