@@ -96,8 +96,7 @@ def mixed(rows, temper, seed=17):
     """id -> (topic, tokens, rate, copies) for rows of (id, text, lang, source)."""
     n = lambda p, t: len(regex.findall(p, t))
     tokens = {i: n(r"\p{L}{1,6}|\p{N}{1,3}|[^\s\p{L}\p{N}]{1,3}", t) for i, t, _, _ in rows}
-    letters, words, marks = ({i: n(p, t) for i, t, _, _ in rows} for p in (r"\p{L}", r"[^\x20\x09-\x0D]+", r"[^\s\p{L}]"))
-    form = [{i: letters[i] / words[i] for i in words if words[i]}, {i: marks[i] / (letters[i] + marks[i]) for i in letters if letters[i] + marks[i]}]
+    form = [{i: len(t) / (t.count(" ") + 1) for i, t, _, _ in rows if t}, {i: n(r"[^\s\p{L}]", t) / len(t) for i, t, _, _ in rows if t}]
     cuts = [[sorted(f.values())[max(0, -(-len(f) * k // 3) - 1)] for k in (1, 2)] for f in form]
     place = lambda k, i: "".join(str(int(form[k][i] > c)) for c in cuts[k])
     topic = {i: f"long{place(0, i)} marked{place(1, i)}" if all(i in f for f in form) else None for i in tokens}
@@ -110,7 +109,7 @@ def mixed(rows, temper, seed=17):
         goal[d] = {v: x**power / sum(y**power for y in by.values()) for v, x in by.items()}
         weight[d] = dict.fromkeys(by, 1.0)
     total = sum(tokens.values())
-    for _ in range(50):
+    for done in range(1, 61):
         off = 0
         for d in temper:
             mass = defaultdict(float)
@@ -120,7 +119,7 @@ def mixed(rows, temper, seed=17):
             new = {v: share * total / mass[v] if mass[v] else 1.0 for v, share in goal[d].items()}
             off = max(off, *(abs(new[v] / weight[d][v] - 1) for v in new))
             weight[d] = new
-        if off <= 1e-6:
+        if done % 6 == 0 and off <= 1e-6:
             break
     out = {}
     for i, c in cell.items():

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from compare import assert_equal
 from pyspark.sql import functions as F
-from tideline.llm import quality_rules, registry, vector_files
+from tideline.llm import mixing, quality_rules, registry, vector_files
 from tideline.llm.mixing import TEMPER, sample, sample_table
 from tideline.llm.quality_classifier import Discriminant, classify, learned
 from tideline.llm.quality_rules import keep_good, measure, verdicts
@@ -146,6 +146,14 @@ def test_mixing_goes_on_until_the_targets_are_met(spark):
     assert [by[x] for x in "abcd"] == pytest.approx([0.1, 0.2, 0.3, 0.4], rel=1e-4)
 
 
+def test_many_cells_are_raked_alike(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rates = lambda: {r.doc_id: r.rate for r in sample_table(docs, most_rounds=4).collect()}
+    few = rates()
+    monkeypatch.setattr(mixing, "SMALL", 0)
+    assert rates() == pytest.approx(few, abs=2e-6)
+
+
 def test_targets_that_contradict_each_other_are_told(spark):
     docs = spark.createDataFrame([(i, "a b", "xy"[i % 2], "xy"[i % 2]) for i in range(40)], "doc_id long, text string, lang string, source string")
     share = lambda x: spark.createDataFrame([("x", x), ("y", 1 - x)], "v string, share double")

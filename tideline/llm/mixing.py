@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
@@ -19,6 +19,11 @@ DIMENSIONS = ("source", "lang", "topic")
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 0.9}
 #: What a tokenizer of sub-words never joins: a run of letters, a few figures, a run of other marks. Long words count once for each six letters.
 PIECES = "\\p{L}{1,6}|\\p{N}{1,3}|[^\\s\\p{L}\\p{N}]{1,3}"
+#: Rounds of raking between two looks at what is left.
+ROUNDS = 6
+#: Bytes of cells that are raked in one task.
+SMALL = 4 << 20
+MARK = "[^\\s\\p{L}]"
 #: The quantiles of each measure of form() that part the corpus into genres.
 PARTED = (1 / 3, 2 / 3)
 
@@ -29,11 +34,10 @@ def pieces_in(text: Column) -> Column:
 
 
 def form(text: Column) -> dict[str, Column]:
-    """What genres go by: letters in a word, and the share of all characters that are marks or figures. Null without words."""
+    """What genres go by: characters to a space, and the share of characters that are marks or figures. Null for empty texts."""
     t = F.coalesce(text, F.lit(""))
-    letters, words = F.regexp_count(t, F.lit("\\p{L}")), F.regexp_count(t, F.lit("[^\\x20\\x09-\\x0D]+"))
-    marks = F.regexp_count(t, F.lit("[^\\s\\p{L}]"))
-    return {"long": F.try_divide(letters, words), "marked": F.try_divide(marks, letters + marks)}
+    spaces = F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))
+    return {"long": F.when(F.length(t) > 0, F.length(t) / (spaces + 1)), "marked": F.try_divide(F.regexp_count(t, F.lit(MARK)), F.length(t))}
 
 
 def genres(rows: DataFrame, accuracy: int = 10_000) -> DataFrame:
@@ -42,7 +46,7 @@ def genres(rows: DataFrame, accuracy: int = 10_000) -> DataFrame:
 
 
 def genre() -> Column:
-    """The class of a row among the corpus's quantiles: words from short to long, then marks from few to many; null without words."""
+    """The class of a row among the corpus's quantiles: words from short to long, then marks from few to many; null for an empty text."""
     place = lambda n: F.concat(*[(F.col(f"_{n}") > F.col(f"_at_{n}")[i]).cast("int").cast("string") for i in range(len(PARTED))])
     return F.concat(F.lit("long"), place("long"), F.lit(" marked"), place("marked"))
 
@@ -56,31 +60,39 @@ def chance(id_: Column, text: Column, seed: int) -> Column:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float, most_rounds: int) -> DataFrame:
     """cells with a weight ``w_<dimension>`` for each dimension. cells: the dimensions as text, and ``tokens``; targets: (v, share) by dimension.
 
-    Each round rakes one dimension after the other and is written; ``off`` is how far the tokens of a cell's values were from
-    their targets before, relative to those. Rounds end once none is further off than ``tolerance``. Targets
+    A round rakes one dimension after the other. After each ROUNDS of them the cells are written, with ``off``: how far the tokens of a cell's values were from
+    their targets before the last round, relative to those. Raking ends once none is further off than ``tolerance``. Targets
     that no weights meet, as where two dimensions say the same and their targets don't, end with a warning after ``most_rounds``.
     """
-    small = int(str(cells._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 4 << 20
+    # a few cells are one partition, where windows need no shuffle; of more, sums are added up in parts and joined to the cells
+    small = int(str(cells._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL
+    held = lambda df: df.coalesce(1) if small else df
+
+    def with_mass(now: DataFrame, d: str) -> DataFrame:
+        a, b = (F.col(f"w_{x}") for x in DIMENSIONS if x != d)
+        mass = F.sum(F.col("tokens") * a * b)
+        if small:
+            return now.withColumn("_mass", mass.over(Window.partitionBy(d)))
+        return now.join(now.groupBy(F.col(d).alias("_v")).agg(mass.alias("_mass")), F.col(d).eqNullSafe(F.col("_v"))).drop("_v")
+
     now = cells.crossJoin(F.broadcast(cells.agg(F.sum("tokens").cast("double").alias("total"))))  # one row
     for d in DIMENSIONS:
         goal = targets[d].select(F.col("v").cast("string").alias("v"), F.col("share").cast("double").alias(f"share_{d}"))
         now = now.join(goal, F.col(d).eqNullSafe(F.col("v"))).drop("v").withColumn(f"w_{d}", F.lit(1.0))
-    # a few cells are one partition, whose sums need no shuffle
-    now = materialize(now.coalesce(1) if small else now, "raked")
-    worst = None
-    for _ in range(most_rounds):
-        off = []
+    now, worst = held(materialize(held(now), "raked")), None
+    for done in range(1, most_rounds + 1):
         for d in DIMENSIONS:
-            a, b = (F.col(f"w_{x}") for x in DIMENSIONS if x != d)
-            sums = now.groupBy(F.col(d).alias("_v")).agg(F.sum(F.col("tokens") * a * b).alias("_mass"))
             new = F.when(F.col("_mass") > 0, F.col(f"share_{d}") * F.col("total") / F.col("_mass")).otherwise(F.lit(1.0))
-            off.append(f"_off_{d}")
-            now = now.join(sums, F.col(d).eqNullSafe(F.col("_v"))).withColumns({f"w_{d}": new, off[-1]: F.abs(F.coalesce(F.try_divide(new, F.col(f"w_{d}")), F.lit(1.0)) - 1)}).drop("_v", "_mass")
-        now = materialize(now.withColumn("off", F.greatest(*off)).drop(*off), "raked")
-        worst = now.agg(F.max("off")).first()[0]  # one number
-        if worst is None or worst <= tolerance:
-            return now
-        now = now.drop("off")
+            off = F.abs(F.coalesce(F.try_divide(new, F.col(f"w_{d}")), F.lit(1.0)) - 1)
+            now = with_mass(now, d).withColumns({f"w_{d}": new, f"_off_{d}": off}).drop("_mass")
+        now = now.withColumn("off", F.greatest(*[f"_off_{d}" for d in DIMENSIONS])).drop(*[f"_off_{d}" for d in DIMENSIONS])
+        if not small or done % ROUNDS == 0 or done == most_rounds:
+            now = held(materialize(now, "raked"))
+        if done % ROUNDS == 0:
+            worst = now.agg(F.max("off")).first()[0]  # one number
+            if worst is None or worst <= tolerance:
+                return now
+    worst = now.agg(F.max("off")).first()[0]
     warnings.warn(f"a value's tokens were {worst:.1e} off their target, relative to it, before the last of {most_rounds} rounds", stacklevel=2)
     return now
 
@@ -133,7 +145,7 @@ def _rated(rows: DataFrame, budget: float, tolerance: float, most_rounds: int, t
     return _with_rates(rows, rates(cells, budget, tolerance, most_rounds, targets))
 
 
-def sample_table(docs: DataFrame, budget: float = 1.0, tolerance: float = 1e-6, most_rounds: int = 50, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, tokens: Column | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+def sample_table(docs: DataFrame, budget: float = 1.0, tolerance: float = 1e-6, most_rounds: int = 60, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, tokens: Column | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """One row for each row of docs: (id, source, lang, topic, tokens, rate, copies).
 
     ``copies`` is the rate's whole part, and one more with the chance of the rest; the chance is fixed by
@@ -146,7 +158,7 @@ def sample_table(docs: DataFrame, budget: float = 1.0, tolerance: float = 1e-6,
     return both.select(F.col("_held").alias(id_col), *[F.col(f"_d_{d}").alias(d) for d in DIMENSIONS], F.col("_tokens").alias("tokens"), F.col("_rate").alias("rate"), _copies().alias("copies"))
 
 
-def sample(docs: DataFrame, budget: float = 1.0, tolerance: float = 1e-6, most_rounds: int = 50, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, tokens: Column | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+def sample(docs: DataFrame, budget: float = 1.0, tolerance: float = 1e-6, most_rounds: int = 60, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, tokens: Column | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """The rows of docs with all of their columns, whatever those are called, each as often as sample_table() says.
 
     Nulls, repeated rows and empty tables are as there; a row of 0 copies goes.
@@ -156,14 +168,13 @@ def sample(docs: DataFrame, budget: float = 1.0, tolerance: float = 1e-6, most_r
     return taken.select("_held", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_held.*")
 
 
-def sample_sql(budget: float = 1.0, tolerance: float = 1e-6, most_rounds: int = 50, seed: int = 17, table: str = "documents") -> str:
+def sample_sql(budget: float = 1.0, tolerance: float = 1e-6, most_rounds: int = 60, seed: int = 17, table: str = "documents") -> str:
     """sample_table() in DuckDB's SQL; rounds are steps of a recursion."""
     count = lambda p: f"len(regexp_extract_all(t, '{p}'))"
-    letters, marks = count("\\p{L}"), count("[^\\s\\p{L}]")
     place = lambda n: " || ".join(f"({n} > q_{n}[{i + 1}])::INTEGER::VARCHAR" for i in range(len(PARTED)))
     steps = [
         f"e AS MATERIALIZED (SELECT doc_id, source, lang, coalesce(text, '') AS t, ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13))::BIGINT / {1 << 52}.0::DOUBLE AS chance FROM {table})",
-        f"f AS MATERIALIZED (SELECT doc_id, source, lang, chance, {count(PIECES)} AS tokens, {letters}::DOUBLE / nullif({count('[^\\x20\\x09-\\x0D]+')}, 0) AS long, {marks}::DOUBLE / nullif({letters} + {marks}, 0) AS marked FROM e)",
+        f"f AS MATERIALIZED (SELECT doc_id, source, lang, chance, {count(PIECES)} AS tokens, CASE WHEN t <> '' THEN length(t)::DOUBLE / (length(t) - length(replace(t, ' ', '')) + 1) END AS long, {count(MARK)}::DOUBLE / nullif(length(t), 0) AS marked FROM e)",
         f"q AS (SELECT quantile_disc(long, {list(PARTED)}) AS q_long, quantile_disc(marked, {list(PARTED)}) AS q_marked FROM f)",
         f"d AS MATERIALIZED (SELECT doc_id, source, lang, 'long' || {place('long')} || ' marked' || {place('marked')} AS topic, tokens, chance FROM f, q)",
         "cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM d GROUP BY ALL)",
@@ -173,7 +184,7 @@ def sample_sql(budget: float = 1.0, tolerance: float = 1e-6, most_rounds: int =
         steps.append(f"p_{d} AS MATERIALIZED (SELECT {d} AS v, power(sum(tokens), {TEMPER[d]}) AS p FROM cells GROUP BY 1)")
         steps.append(f"t_{d} AS MATERIALIZED (SELECT v, p / (SELECT sum(p) FROM p_{d}) AS share FROM p_{d})")
     start = " UNION ALL ".join(f"SELECT 0 AS n, '{d}' AS dimension, v, 1.0::DOUBLE AS w, 1.0::DOUBLE AS off FROM t_{d}" for d in DIMENSIONS)
-    inner = [f"live AS (SELECT * FROM it WHERE n < {most_rounds} AND (SELECT max(off) FROM it) > {tolerance})"]
+    inner = [f"live AS (SELECT * FROM it WHERE n < {most_rounds} AND (n = 0 OR n % {ROUNDS} <> 0 OR (SELECT max(off) FROM it) > {tolerance}))"]
     for k, d in enumerate(DIMENSIONS):
         w = lambda x, k=k: f"new_{x}" if DIMENSIONS.index(x) < k else f"(SELECT v, w FROM live WHERE dimension = '{x}')"
         a, b = (x for x in DIMENSIONS if x != d)
