@@ -1,10 +1,13 @@
+import json
 import random
+import unicodedata
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
-from tideline.llm.harmonic import Packer, WordEncoder, pack
+from tokenizers import Tokenizer
+from tideline.llm.harmonic import Packer, WordEncoder, drops_space, pack
 from tideline.llm.token_prefix import PrefixCounter, count_tokens
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -113,3 +116,30 @@ def test_classes_fill_their_bins():
             placed = p.place(x, x)
             if placed:
                 assert sum(q for q, _, _ in placed) > 2048 - 70
+
+
+def test_other_vocabularies_are_encoded_whole(texts):
+    """A file whose model keeps white space, or does not lower case, has no runs of its own."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, w = Tokenizer.from_file(path), WordEncoder(path)
+    assert not w.by_run and WordEncoder(WORDS).by_run
+    for t in texts[:40] + odd_texts(200):
+        assert w.encode(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    spec = json.loads(Tokenizer.from_file(WORDS).to_str())
+    assert drops_space(spec)
+    for change in ({"normalizer": None}, {"pre_tokenizer": None}, {"post_processor": {"type": "x"}}, {"normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}]}}):
+        assert not drops_space(spec | change)
+
+
+def test_models_that_normalise_are_rejected():
+    class Folding:
+        def encode(self, text, out_type=None):
+            return [c if c != " " else "▁" for c in " " + unicodedata.normalize("NFKC", text)]
+
+    class NoPrefix:
+        def encode(self, text, out_type=None):
+            return [c if c != " " else "▁" for c in text]
+
+    for model in (Folding(), NoPrefix()):
+        with pytest.raises(ValueError, match="normalises"):
+            PrefixCounter._check(model)

@@ -8,6 +8,7 @@ the largest share 1/k of a bin that fits, so a full bin leaves less than k token
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -52,11 +53,24 @@ class _Ids(dict):
         return got
 
 
+#: How a model that lowers case and drops white space says so in its file.
+LOWERS = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITS = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def drops_space(spec: dict) -> bool:
+    """Whether runs without white space are encoded on their own, letters by themselves and in lower case, as _Ids takes it."""
+    before = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    bytewise = len(before) == 2 and before[1].get("type") == "ByteLevel" and not before[1].get("add_prefix_space") and not before[1].get("use_regex")
+    special = [t for t in spec.get("added_tokens") or [] if any(c.isspace() for c in t["content"]) or t.get("normalized") or t.get("lstrip") or t.get("rstrip")]
+    return spec.get("normalizer") == LOWERS and before[0] == SPLITS and bytewise and not special and not spec.get("post_processor") and not spec.get("truncation")
+
+
 class WordEncoder:
-    """Token ids (as little-endian unsigned 32-bit bytes) of a tokenizers model that drops white space.
+    """Token ids (as little-endian unsigned 32-bit bytes) of a tokenizers model.
 
-    White space separates what the model encodes, so the ids of a text are those of its runs
-    without white space, each looked up in a bounded memory.
+    Where the model's file says that it drops white space, that separates what the model encodes, so the ids of a text are those of its runs
+    without white space, each looked up in a bounded memory. With any other file the model encodes whole texts.
     """
 
     def __init__(self, path: str, cached: int = 500_000):
@@ -66,10 +80,11 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.model = Tokenizer.from_file(path)
+        self.by_run = drops_space(json.loads(self.model.to_str()))
         self.ids = _Ids(self.model, cached)
 
     def encode(self, text: str) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f\x85"):  # Python splits there, the model's pattern does not everywhere
+        if not self.by_run or any(c in text for c in "\x1c\x1d\x1e\x1f\x85"):  # Python splits there, the model's pattern does not everywhere
             return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.ids.__getitem__, text.split()))
 

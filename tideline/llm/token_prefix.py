@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
+#: Texts that a model with any normalisation of its own spells otherwise: ligatures, wide letters, marks apart, odd and repeated spaces.
+PROBES = ("x", " ﬁ Ａ e\u0301  x\ty\n\n z ", "½²\u00a0\u3000Å\u212b", "  ", "\u200b.\ufeff")
 _RUN = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -32,6 +34,7 @@ class PrefixCounter:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        self._check(sp)
         self.scores = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
         self.plain_newline = not any("\n" in p for p in self.scores)
         if any(SPACE in p.lstrip(SPACE) for p in self.scores):
@@ -47,6 +50,14 @@ class PrefixCounter:
         self.spaced: dict[str, int] = {}
         self.bare: dict[str, int] = {}
 
+    @staticmethod
+    def _check(sp) -> None:
+        """Reject a model that changes texts before it splits them, or does not put one space before them."""
+        for text in PROBES:
+            spelt = b"".join(bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.encode() for p in sp.encode(text, out_type=str))
+            if spelt.decode() != SPACE + text.replace(" ", SPACE):
+                raise ValueError("the model normalises its texts; counts would not be those of the library")
+
     def merge(self, text: str) -> list[str]:
         """Plain byte-pair merging of a short text: best score first, leftmost among equals."""
         parts = list(text)
