@@ -32,20 +32,25 @@ def diff(a: DataFrame, b: DataFrame, keys: KeySpec, only_a: bool = True, only_b:
     return out.filter(F.col("status").isin(wanted))
 
 
-def diff_digest(a: DataFrame, b: DataFrame, keys: KeySpec, bucket: Column) -> DataFrame:
-    """The same rows as diff(), after buckets with equal digests on both sides are skipped.
+def digest(df: DataFrame, bucket: Column) -> DataFrame:
+    """(_bucket, n, x, s): the row count of each bucket and two sums over 64-bit row hashes with different seeds.
 
-    A digest is the row count and two sums over 64-bit row hashes with different seeds, so equal
-    digests of unequal buckets need a coincidence of about 2^-128; diff() compares every row.
+    A snapshot's digests can be written beside it, so that later diffs read them instead of the snapshot.
     """
-    cols = sorted(a.columns)
+    cols = sorted(df.columns)
+    h = F.xxhash64(*cols)
+    g = F.xxhash64(F.lit(True), *reversed(cols), h)
+    return df.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(g.cast("decimal(38,0)")).alias("s"))
+
 
-    def digest(df: DataFrame, side: str) -> DataFrame:
-        h = F.xxhash64(*cols)
-        g = F.xxhash64(F.lit(side != ""), *reversed(cols), h)
-        return df.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(g.cast("decimal(38,0)")).alias("s")).alias(side)
+def diff_digest(a: DataFrame, b: DataFrame, keys: KeySpec, bucket: Column, of_a: DataFrame | None = None, of_b: DataFrame | None = None) -> DataFrame:
+    """The same rows as diff(), after buckets with equal digests on both sides are skipped.
 
-    x, y = digest(a, "a"), digest(b, "b")
+    ``of_a`` and ``of_b`` are stored digests of the two; one that is not given is made from its table. Equal
+    digests of unequal buckets need a coincidence of about 2^-128; diff() compares every row.
+    """
+    x = (digest(a, bucket) if of_a is None else of_a).alias("a")
+    y = (digest(b, bucket) if of_b is None else of_b).alias("b")
     moved = x.join(y, F.col("a._bucket").eqNullSafe(F.col("b._bucket")), "full")
     moved = moved.filter(~(F.col("a.n").eqNullSafe(F.col("b.n")) & F.col("a.x").eqNullSafe(F.col("b.x")) & F.col("a.s").eqNullSafe(F.col("b.s"))))
     moved = moved.select(F.coalesce("a._bucket", "b._bucket").alias("_moved"))

@@ -333,10 +333,15 @@ class SortedTable:
             raise ValueError("both tables need the same key order")
         return diff.diff(self.df, other.df, self.keys, only_a, only_b, different, exact_zero)
 
-    def diff_digest(self, other: SortedTable, bucket: Column) -> DataFrame:
+    def digest(self, bucket: Column) -> DataFrame:
+        """Digests of this table's buckets, to be written beside a snapshot for diff_digest()."""
+        return diff.digest(self.df, bucket)
+
+    def diff_digest(self, other: SortedTable, bucket: Column, mine: DataFrame | None = None, theirs: DataFrame | None = None) -> DataFrame:
+        """diff_against() that skips buckets of equal digests; ``mine`` and ``theirs`` are stored ones of the same buckets."""
         if self.keys != other.keys:
             raise ValueError("both tables need the same key order")
-        return diff.diff_digest(self.df, other.df, self.keys, bucket)
+        return diff.diff_digest(self.df, other.df, self.keys, bucket, mine, theirs)
 
     def diff_first(self, other: SortedTable, only_a: bool = True, only_b: bool = True, different: bool = True) -> DataFrame:
         """The first difference of the wanted kinds, from the highest key down: a top 1, so a task keeps one row."""
