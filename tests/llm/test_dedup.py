@@ -1,10 +1,11 @@
 import random
+from collections import Counter
 from math import comb
 
 import brute
 import numpy as np
 import pytest
-from tideline.llm import exchange, near_dedup, substring_anchors, suffix_dedup
+from tideline.llm import exchange, induced_sort, near_dedup, substring_anchors, suffix_dedup
 from tideline.llm.components import components
 from tideline.llm.induced_sort import suffix_array
 from tideline.llm.near_dedup import _likely, _settle, arrow, classes, keep_one, least_agreement, links_within, signatures
@@ -222,12 +223,12 @@ def test_byte_strings_of_odd_rows(odd_docs, no_docs):
     assert byte_dedup(no_docs).count() == 0 and without_repeats(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("most", [1 << 20, 4])
+@pytest.mark.parametrize("most", [1 << 20, 7, 2])
 @pytest.mark.parametrize("cap", [1000, 3])
 def test_suffix_array_and_common_prefixes(most, cap):
-    """Small ``most``: many ranges, and tuples that wait on disk."""
+    """Small ``most``: many ranges, symbols of more suffixes than that, substrings named by passes, and arrays and tuples on disk."""
     rng = np.random.default_rng(2)
-    for k in range(150):
+    for k in range(150 if most > 7 else 60):
         t = rng.integers(0, rng.integers(1, 5), rng.integers(1, 60))
         t = list(np.sort(t)[::-1] if k % 3 == 0 else np.tile(t, 3) if k % 7 == 0 else t)
         want = sorted(range(len(t)), key=lambda i, t=t: t[i:])
@@ -238,6 +239,37 @@ def test_suffix_array_and_common_prefixes(most, cap):
             assert common[n + 1] == min(same, cap)
 
 
+def test_a_shard_far_larger_than_memory(monkeypatch):
+    """What is sorted holds 200 entries of each array in memory; the shard has 60 times as many symbols."""
+    rng = np.random.default_rng(11)
+    step, n = 9, 700
+    pieces = np.zeros(n, suffix_dedup._PIECE)
+    pieces["a"] = rng.integers(0, 3, n)
+    pieces["left"], pieces["right"] = rng.integers(0, step, n), rng.integers(step - 1, 2 * step - 1, n)
+    pieces["starts"] = np.minimum(pieces["left"] + 1, pieces["left"] + pieces["right"] - step + 2)
+    sides = rng.integers(97, 99, int(pieces["left"].sum() + pieces["right"].sum())).astype(np.uint8)
+    largest, real = [], induced_sort.Files.new
+    monkeypatch.setattr(induced_sort.Files, "new", lambda self, k, kind=np.int64: (largest.append((k, self.held)), real(self, k, kind))[1])
+    got = suffix_dedup.sort_pieces(pieces, sides, step, 200)
+    assert max(k for k, _ in largest) > 60 * 200 and {h for _, h in largest} == {200}
+    assert got.tolist() == suffix_dedup.sort_pieces(pieces, sides, step, 1 << 20).tolist()
+    at, strings = 0, []
+    for p in pieces:
+        left, right = sides[at : at + p["left"]].tolist(), sides[at + p["left"] : at + p["left"] + p["right"]].tolist()
+        text = [*left, 1000 + int(p["a"]), *right]
+        strings.append([tuple(text[k : k + step]) for k in range(p["starts"])])
+        at += p["left"] + p["right"]
+    count = Counter(x for own in strings for x in own)
+    want = [sum((count[x] > 1) << k for k, x in enumerate(own)) for own in strings]
+    assert got.tolist() == want and any(want)
+
+
+def test_shards_in_files_equal_brute_force(mixed):
+    """A sort that holds next to nothing, through the whole operator."""
+    rows, df = mixed
+    assert brute.plain(byte_dedup(df, 60, with_text=False, sorted_at_once=50).collect()) == brute.plain(brute.byte_dedup(rows, 60))
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(i + 1000, i + 1001) for i in range(60)] + [(5000, 5001 + i) for i in range(40)] + [(None, 4), (7, 7)]

@@ -82,7 +82,8 @@ def write_batches(docs: DataFrame, id_col: str, text_col: str, most: int = BATCH
     spark = docs.sparkSession
     buckets, name = spread(rows), f"tideline_batches_{uuid.uuid4().hex}"
     dealt = rows.mapInArrow(run, _BATCH + (", notes binary" if notes else "")).repartition(buckets, "batch")
-    dealt.write.bucketBy(buckets, "batch").sortBy("batch").option("path", scratch_path(spark, "batches")).saveAsTable(name)
+    with arrow.batches_of(spark, 1000):
+        dealt.write.bucketBy(buckets, "batch").sortBy("batch").option("path", scratch_path(spark, "batches")).saveAsTable(name)
     atexit.register(_forget, spark, name)
     return spark.table(name)
 

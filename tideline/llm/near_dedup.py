@@ -10,7 +10,7 @@ pairs, whole signatures rule most of the unlike ones out, and the multisets them
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from hashlib import blake2b
 from math import comb
 
@@ -115,15 +115,19 @@ def similarities(data: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray
     return np.where(total > 0, both / np.maximum(total - both, 1), 1.0)
 
 
-def _sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int, carried: Column) -> DataFrame:
-    """(row, id, print, total, bands, marks, carried): ``row`` numbers the rows, ``print`` is the digest of the words, ``total`` the shingles, ``marks`` a byte of each component."""
+def _sketch(docs: DataFrame, id_col: str, text_at: int | None, size: int, bands: int, rows: int, carried: Column) -> DataFrame:
+    """(row, id, print, total, bands, marks, carried): ``row`` numbers the rows, ``print`` is the digest of the words, ``total`` the shingles, ``marks`` a byte of each component.
+
+    ``carried`` is the text, or a struct whose field ``text_at`` is the text.
+    """
     m = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n = TaskContext.get().partitionId() << 33, 0
         salt = np.arange(bands, dtype=U64) * U64(0xE7037ED1A0B428DB)
         for b in batches:
-            for i, j, data, offsets in arrow.spans(b.column(1), 1 << 18):
+            texts = b.column(1) if text_at is None else b.column(1).field(text_at)
+            for i, j, data, offsets in arrow.spans(texts, 1 << 18):
                 k = j - i
                 doc, h, c = shingles(data, offsets, size)
                 total = np.bincount(doc, c, k).astype(np.int64)
@@ -133,11 +137,11 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int,
                     mixed = arrow.mix(mixed ^ sig.reshape(k, bands, rows)[:, :, r]) * U64(0x9FB21C651E98DF25)
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * bands), pa.array(mixed.ravel().view(np.int64)))
                 marks = [x.tobytes() for x in (arrow.mix(sig) >> U64(56)).astype(np.uint8)]
-                cols = [pa.array(np.arange(base + n, base + n + k)), b.column(0).slice(i, k), pa.array(digests(data, offsets), pa.binary()), pa.array(total), listed, pa.array(marks, pa.binary()), b.column(2).slice(i, k)]
+                cols = [pa.array(np.arange(base + n, base + n + k)), b.column(0).slice(i, k), pa.array(digests(data, offsets), pa.binary()), pa.array(total), listed, pa.array(marks, pa.binary()), b.column(1).slice(i, k)]
                 n += k
                 yield pa.RecordBatch.from_arrays(cols, ["row", "id", "print", "total", "bands", "marks", "carried"])
 
-    rows_in = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), carried.alias("carried"))
+    rows_in = docs.select(F.col(id_col).alias("id"), carried.alias("carried"))
     fields = [T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("print", T.BinaryType()), T.StructField("total", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("marks", T.BinaryType()), rows_in.schema["carried"]]
     return rows_in.mapInArrow(run, T.StructType(fields))
 
@@ -205,7 +209,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Da
     leaders = materialize(leaders, "leaders")
     both = salted.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(leaders, ["b", "salt"])
     both = both.select("a", "b", "x", "y", F.array(F.octet_length("x"), F.octet_length("y")).alias("sizes"))
-    return materialize(both.mapInArrow(run, "a bigint, b bigint"), "verified")
+    with arrow.batches_of(pairs.sparkSession, 1000):
+        return materialize(both.mapInArrow(run, "a bigint, b bigint"), "verified")
 
 
 def links_within(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, block: np.ndarray, part: np.ndarray, size: int, least: float) -> list[tuple[int, int]]:
@@ -318,7 +323,8 @@ def _settle(cells: DataFrame, member: DataFrame, texts: DataFrame, size: int, le
         if held is not None and len(held):
             yield links(held, groups(held))
 
-    return materialize(dealt.mapInArrow(run, "a bigint, b bigint"), "settled")
+    with arrow.batches_of(cells.sparkSession, 1000):
+        return materialize(dealt.mapInArrow(run, "a bigint, b bigint"), "settled")
 
 
 def classes(docs: DataFrame, similar: float = 0.8, size: int = 5, bands: int = 30, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,13 +340,14 @@ def classes(docs: DataFrame, similar: float = 0.8, size: int = 5, bands: int = 3
     A null text has no words and is one class with other texts without words; a class of rows without ids
     has a null class_id; repeated rows are copies; an empty table gives no rows; other columns are not read.
     """
-    sketch, found = _classes(docs, similar, size, bands, rows, id_col, text_col, F.coalesce(F.col(text_col), F.lit("")), lambda carried: carried)
+    sketch, found = _classes(docs, similar, size, bands, rows, id_col, F.coalesce(F.col(text_col), F.lit("")))
     return sketch.select("id", "print").join(found, "print").select(F.col("id").alias(id_col), F.col("least.id").alias("class_id"), "copies")
 
 
-def _classes(docs: DataFrame, similar: float, size: int, bands: int, rows: int, id_col: str, text_col: str, carried: Column, text_of: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, similar: float, size: int, bands: int, rows: int, id_col: str, carried: Column, text_col: str | None = None, text_at: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The sketch of docs, and (print, least, copies): ``least`` is the first row (no id last; id; row) of the class."""
-    sketch = materialize(_sketch(docs, id_col, text_col, size, bands, rows, carried), "sketch")
+    with arrow.batches_of(docs.sparkSession, 1000):
+        sketch = materialize(_sketch(docs, id_col, text_at, size, bands, rows, carried), "sketch")
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))
     nodes = sketch.groupBy("print").agg(F.min("row").alias("node"), F.min(place).alias("least"), F.count(F.lit(1)).alias("copies"), F.max("total").alias("total"))
     nodes = materialize(nodes, "nodes")
@@ -351,7 +358,8 @@ def _classes(docs: DataFrame, similar: float, size: int, bands: int, rows: int,
     met = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader"), F.min_by("total", "node").alias("leader_total")).filter("n > 1")
     cells = materialize(cells.join(met, "cell"), "cells")  # only cells where documents meet
     wanted = materialize(cells.select("node").distinct(), "wanted")
-    texts = _likely(sketch.select(F.col("row").alias("node"), text_of(F.col("carried")).cast("binary").alias("text")), "node", wanted)
+    text = F.col("carried") if text_col is None else F.coalesce(F.col("carried")[text_col], F.lit(""))
+    texts = _likely(sketch.select(F.col("row").alias("node"), text.cast("binary").alias("text")), "node", wanted)
     texts = materialize(texts.join(wanted, "node", "left_semi"), "texts")  # of the documents that meet others, for all that follows
     near = F.least("total", "leader_total") >= F.greatest("total", "leader_total") * F.lit(similar) - F.lit(1e-9)
     pairs = cells.filter(near & (F.col("node") != F.col("leader"))).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
@@ -374,7 +382,6 @@ def keep_one(docs: DataFrame, similar: float = 0.8, size: int = 5, bands: int =
     The row of the least id stays, and among equal ids the first in the table; rows without an id come after all others. Rows without words, null texts among them, are one class, too;
     repeated rows are copies; an empty table gives an empty one.
     """
-    text = lambda carried: F.coalesce(carried[text_col], F.lit(""))
-    sketch, found = _classes(docs, similar, size, bands, rows, id_col, text_col, F.struct(*docs.columns), text)
+    sketch, found = _classes(docs, similar, size, bands, rows, id_col, F.struct(*docs.columns), text_col, docs.columns.index(text_col))
     kept = found.select(F.col("least.row").alias("row")).distinct()
     return sketch.join(kept, "row", "left_semi").select("carried.*")

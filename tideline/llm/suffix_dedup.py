@@ -11,6 +11,7 @@ place: each start of its ranges is dealt by the hash of its string, so equal str
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from functools import partial
 from hashlib import sha256
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from ..storage import materialize
 from . import arrow
 from .exchange import ASK, U64, Batch, Ranges, ask, bits, loaded, posed, ragged, ranges, split, write_batches
-from .induced_sort import suffix_array
+from .induced_sort import Files, suffix_array
 
 SEED = 32
 _SENT = "part int, batch bigint, question binary, sides binary"
@@ -247,31 +248,52 @@ def _shared(questions: list[bytes], most: int, kind: np.dtype = _CORE) -> list[b
 
 
 def sort_pieces(pieces: np.ndarray, sides: np.ndarray, step: int, most: int) -> np.ndarray:
-    """For each piece a bit for each start whose string also starts in another piece."""
+    """For each piece a bit for each start whose string also starts in another piece.
+
+    Pieces and sides may be mapped from files. Of the pieces the numbers are in memory, of their symbols at most about ``most`` at once.
+    """
     cores = np.lexsort((pieces["b"], pieces["a"]))
     a, b = pieces["a"][cores], pieces["b"][cores]
     core = np.empty(len(pieces), np.int64)
     core[cores] = np.cumsum(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]) + 255
-    left, right = pieces["left"].astype(np.int64), pieces["right"].astype(np.int64)
+    left, right, starts = (pieces[x].astype(np.int64) for x in ("left", "right", "starts"))
     size = left + right + 2
     start = np.cumsum(size) - size
-    text = np.empty(size.sum(), np.int64)
-    text[start + left] = core
-    text[start + size - 1] = core.max() + 1 + np.arange(len(pieces))  # no two ends are equal
-    text[ragged(np.stack([start, start + left + 1], 1).ravel(), np.stack([left, right], 1).ravel())] = sides
-    is_start = np.full(len(text), -1, np.int64)
-    starts = pieces["starts"].astype(np.int64)
-    is_start[ragged(start, starts)] = np.repeat(np.arange(len(pieces)), starts)
-    order, common = suffix_array(text, most, cap=step)
-    at = np.flatnonzero(is_start[order] >= 0)
-    # the common prefix of neighbouring starts is the least of all between them
-    shared = np.minimum.reduceat(common, at + 1 if at[-1] + 1 < len(order) else at[:-1] + 1)[: len(at) - 1] if len(at) > 1 else np.zeros(0, np.int64)
-    alike = np.flatnonzero(shared >= step)
-    repeats = np.zeros(len(at), bool)
-    repeats[alike] = repeats[alike + 1] = True
-    hits = order[at[repeats]]
     mask = np.zeros(len(pieces), U64)
-    np.bitwise_or.at(mask, is_start[hits], U64(1) << (hits - start[is_start[hits]]).astype(U64))
+    with tempfile.TemporaryDirectory() as folder:
+        files = Files(folder, most)
+        text = files.new(int(size.sum()))
+        side_at = np.cumsum(left + right) - left - right
+        lo = 0
+        while lo < len(pieces):
+            hi = max(lo + 1, int(np.searchsorted(start, start[lo] + most)))
+            own = slice(lo, hi)
+            base, until = start[lo], start[hi - 1] + size[hi - 1]
+            part = np.empty(until - base, np.int64)
+            part[start[own] - base + left[own]] = core[own]
+            part[start[own] - base + size[own] - 1] = core.max() + 1 + np.arange(lo, hi)  # no two ends are equal
+            at = np.stack([start[own] - base, start[own] - base + left[own] + 1], 1).ravel()
+            part[ragged(at, np.stack([left[own], right[own]], 1).ravel())] = sides[side_at[lo] : side_at[hi - 1] + left[hi - 1] + right[hi - 1]]
+            text[base:until] = part
+            lo = hi
+        order, common = suffix_array(text, most, folder, cap=step)
+        # the common prefix of neighbouring starts is the least of all between them
+        before, least = -1, step
+        for lo, hi in files.parts(len(order)):
+            at, shared = np.asarray(order[lo:hi]), np.asarray(common[lo:hi])
+            owner = np.searchsorted(start, at, "right") - 1
+            found = np.flatnonzero(at - start[owner] < starts[owner])
+            if not len(found):
+                least = min(least, int(shared.min()))
+                continue
+            value = np.minimum.reduceat(shared[: found[-1] + 1], np.append(0, found[:-1] + 1))
+            value[0] = min(value[0], least) if before >= 0 else 0
+            pairs = np.flatnonzero(value >= step)
+            here = at[found]
+            hits = np.concatenate([here[pairs], np.append(before, here[:-1])[pairs]])
+            piece = np.searchsorted(start, hits, "right") - 1
+            np.bitwise_or.at(mask, piece, U64(1) << (hits - start[piece]).astype(U64))
+            before, least = int(here[-1]), int(shared[found[-1] + 1 :].min(initial=step))
     return mask
 
 
@@ -292,6 +314,36 @@ def sort_starts(starts: np.ndarray, sides: np.ndarray, step: int, most: int) ->
     return found
 
 
+class Shard:
+    """What batches send to one part, kept in files of the task until all of it is there."""
+
+    def __init__(self, part: int):
+        self.part, self.batches, self.counts = part, [], []
+        self.folder = tempfile.TemporaryDirectory()
+        self.files = [open(f"{self.folder.name}/{n}", "w+b") for n in ("rows", "sides")]
+
+    def add(self, batch: int, rows: bytes, sides: bytes, kind: np.dtype) -> None:
+        self.batches.append(batch)
+        self.counts.append(len(rows) // kind.itemsize)
+        for f, x in zip(self.files, (rows, sides), strict=True):
+            f.write(x)
+
+    def settled(self, kind: np.dtype, sort, step: int, most: int) -> pa.RecordBatch:
+        """(part, batch, reply) for each batch, by sorting what it and the others sent."""
+        held = []
+        for f, t in zip(self.files, (kind, np.uint8), strict=True):
+            f.flush()
+            held.append(np.memmap(f, t, "r") if f.tell() else np.zeros(0, t))
+        mask = sort(*held, step, most)
+        replies = [m.tobytes() for m in np.split(mask, np.cumsum(self.counts)[:-1])]
+        n = len(replies)
+        out = pa.RecordBatch.from_arrays([pa.array([self.part] * n, pa.int32()), pa.array(self.batches, pa.int64()), pa.array(replies, pa.binary())], ["part", "batch", "reply"])
+        for f in self.files:
+            f.close()
+        self.folder.cleanup()
+        return out
+
+
 def dedup(docs: DataFrame, need: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, passage: int | None = None, sorted_at_once: int = 1 << 20, hot: int = 1 << 13) -> DataFrame:
     """One row for each row of docs: (id, n_bytes, n_removed, n_spans, kept_sha256), with ``passage`` n_passage, and if with_text ``kept``
     (binary), ``kept_text`` (the same without the halves of characters that a cut may leave) and ``spans`` (first and end byte).
@@ -326,12 +378,19 @@ def dedup(docs: DataFrame, need: int = 400, id_col: str = "doc_id", text_col: st
             for p, q, s in x.sendings():
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([number], pa.int64()), pa.array([q], pa.binary()), pa.array([s], pa.binary())], ["part", "batch", "question", "sides"])
 
-    def settle(table: pa.Table) -> pa.Table:
-        questions = table.column("question").to_pylist()
-        of, sort = (_PIECE, sort_pieces) if table.column("part")[0].as_py() < given.n else (_START, sort_starts)
-        mask = sort(np.frombuffer(b"".join(questions), of), np.frombuffer(b"".join(table.column("sides").to_pylist()), np.uint8), step, sorted_at_once)
-        cuts = np.cumsum([len(q) // of.itemsize for q in questions])[:-1]
-        return pa.table({"part": table.column("part").cast(pa.int32()), "batch": table.column("batch"), "reply": pa.array([m.tobytes() for m in np.split(mask, cuts)], pa.binary())})
+    def settle(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Parts come one after the other."""
+        shard = None
+        how = lambda part: (_PIECE, sort_pieces) if part < given.n else (_START, sort_starts)
+        for b in rows:
+            for part, number, question, sides in zip(*[b.column(x).to_pylist() for x in ("part", "batch", "question", "sides")], strict=True):
+                if shard is not None and shard.part != part:
+                    yield shard.settled(*how(shard.part), step, sorted_at_once)
+                    shard = None
+                shard = shard or Shard(part)
+                shard.add(number, question, sides, how(part)[0])
+        if shard is not None:
+            yield shard.settled(*how(shard.part), step, sorted_at_once)
 
     def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, b, more in loaded(rows):
@@ -368,8 +427,8 @@ def dedup(docs: DataFrame, need: int = 400, id_col: str = "doc_id", text_col: st
     fields |= {"kept": "binary", "kept_text": "string", "spans": "array<array<bigint>>"} if with_text else {}
     known = replied(batches, ask(batches.select("batch", "notes").mapInArrow(first, ASK), _repeating, given, "<u4"), "anchors")
     known = replied(known, ask(known.mapInArrow(second, ASK), partial(_shared, most=hot, kind=kind), given, kind, 4), "cores")
-    sent = known.mapInArrow(third, _SENT).repartition(max(given.n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "part")
-    settled = sent.groupBy("part").applyInArrow(settle, "part int, batch bigint, reply binary").groupBy("batch").agg(F.collect_list(F.struct("part", "reply")).alias("repeats"))
+    sent = known.mapInArrow(third, _SENT).repartition(max(given.n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "part").sortWithinPartitions("part")
+    settled = sent.mapInArrow(settle, "part int, batch bigint, reply binary").groupBy("batch").agg(F.collect_list(F.struct("part", "reply")).alias("repeats"))
     return known.join(materialize(settled, "repeats"), "batch", "left").mapInArrow(finish, ", ".join(f"`{name}` {kind_}" for name, kind_ in fields.items()))
 
 
