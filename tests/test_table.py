@@ -222,11 +222,11 @@ def test_batch_neighbours_follow_the_key_order(spark):
     for up in (True, False):
         for lower in (True, False):
             for strict in (True, False):
-                for by in ([], ["g"]):
+                for by, skewed in (([], False), (["g"], False), (["g"], True)):
                     keys = [*by, "k"]
                     spec = KeySpec.of(*by, Key("k", ascending=up))
                     t = SortedTable(spark.createDataFrame(rows if by else rows[:4], "g int, k double, v int"), spec)
-                    got = {r.i: r.v for r in t.asof(p, "k", "at", by, ["v"], "lower" if lower else "higher", strict).collect()}
+                    got = {r.i: r.v for r in t.asof(p, "k", "at", by, ["v"], "lower" if lower else "higher", strict, skewed).collect()}
                     held = rows if by else rows[:4]
                     for i, g, x in probes:
                         assert got[i] == _constant(held, g if by else None, x, up, lower, strict), (up, lower, strict, by, g, x)

@@ -36,13 +36,17 @@ class Sweep:
         if not keys.allow_null:
             table = table.filter(F.col(on).isNotNull())
             key = replace(key, nulls="last" if self.before else "first")
+        self.by = [f"_by{i}" for i in range(len(by))]
         match = F.struct(F.col(on).alias("on"), *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
         kind = table.schema[on].dataType
-        left = table.select(*by, F.col(on).alias("_at"), F.lit(0).alias("_side"), match.alias("_match"))
-        right = probes.select(*by, F.col(probe_on).alias("_at"), F.lit(1).alias("_side"), F.struct(*probes.columns).alias("_probe"))
+        groups = [F.col(b).alias(n) for b, n in zip(by, self.by, strict=True)]
+        left = table.select(*groups, F.col(on).alias("_at"), F.lit(0).alias("_side"), match.alias("_match"))
+        right = probes.select(*groups, F.col(probe_on).alias("_at"), F.lit(1).alias("_side"), F.struct(*probes.columns).alias("_probe"))
         self.rows = left.unionByName(right, allowMissingColumns=True)
         self.key = replace(key, name="_at")
-        self.by_key = KeySpec((self.key,)).order(self.rows)
+        # groups go the way that the key goes, so that the last row of all is the largest or the smallest
+        groups = [F.col(b).asc_nulls_first() if key.ascending else F.col(b).desc_nulls_last() for b in self.by]
+        self.by_key = [*groups, *KeySpec((self.key,)).order(self.rows)]
         table_first = self.before != strict
         self.order = [*self.by_key, F.col("_side").asc() if table_first else F.col("_side").desc()]
         self.floats = isinstance(kind, (T.DoubleType, T.FloatType))
@@ -62,8 +66,8 @@ class Sweep:
             first = not isinstance(self.rows.schema["_at"].dataType, (T.BooleanType, T.NumericType))
             first = first if self.key.ascending else not first
         null = F.when(x.isNull(), _BEFORE_ALL if first == self.key.ascending else _AFTER_ALL).otherwise(1)
-        place = F.struct(null, *[F.when(F.isnan(x), 0).otherwise(1)] * self.floats, x)
-        return (F.max_by if self.before == self.key.ascending else F.min_by)("_match", place)
+        place = F.struct(*self.by, null, *[F.when(F.isnan(x), 0).otherwise(1)] * self.floats, x)
+        return (F.max_by if self.before == self.key.ascending else F.min_by)(F.struct("_match", *self.by), place)
 
     def result(self, swept: DataFrame, match: Column) -> DataFrame:
         """Each probe with the match's key and values, under names that the probe does not have: ``matched_`` goes before as often as needed."""
@@ -84,15 +88,15 @@ def asof_by(table: DataFrame, probes: DataFrame, keys: KeySpec, on: str, probe_o
     and a sort. The table's keys must be unique within ``by``. Order and names are those of Sweep.
     """
     sweep = Sweep(table, probes, keys, on, probe_on, by, values, direction, strict)
-    return sweep.result(sweep.rows, sweep.hit(*by))
+    return sweep.result(sweep.rows, sweep.hit(*sweep.by))
 
 
-def asof_global(table: DataFrame, probes: DataFrame, keys: KeySpec, on: str, probe_on: str, values: list[str], direction: str, strict: bool, partitions: int | None = None) -> DataFrame:
-    """The same without ``by``: range partitions are swept on their own, then each takes over
-    the boundary match of the partitions before (after) it. One row for each partition is broadcast.
+def asof_global(table: DataFrame, probes: DataFrame, keys: KeySpec, on: str, probe_on: str, by: list[str], values: list[str], direction: str, strict: bool, partitions: int | None = None) -> DataFrame:
+    """The same in one global order, for tables without ``by`` or with a hot value of it: range partitions are swept on their own, then each takes over
+    the boundary match of the partitions before (after) it, if that is of its ``by``. One row for each partition is broadcast.
     """
     spark = table.sparkSession
-    sweep = Sweep(table, probes, keys, on, probe_on, [], values, direction, strict)
+    sweep = Sweep(table, probes, keys, on, probe_on, by, values, direction, strict)
     n = partitions or spread(sweep.rows)
     dealt = sweep.rows.repartitionByRange(n, *sweep.by_key)
     dealt = materialize(dealt.withColumn("_part", F.spark_partition_id()), "asof")
@@ -101,5 +105,8 @@ def asof_global(table: DataFrame, probes: DataFrame, keys: KeySpec, on: str, pro
     across = Window.orderBy("_part")
     carry = F.last("_edge", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)) if sweep.before else F.first("_edge", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing))
     carries = parts.select("_part", carry.alias("_carry"))
-    swept = dealt.withColumn("_local", sweep.hit("_part")).join(F.broadcast(carries), "_part")  # one row for each partition
-    return sweep.result(swept, F.coalesce(F.col("_local"), F.col("_carry")))
+    swept = dealt.withColumn("_local", sweep.hit("_part", *sweep.by)).join(F.broadcast(carries), "_part")  # one row for each partition
+    own = F.lit(True)
+    for b in sweep.by:
+        own = own & F.col(b).eqNullSafe(F.col(f"_carry.{b}"))
+    return sweep.result(swept, F.coalesce(F.col("_local"), F.when(own, F.col("_carry._match"))))

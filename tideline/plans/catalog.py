@@ -281,6 +281,18 @@ def or_next_higher(spark, sf):
     return _asof(spark, sf, "higher", False)
 
 
+_BUSY = "WITH t AS (SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 2 = 0), p AS (SELECT o_orderkey AS probe, CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE o_custkey END AS g, o_orderkey AS at FROM orders) SELECT p.probe, p.g, t.o_orderkey AS matched_k, t.o_totalprice FROM p ASOF LEFT JOIN (SELECT CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE o_custkey END AS g, o_orderkey, o_totalprice FROM t) t ON p.g = t.g AND p.probe > t.o_orderkey"
+
+
+@query(_BUSY)
+def busy_next_lower(spark, sf):
+    """One group has a third of all rows and is swept by many tasks."""
+    g = F.when(F.col("o_custkey") % 3 == 0, 0).otherwise(F.col("o_custkey")).alias("g")
+    orders = read(spark, sf, "orders")
+    table = SortedTable(orders.filter("o_orderkey % 2 = 0").select(g, F.col("o_orderkey").alias("k"), "o_totalprice"), KeySpec.of("g", "k"))
+    return table.asof(orders.select(F.col("o_orderkey").alias("probe"), g), "k", "probe", ["g"], ["o_totalprice"], "lower", True, skewed=True)
+
+
 @query("WITH t AS (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase') SELECT e.event_id, e.user_id, e.ts AS at, t.ts AS matched_ts, t.value FROM events e ASOF LEFT JOIN t ON e.user_id = t.user_id AND e.ts >= t.ts")
 def last_purchase(spark, sf):
     events = read(spark, sf, "events")
