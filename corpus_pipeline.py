@@ -21,27 +21,43 @@ from tideline.storage import materialize, recorded, remove
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go: limits by language and source, from all of docs.
+
+    Null texts and texts of fewer than 50 words go; null languages and sources are groups; repeated rows count each; no rows give none.
+    """
     return keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays."""
+    """One document of each class of near copies stays, the one of the least id, and of equal ids the first in the table.
+
+    Rows without an id come after all others; texts without words are one class; repeated rows are copies; no rows give none.
+    """
     return keep_one(docs, similar=0.8, size=5)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 240 bytes, about 50 short words, that stand more than once go from the texts; n_chars follows."""
+    """Strings of 240 bytes, about 50 short words, that stand more than once go from the texts, every copy of them; n_chars follows.
+
+    A null text stays null, its n_chars too; an empty text stays; ids play no part; repeated rows lose what they share; no rows give none.
+    """
     return without_repeats(docs, need=240).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled to the target shares of sources, languages and genres; the corpus keeps about its size."""
+    """Documents are sampled to the target shares of sources, languages and genres; the corpus keeps about its size.
+
+    A document may come more than once or not at all. Null sources and languages are values like others, null texts have no tokens; the
+    id decides, so repeated rows are taken alike, and without one the text does; no rows give none.
+    """
     return sample(docs, budget=1.0)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences of at most 2048 tokens."""
+    """The pieces of sequences of at most 2048 tokens, each document with its closing id.
+
+    A null text is empty and still has that id; ids may be null or repeated, each row is packed on its own; no rows give none.
+    """
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=2048, with_ids=False)
 
 
