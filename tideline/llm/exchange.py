@@ -173,7 +173,8 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def ask(questions: DataFrame, answer: Answer, given: Ranges, kind: np.dtype | str, width: int = 1) -> DataFrame:
     """(batch, replies): what ``answer`` says to each batch's question, rows of ASK with entries of ``kind``.
 
-    ``answer`` gets the questions of one range and returns a reply to each, ``width`` packed bits for each entry. Replies come as a list of (part, reply), one for each outer range.
+    ``answer`` gets the questions of one range and returns a reply to each, ``width`` packed bits for each entry. Replies come as a list of
+    (part, reply), one for each outer range.
     """
     size = np.dtype(kind).itemsize
     least = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -158,7 +158,10 @@ class Packer:
         return [y for b in bins for y in self._close(b[1])]
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, smallest: int = 64, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, smallest: int = 64, id_col: str = "doc_id", text_col: str = "text",
+    with_ids: bool = True,
+) -> DataFrame:
     """One row for each piece: (id, start, length, ids_crc32, doc_tokens, sequence_id, offset), and its ``ids`` if with_ids.
 
     A document is the ids of its text and ``end_id``; a null text is empty and so becomes the one id.

@@ -186,7 +186,9 @@ class _Since:
         return np.array(carried, np.int64)
 
 
-def _induce(text: np.ndarray, top: int, seeds: np.ndarray, given: np.ndarray, wanted: Wanted, runs: np.ndarray, files: Files, cap: int) -> tuple[np.ndarray, np.ndarray]:
+def _induce(
+    text: np.ndarray, top: int, seeds: np.ndarray, given: np.ndarray, wanted: Wanted, runs: np.ndarray, files: Files, cap: int,
+) -> tuple[np.ndarray, np.ndarray]:
     """Positions of seeds and wanted suffixes in suffix order with their common prefixes, from those of the seeds.
 
     A wanted suffix precedes the one that induces it, and its symbol is not below that one's; before seeds of its own symbol it comes first.
@@ -331,7 +333,9 @@ def _names(text: np.ndarray, small: np.ndarray, starts: np.ndarray) -> np.ndarra
     return name
 
 
-def _passes(text: np.ndarray, top: int, small: np.ndarray, runs: np.ndarray, seeds: np.ndarray, given: np.ndarray, files: Files, cap: int) -> tuple[np.ndarray, np.ndarray]:
+def _passes(
+    text: np.ndarray, top: int, small: np.ndarray, runs: np.ndarray, seeds: np.ndarray, given: np.ndarray, files: Files, cap: int,
+) -> tuple[np.ndarray, np.ndarray]:
     """All suffixes but the last in falling order, and the common prefix of each with the one before it, from the sorted starts."""
     both, common = _induce(text, top, seeds, given, lambda p: ~small[p], runs, files, cap)
     big = sum(int((~small[a:b]).sum()) for a, b in files.parts(len(small)))
@@ -410,7 +414,8 @@ def _size(start: int, starts: np.ndarray) -> int:
 def suffix_array(text: np.ndarray, most: int = 1 << 22, folder: str | None = None, cap: int = (1 << 16) - 2) -> tuple[np.ndarray, np.ndarray]:
     """Start positions of the suffixes in their order, and the common prefix of each with the one before it, up to ``cap``.
 
-    ``most`` is the entries that an array holds in memory; larger ones are mapped from files in a folder of this task alone, which is removed at the end.
+    ``most`` is the entries that an array holds in memory; larger ones are mapped from files in a folder of this task alone, which is
+    removed at the end.
     Symbols are whole numbers from 0 on; if they go far beyond the text's length they are ranked first, in memory.
     """
     with tempfile.TemporaryDirectory(dir=folder) as own:

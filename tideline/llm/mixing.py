@@ -60,7 +60,8 @@ def chance(id_: Column, text: Column, seed: int) -> Column:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float, most_rounds: int) -> DataFrame:
     """cells with a weight ``w_<dimension>`` for each dimension. cells: the dimensions as text, and ``tokens``; targets: (v, share) by dimension.
 
-    A round rakes one dimension after the other. After each ROUNDS of them the cells are written, with ``off``: how far the tokens of a cell's values were from
+    A round rakes one dimension after the other. After each ROUNDS of them the cells are written, with ``off``: how far the tokens of a
+    cell's values were from
     their targets before the last round, relative to those. Raking ends once none is further off than ``tolerance``. Targets
     that no weights meet, as where two dimensions say the same and their targets don't, end with a warning after ``most_rounds``.
     """
@@ -129,7 +130,10 @@ def _copies() -> Column:
     return (F.floor("_rate") + F.when(F.col("_chance") < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)).cast("int")
 
 
-def _marked(docs: DataFrame, held: Column, id_col: str, text_col: str, source_col: str, lang_col: str, topic: Column | None, tokens: Column | None, seed: int) -> DataFrame:
+def _marked(
+    docs: DataFrame, held: Column, id_col: str, text_col: str, source_col: str, lang_col: str, topic: Column | None, tokens: Column | None,
+    seed: int,
+) -> DataFrame:
     """A written row for each row of docs: (_held, _d_source, _d_lang, _d_topic, _tokens, _chance)."""
     text = F.col(text_col)
     marks = {"_d_source": F.col(source_col).cast("string"), "_d_lang": F.col(lang_col).cast("string"), "_tokens": pieces_in(text) if tokens is None else F.coalesce(tokens, F.lit(0)).cast("bigint"), "_chance": chance(F.col(id_col), text, seed)}
@@ -145,20 +149,29 @@ def _rated(rows: DataFrame, budget: float, tolerance: float, most_rounds: int, t
     return _with_rates(rows, rates(cells, budget, tolerance, most_rounds, targets))
 
 
-def sample_table(docs: DataFrame, budget: float = 1.0, tolerance: float = 1e-6, most_rounds: int = 60, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, tokens: Column | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+def sample_table(
+    docs: DataFrame, budget: float = 1.0, tolerance: float = 1e-6, most_rounds: int = 60, seed: int = 17, id_col: str = "doc_id",
+    text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, tokens: Column | None = None,
+    targets: dict[str, DataFrame] | None = None,
+) -> DataFrame:
     """One row for each row of docs: (id, source, lang, topic, tokens, rate, copies).
 
     ``copies`` is the rate's whole part, and one more with the chance of the rest; the chance is fixed by
     the id, so a task that runs again decides alike, and repeated rows of one id are taken or left together. At a ``budget`` of 1 the sample has
     about the tokens of docs. ``topic`` and ``tokens`` are columns of docs; without them genre() and pieces_in() stand in.
     Null sources, languages and topics are values like others; a null text has no tokens and still has its cell's
-    rate, which is ``budget`` where the whole cell has none; null tokens are 0; rows with a null id are decided by their text; an empty table gives no rows; other columns are not read.
+    rate, which is ``budget`` where the whole cell has none; null tokens are 0; rows with a null id are decided by their text; an empty
+    table gives no rows; other columns are not read.
     """
     both = _rated(_marked(docs, F.col(id_col), id_col, text_col, source_col, lang_col, topic, tokens, seed), budget, tolerance, most_rounds, targets)
     return both.select(F.col("_held").alias(id_col), *[F.col(f"_d_{d}").alias(d) for d in DIMENSIONS], F.col("_tokens").alias("tokens"), F.col("_rate").alias("rate"), _copies().alias("copies"))
 
 
-def sample(docs: DataFrame, budget: float = 1.0, tolerance: float = 1e-6, most_rounds: int = 60, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, tokens: Column | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+def sample(
+    docs: DataFrame, budget: float = 1.0, tolerance: float = 1e-6, most_rounds: int = 60, seed: int = 17, id_col: str = "doc_id",
+    text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, tokens: Column | None = None,
+    targets: dict[str, DataFrame] | None = None,
+) -> DataFrame:
     """The rows of docs with all of their columns, whatever those are called, each as often as sample_table() says.
 
     Nulls, repeated rows and empty tables are as there; a row of 0 copies goes.

@@ -116,7 +116,8 @@ def similarities(data: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray
 
 
 def _sketch(docs: DataFrame, id_col: str, text_at: int | None, size: int, bands: int, rows: int, carried: Column) -> DataFrame:
-    """(row, id, print, total, bands, marks, carried): ``row`` numbers the rows, ``print`` is the digest of the words, ``total`` the shingles, ``marks`` a byte of each component.
+    """(row, id, print, total, bands, marks, carried): ``row`` numbers the rows, ``print`` is the digest of the words, ``total`` the
+    shingles, ``marks`` a byte of each component.
 
     ``carried`` is the text, or a struct whose field ``text_at`` is the text.
     """
@@ -160,7 +161,8 @@ def least_agreement(m: int, similar: float, miss: float = 1e-6) -> int:
 def _likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """rows without most of those whose key is not among ``wanted``; an exact join must follow.
 
-    A filter of bits with at most WORDS rows is broadcast, whatever the size of ``wanted``. The more there is, the fewer rows it holds back; it never holds back a wanted one.
+    A filter of bits with at most WORDS rows is broadcast, whatever the size of ``wanted``. The more there is, the fewer rows it holds back;
+    it never holds back a wanted one.
     """
     hashed = F.xxhash64(key)
     word, bit = F.pmod(hashed, F.lit(WORDS)).cast("int"), F.pmod(F.shiftrightunsigned(hashed, 32), F.lit(64)).cast("int")
@@ -213,7 +215,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Da
         return materialize(both.mapInArrow(run, "a bigint, b bigint"), "verified")
 
 
-def links_within(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, block: np.ndarray, part: np.ndarray, size: int, least: float) -> list[tuple[int, int]]:
+def links_within(
+    data: np.ndarray, offsets: np.ndarray, group: np.ndarray, block: np.ndarray, part: np.ndarray, size: int, least: float,
+) -> list[tuple[int, int]]:
     """Links (i, j) between parts, for texts sorted by group: enough of them to connect all parts that any link connects.
 
     Texts of one group are compared with each other, or, if they are of two blocks, with those of the other block. Overlaps
@@ -331,9 +335,11 @@ def classes(docs: DataFrame, similar: float = 0.8, size: int = 5, bands: int = 3
     """One row for each row of docs: (id, class_id, copies).
 
     ``class_id`` is the least id of the connected class of documents whose shingle multisets have a
-    weighted Jaccard similarity of at least ``similar``; ``copies`` counts the rows of the same words, by a digest of 128 bits. Rows of the same words are
+    weighted Jaccard similarity of at least ``similar``; ``copies`` counts the rows of the same words, by a digest of 128 bits. Rows of the
+    same words are
     one node from the start, so copies never meet each other. A pair of the least similarity shares no band
-    with the chance (1 - similar ** rows) ** bands, 7e-6 as set here, and its signatures agree too little with a chance of 1e-6; every other pair that shares a band is
+    with the chance (1 - similar ** rows) ** bands, 7e-6 as set here, and its signatures agree too little with a chance of 1e-6; every other
+    pair that shares a band is
     decided by its multisets, unless its documents are in one class already. First each document is compared with
     one leader of each of its cells; then the cells that still hold more than one class are compared in blocks.
 
@@ -344,7 +350,10 @@ def classes(docs: DataFrame, similar: float = 0.8, size: int = 5, bands: int = 3
     return sketch.select("id", "print").join(found, "print").select(F.col("id").alias(id_col), F.col("least.id").alias("class_id"), "copies")
 
 
-def _classes(docs: DataFrame, similar: float, size: int, bands: int, rows: int, id_col: str, carried: Column, text_col: str | None = None, text_at: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _classes(
+    docs: DataFrame, similar: float, size: int, bands: int, rows: int, id_col: str, carried: Column, text_col: str | None = None,
+    text_at: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """The sketch of docs, and (print, least, copies): ``least`` is the first row (no id last; id; row) of the class."""
     with arrow.batches_of(docs.sparkSession, 1000):
         sketch = materialize(_sketch(docs, id_col, text_at, size, bands, rows, carried), "sketch")
@@ -379,7 +388,8 @@ def _classes(docs: DataFrame, similar: float, size: int, bands: int, rows: int,
 def keep_one(docs: DataFrame, similar: float = 0.8, size: int = 5, bands: int = 30, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class of classes(), with all of its columns whatever those are called.
 
-    The row of the least id stays, and among equal ids the first in the table; rows without an id come after all others. Rows without words, null texts among them, are one class, too;
+    The row of the least id stays, and among equal ids the first in the table; rows without an id come after all others. Rows without words,
+    null texts among them, are one class, too;
     repeated rows are copies; an empty table gives an empty one.
     """
     sketch, found = _classes(docs, similar, size, bands, rows, id_col, F.struct(*docs.columns), text_col, docs.columns.index(text_col))

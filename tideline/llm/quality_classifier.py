@@ -147,7 +147,8 @@ def calibrated(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[f
 def learned(x: np.ndarray, y: np.ndarray, priors: tuple[float, float]) -> Discriminant:
     """The discriminant of the shrinkage with the least loss on rows that it was not fitted to, calibrated on those.
 
-    Classes weigh as in ``priors``, however many rows of each the sample has. A class of too few rows for folds has the middle of each range and no calibration.
+    Classes weigh as in ``priors``, however many rows of each the sample has. A class of too few rows for folds has the middle of each range
+    and no calibration.
     """
     if min(np.bincount(y, minlength=2)) < 2 * FOLDS:
         return Discriminant(x, y, POOLED[len(POOLED) // 2], RIDGE[len(RIDGE) // 2], priors)
@@ -196,13 +197,17 @@ def fit(measured: DataFrame, labels: DataFrame, id_col: str, label_col: str, mos
     return learned(np.array([r[0] for r in sample]).reshape(len(sample), -1), np.array([r[1] for r in sample], np.int64), (counts[0] / total, counts[1] / total))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, most: int = 10_000) -> DataFrame:
+def classify(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7,
+    most: int = 10_000,
+) -> DataFrame:
     """One row for each row of docs: (id, held_out, score, predicted).
 
     The score is the calibrated probability of label 1 from the two classes' log densities and priors. A null text
     counts as empty; null ids are scored and never learned from; repeated rows are scored each; other
     columns of either table are not read; an empty docs table gives no rows. Raises ValueError if a class
-    has fewer than two labelled rows and there are documents to score. Texts are read once: the statistics are written and then joined, learned from and scored.
+    has fewer than two labelled rows and there are documents to score. Texts are read once: the statistics are written and then joined,
+    learned from and scored.
     """
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())])
     measured = materialize(measure(docs, id_col, text_col), "statistics")

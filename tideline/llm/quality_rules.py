@@ -106,12 +106,16 @@ def verdict(wide: DataFrame, m: str, lang_col: str, source_col: str, spread: flo
     return both.select(*cols, "_own", "_all").select(*[F.col(c) if c != m else F.col(m).withField("kept", F.coalesce(good, F.lit(False))).alias(m) for c in cols])
 
 
-def keep_good(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", spread: float = 5.0, accuracy: int = 10_000, enough: int = 50) -> DataFrame:
+def keep_good(
+    docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", spread: float = 5.0,
+    accuracy: int = 10_000, enough: int = 50,
+) -> DataFrame:
     """The rows of docs that the rules keep, with all of their columns, whatever those are called.
 
     A row goes if the base rules fail (under 50 words, or more than half of the words in repeated
     windows), or if one of RATIOS lies beyond its group's limit, which limits() takes from the texts of the
-    same language and source that pass the base rules, and for small groups also from the whole corpus. Null languages and sources are groups like others, a null text has no words and goes,
+    same language and source that pass the base rules, and for small groups also from the whole corpus. Null languages and sources are
+    groups like others, a null text has no words and goes,
     repeated rows count each, and an empty table gives an empty one. Texts and measures are written
     once, so that thresholds and decisions come from the same values.
     """
@@ -120,7 +124,10 @@ def keep_good(docs: DataFrame, lang_col: str = "lang", source_col: str = "source
     return verdict(wide, "m", "lang", "source", spread, accuracy, enough).filter("m.kept").select("row.*")
 
 
-def verdicts(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", text_col: str = "text", spread: float = 5.0, accuracy: int = 10_000, enough: int = 50) -> DataFrame:
+def verdicts(
+    docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", text_col: str = "text",
+    spread: float = 5.0, accuracy: int = 10_000, enough: int = 50,
+) -> DataFrame:
     """One row for each row of docs: id, the measures, base_failed and kept, by the rules of keep_good(); only measures are written."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
     wide = materialize(measure(slim, "m", keep=["id", "lang", "source"]), "quality")

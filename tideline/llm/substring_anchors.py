@@ -117,7 +117,8 @@ def _lesser(questions: list[bytes]) -> list[bytes]:
 
 
 def dedup(docs: DataFrame, size: int = 13, block: int | None = None, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """One row for each row of docs: (id, n_words, n_removed, kept_sha256), and ``kept`` and ``spans`` (first and end word of each removed run) if with_text.
+    """One row for each row of docs: (id, n_words, n_removed, kept_sha256), and ``kept`` and ``spans`` (first and end word of each removed
+    run) if with_text.
 
     A word goes if it lies in a run of ``size`` words that also starts in a document of smaller id.
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; runs lie in one document and are judged on the input. Ids

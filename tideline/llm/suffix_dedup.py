@@ -223,7 +223,9 @@ def _repeating(questions: list[bytes]) -> list[bytes]:
 
 
 def _shared(questions: list[bytes], most: int, kind: np.dtype = _CORE) -> list[bytes]:
-    """For each entry: whether it stands twice as it is; whether its core has other entries, and this question is the one to send it; whether it has more than ``most``; whether its passage's core stands twice."""
+    """For each entry: whether it stands twice as it is; whether its core has other entries, and this question is the one to send it; whether
+    it has more than ``most``; whether its passage's core stands twice.
+    """
     rows = np.frombuffer(b"".join(questions), kind)
     multi, c = rows["c"] & U64(1) > 0, rows["c"] & ~U64(1)
     d = rows["d"] if "d" in kind.names else np.ones(len(rows), U64)  # 0: no whole string starts in the range
@@ -344,13 +346,18 @@ class Shard:
         return out
 
 
-def dedup(docs: DataFrame, need: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, passage: int | None = None, sorted_at_once: int = 1 << 20, hot: int = 1 << 13) -> DataFrame:
+def dedup(
+    docs: DataFrame, need: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, passage: int | None = None,
+    sorted_at_once: int = 1 << 20, hot: int = 1 << 13,
+) -> DataFrame:
     """One row for each row of docs: (id, n_bytes, n_removed, n_spans, kept_sha256), with ``passage`` n_passage, and if with_text ``kept``
     (binary), ``kept_text`` (the same without the halves of characters that a cut may leave) and ``spans`` (first and end byte).
 
     A byte of a text's UTF-8 goes if it lies in a string of ``need`` bytes that starts anywhere else as well, in the same text
-    or another; every copy goes. ``n_passage`` tells shorter repeats, which stay: the bytes of passages' cores that stand in more than one place. Each string of ``passage``
-    bytes that starts anywhere else has a core of at least passage - width(need) + 1 bytes, so none of that length is missed and none shorter than its core counts. Strings lie in one text and are judged on the input. Ids are whole numbers or
+    or another; every copy goes. ``n_passage`` tells shorter repeats, which stay: the bytes of passages' cores that stand in more than one
+    place. Each string of ``passage``
+    bytes that starts anywhere else has a core of at least passage - width(need) + 1 bytes, so none of that length is missed and none
+    shorter than its core counts. Strings lie in one text and are judged on the input. Ids are whole numbers or
     null and play no part, so repeated rows remove each other; a null text is empty; an empty table gives no rows;
     other columns are not read. Texts are read whole. A core of more than ``hot`` start ranges is sorted start by start. Cores, start ranges
     that stand twice as they are, and starts of hot cores that stand twice in a batch are compared by 128 bits of hash, the rest by its bytes.
@@ -435,7 +442,8 @@ def dedup(docs: DataFrame, need: int = 400, id_col: str = "doc_id", text_col: st
 def without_repeats(docs: DataFrame, need: int = 400, text_col: str = "text") -> DataFrame:
     """docs with the kept part of each text by the rules of dedup(), without the halves of characters that a cut may leave.
 
-    A null text stays null and an empty one empty, repeated rows lose all that they share, an empty table gives an empty one, and other columns stay as they are whatever those are called.
+    A null text stays null and an empty one empty, repeated rows lose all that they share, an empty table gives an empty one, and other
+    columns stay as they are whatever those are called.
     """
     key, there = "_row", "_there"
     while {key, there} & {*docs.columns}:

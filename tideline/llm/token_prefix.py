@@ -183,7 +183,10 @@ def counter(model: str) -> PrefixCounter:
     return _counters[model]
 
 
-def count_tokens(docs: DataFrame, model: str, limit: int, id_col: str = "doc_id", text_col: str = "text", tables: bool = False, budgets: tuple[int, ...] = ()) -> DataFrame:
+def count_tokens(
+    docs: DataFrame, model: str, limit: int, id_col: str = "doc_id", text_col: str = "text", tables: bool = False,
+    budgets: tuple[int, ...] = (),
+) -> DataFrame:
     """One row for each row of docs: (id, n_bytes, n_tokens, over_limit), with ``prefix_tokens``
     (tokens of every prefix, by character) if tables, and ``fits`` (for each of ``budgets``
     the characters of the longest prefix within it).

@@ -73,7 +73,9 @@ SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
 def address(url: Column) -> Column:
-    """What an address's usual redirects end at: no scheme, host label of VIEWS, fragment, parameters of TRACKING, ``.html``, index page or closing slash. Null without ``://``."""
+    """What an address's usual redirects end at: no scheme, host label of VIEWS, fragment, parameters of TRACKING, ``.html``, index page or
+    closing slash. Null without ``://``.
+    """
     host, path = split_url(url)
     query = F.regexp_extract(url, "^[^?#]*\\?([^#]*)", 1)
     told = lambda x: reduce(or_, [x.startswith(t) for t in TRACKING], x == "")
@@ -115,7 +117,10 @@ def declared(url: Column, html: Column) -> Column:
     return F.filter(F.transform(to, lambda x: resolved(base, F.regexp_replace(x, AMPERSAND, "&"))), lambda x: x.isNotNull())
 
 
-def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
+def judge(
+    pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url",
+    html_col: str | None = "html",
+) -> DataFrame:
     """One row for each row of pages: (id, host, path, rule, verdict, alias_of).
 
     A page that a rule fits has the rule's verdict. Others take part in their class of aliases: pages of one

@@ -57,8 +57,12 @@ def best_of(scores: np.ndarray, k: int) -> np.ndarray:
     return -np.partition(-scores, k - 1, 1)[:, :k] if scores.shape[1] > k else scores
 
 
-def read_best(approximation: Approximation, ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, own: int, floor: float, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(ids, scores, exact vectors read) of a query's k best rows of the shard but its own, ties to the smaller id; rows below the floor may be missing."""
+def read_best(
+    approximation: Approximation, ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, own: int, floor: float, k: int,
+) -> tuple[np.ndarray, np.ndarray, int]:
+    """(ids, scores, exact vectors read) of a query's k best rows of the shard but its own, ties to the smaller id; rows below the floor may be
+    missing.
+    """
     upper = approximation.bounds(query[None, :])[1][0]
     order = np.flatnonzero((ids != own) & (upper >= floor))
     order = order[np.argsort(-upper[order], kind="stable")]
@@ -82,7 +86,9 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> Dat
 
 
 def _packed(rows: DataFrame, most: int) -> DataFrame:
-    """Rows in blocks of at most ``most`` and of one length: (block, width, ids, vectors, low, step, cells), as bytes of 64-bit numbers, and cells of 8 bits."""
+    """Rows in blocks of at most ``most`` and of one length: (block, width, ids, vectors, low, step, cells), as bytes of 64-bit numbers, and
+    cells of 8 bits.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -168,7 +174,9 @@ def _open(scanned: DataFrame, floors: DataFrame) -> DataFrame:
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, scale: int, shard_rows: int, query_rows: int, id_col: str, vector_col: str) -> DataFrame:
-    """(q_block, place, block, query_id, vec_id, score, read): the best rows of each shard that is open for a query, and how many exact vectors it read there."""
+    """(q_block, place, block, query_id, vec_id, score, read): the best rows of each shard that is open for a query, and how many exact vectors
+    it read there.
+    """
     shards = materialize(_packed(_usable(vectors, id_col, vector_col, scale), shard_rows), "shards")
     asked = materialize(_packed(_usable(queries, id_col, vector_col, scale), query_rows).select("block", "width", "ids", "vectors"), "asked")
     q = asked.select("width", F.pmod("block", F.lit(SALTS)).alias("salt"), F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
@@ -195,7 +203,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, scale: int, shard_row
     return met.mapInPandas(run, "q_block bigint, place bigint, block bigint, query_id bigint, vec_id bigint, score bigint, read bigint")
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 256, shard_rows: int = 4096, query_rows: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(
+    vectors: DataFrame, queries: DataFrame, k: int, scale: int = 256, shard_rows: int = 4096, query_rows: int = 256, id_col: str = "vec_id",
+    vector_col: str = "embedding",
+) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row its k best rows of vectors other than its own, or all if fewer.
 
     The score is the inner product of floor(scale * x), and ties go to the smaller id. Vectors that are
