@@ -296,3 +296,6 @@ def test_partitions_follow_the_size(spark):
     assert storage.spread(rows) == least
     assert least < storage.spread(rows, each=10_000) < 1000
     assert storage.spread(rows, each=10, most=500) == 500
+    joined = rows.alias("a").join(rows.alias("b"), F.lit(True)).join(rows.alias("c"), F.lit(True)).select("a.l_orderkey")
+    assert storage.spread(joined) == least
+    assert storage.spread(spark.createDataFrame([(1,)], "k int").union(rows.select("l_linenumber"))) == least

@@ -78,7 +78,9 @@ def _active(df: DataFrame, keys: KeySpec, low, high, include_high: bool, rule: R
 
 
 def edit_range(df: DataFrame, keys: KeySpec, low, high, include_high: bool, rule: Rule) -> DataFrame:
-    """Rows of the range edited by ``rule``. Without a counter this is a pass with no shuffle; a stop adds a top 1 before it, and a counter a sort of the range alone."""
+    """Rows of the range edited by ``rule``. Without a counter this is a pass with no shuffle; a stop adds a top 1 before it, and a counter a
+    sort of the range alone.
+    """
     on = F.lit(True) if rule.when is None else F.coalesce(rule.when, F.lit(False))
     gone = F.lit(False) if rule.delete is None else F.coalesce(rule.delete, F.lit(False))
     if set(rule.set) & set(keys.names):

@@ -15,7 +15,10 @@ def _check(keys: KeySpec) -> None:
         raise ValueError("ordered folds take ascending keys; negate or invert the column first")
 
 
-def ordered(df: DataFrame, keys: KeySpec, initial: Column, merge: Callable[[Column, Column], Column], finish: Callable[[Column], Column] | None, by: list[str]) -> DataFrame:
+def ordered(
+    df: DataFrame, keys: KeySpec, initial: Column, merge: Callable[[Column, Column], Column], finish: Callable[[Column], Column] | None,
+    by: list[str],
+) -> DataFrame:
     """``merge(acc, row)`` over the rows of each ``by`` group in key order; an empty table gives ``initial``.
 
     A fold that depends on order holds its group in one row, so give ``by`` at scale; commutative

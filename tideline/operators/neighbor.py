@@ -30,7 +30,10 @@ class Sweep:
     probe is an open end, as in nearest(): the highest row downwards, the lowest upwards.
     """
 
-    def __init__(self, table: DataFrame, probes: DataFrame, keys: KeySpec, on: str, probe_on: str, by: list[str], values: list[str], direction: str, strict: bool):
+    def __init__(
+        self, table: DataFrame, probes: DataFrame, keys: KeySpec, on: str, probe_on: str, by: list[str], values: list[str], direction: str,
+        strict: bool,
+    ):
         self.on, self.values, self.before = on, values, direction == "lower"
         key = next((k for k in keys.keys if k.name == on), Key(on))
         if not keys.allow_null:
@@ -81,7 +84,10 @@ class Sweep:
         return out.select("_probe.*", *cols)
 
 
-def asof_by(table: DataFrame, probes: DataFrame, keys: KeySpec, on: str, probe_on: str, by: list[str], values: list[str], direction: str, strict: bool) -> DataFrame:
+def asof_by(
+    table: DataFrame, probes: DataFrame, keys: KeySpec, on: str, probe_on: str, by: list[str], values: list[str], direction: str,
+    strict: bool,
+) -> DataFrame:
     """For each probe the table row of the same ``by`` that is nearest in the direction, else NULLs.
 
     Both sides are united and swept once by a window, so the plan is one shuffle on ``by``
@@ -91,8 +97,12 @@ def asof_by(table: DataFrame, probes: DataFrame, keys: KeySpec, on: str, probe_o
     return sweep.result(sweep.rows, sweep.hit(*sweep.by))
 
 
-def asof_global(table: DataFrame, probes: DataFrame, keys: KeySpec, on: str, probe_on: str, by: list[str], values: list[str], direction: str, strict: bool, partitions: int | None = None) -> DataFrame:
-    """The same in one global order, for tables without ``by`` or with a hot value of it: range partitions are swept on their own, then each takes over
+def asof_global(
+    table: DataFrame, probes: DataFrame, keys: KeySpec, on: str, probe_on: str, by: list[str], values: list[str], direction: str,
+    strict: bool, partitions: int | None = None,
+) -> DataFrame:
+    """The same in one global order, for tables without ``by`` or with a hot value of it: range partitions are swept on their own, then each
+    takes over
     the boundary match of the partitions before (after) it, if that is of its ``by``. One row for each partition is broadcast.
     """
     spark = table.sparkSession

@@ -159,10 +159,14 @@ class SortedTable:
     def get_pair_or_next_higher(self, key) -> DataFrame:
         return neighbor.nearest(self.df, self.keys, key, "higher", strict=False)
 
-    def asof(self, probes: DataFrame, on: str, probe_on: str, by: list[str], values: list[str], direction: str, strict: bool, skewed: bool = False) -> DataFrame:
+    def asof(
+        self, probes: DataFrame, on: str, probe_on: str, by: list[str], values: list[str], direction: str, strict: bool,
+        skewed: bool = False,
+    ) -> DataFrame:
         """Batch neighbour lookup in this table's key order; ``by`` empty means one global order.
 
-        ``skewed`` is for a ``by`` of which one value holds much of the rows: those are then swept by many tasks. NULLs and clashing names: see neighbor.Sweep.
+        ``skewed`` is for a ``by`` of which one value holds much of the rows: those are then swept by many tasks. NULLs and clashing names:
+        see neighbor.Sweep.
         """
         sweep = neighbor.asof_by if by and not skewed else neighbor.asof_global
         return sweep(self.df, probes, self.keys, on, probe_on, by, values, direction, strict)
