@@ -5,6 +5,7 @@ from math import comb
 import brute
 import numpy as np
 import pytest
+from tideline import storage
 from tideline.llm import exchange, induced_sort, near_dedup, substring_anchors, suffix_dedup
 from tideline.llm.components import components
 from tideline.llm.induced_sort import suffix_array
@@ -334,3 +335,11 @@ def test_settling_links_pairs_at_exactly_the_least_similarity(spark):
 
 def total(c):
     return sum(c.values())
+
+
+def test_released_batches_leave_the_catalog(spark, mixed):
+    with storage.released(spark):
+        assert word_dedup(mixed[1]).count() == len(mixed[0])
+        held = [t.name for t in spark.catalog.listTables() if t.name.startswith("tideline_batches_")]
+    left = [t.name for t in spark.catalog.listTables() if t.name.startswith("tideline_batches_")]
+    assert len(held) == len(left) + 1

@@ -12,9 +12,9 @@ sends it on to the ranges inside, merged, and deals the answers out again.
 
 from __future__ import annotations
 
-import atexit
 import uuid
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import scratch_path, spread
+from ..storage import on_remove, scratch_path, spread
 from . import arrow
 
 U64 = np.uint64
@@ -82,14 +82,15 @@ def write_batches(docs: DataFrame, id_col: str, text_col: str, most: int = BATCH
     spark = docs.sparkSession
     buckets, name = spread(rows), f"tideline_batches_{uuid.uuid4().hex}"
     dealt = rows.mapInArrow(run, _BATCH + (", notes binary" if notes else "")).repartition(buckets, "batch")
+    path = scratch_path(spark, "batches")
+    on_remove(path, partial(_forget, spark, name))
     with arrow.batches_of(spark, 1000):
-        dealt.write.bucketBy(buckets, "batch").sortBy("batch").option("path", scratch_path(spark, "batches")).saveAsTable(name)
-    atexit.register(_forget, spark, name)
+        dealt.write.bucketBy(buckets, "batch").sortBy("batch").option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
 def _forget(spark: SparkSession, name: str) -> None:
-    """Take the table out of the catalog when the driver's Python ends; its files go with the other scratch tables."""
+    """Take the table out of the catalog when its files go."""
     try:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     except Exception:  # noqa: BLE001  the session has stopped, and an in-memory catalog with it
