@@ -299,3 +299,14 @@ def test_partitions_follow_the_size(spark):
     joined = rows.alias("a").join(rows.alias("b"), F.lit(True)).join(rows.alias("c"), F.lit(True)).select("a.l_orderkey")
     assert storage.spread(joined) == least
     assert storage.spread(spark.createDataFrame([(1,)], "k int").union(rows.select("l_linenumber"))) == least
+
+
+def test_released_scratch_is_gone(spark):
+    gone = []
+    with storage.released(spark):
+        path = storage.scratch_path(spark, "brief")
+        storage.on_remove(path, lambda: gone.append(1))
+        assert materialize(spark.range(5), "brief", into=path).count() == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    assert gone == [1]

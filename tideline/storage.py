@@ -12,12 +12,13 @@ import contextlib
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _recording: list[list[str]] = []
+_then: dict[str, Callable[[], None]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,8 +57,25 @@ def recorded() -> Iterator[list[str]]:
         _recording[:] = [x for x in _recording if x is not made]
 
 
+def on_remove(path: str, then: Callable[[], None]) -> None:
+    """What else is to go when a scratch path is removed."""
+    _then[path] = then
+
+
+@contextlib.contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Removes the scratch paths made inside at the end, for callers that have written their result by then."""
+    with recorded() as made:
+        try:
+            yield
+        finally:
+            for path in made:
+                remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch path through Hadoop's file system API; a stopped session leaves nothing to do."""
+    _then.pop(path, lambda: None)()
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
