@@ -84,16 +84,17 @@ def remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def spread(df: DataFrame, each: int = 64 << 20, most: int = 1 << 16) -> int:
-    """Partitions for a shuffle of df: spark.sql.shuffle.partitions, or more where the tables that it reads have more parts of ``each`` bytes.
-
-    The tables' own sizes are added up, since the estimate of a join is the product of its sides. Tables of unknown size do not count.
-    """
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def bytes_read(df: DataFrame) -> int:
+    """The sizes of the tables that df reads, added up; the estimate of a join would be the product of its sides. Tables of unknown size do not count."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    size = sum(x for x in sizes if x < 1 << 60)
-    return max(least, min(most, -(-size // each)))
+    return sum(x for x in sizes if x < 1 << 60)
+
+
+def spread(df: DataFrame, each: int = 64 << 20, most: int = 1 << 16) -> int:
+    """Partitions for a shuffle of df: spark.sql.shuffle.partitions, or more where the tables that it reads have more parts of ``each`` bytes."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(most, -(-bytes_read(df) // each)))
 
 
 def materialize(df: DataFrame, name: str, by: tuple[str, ...] = (), into: str | None = None) -> DataFrame:
