@@ -277,6 +277,7 @@ def test_components(spark):
     real = [(a, b) for a, b in edges if a is not None and a != b]
     want = brute.roots(real, {x for e in real for x in e})
     assert {r.node: r.component for r in components(spark.createDataFrame(edges, "a int, b int")).collect()} == want
+    assert {r.node: r.component for r in components(spark.createDataFrame(edges, "a int, b int"), many=0).collect()} == want
     assert components(spark.createDataFrame([], "a int, b int")).count() == 0
 
 

@@ -12,7 +12,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import bytes_read, materialize
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Target shares are the token shares to this power, made to add up to one: below 1 lifts what is rare.
@@ -66,7 +66,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float, most
     that no weights meet, as where two dimensions say the same and their targets don't, end with a warning after ``most_rounds``.
     """
     # a few cells are one partition, where windows need no shuffle; of more, sums are added up in parts and joined to the cells
-    small = int(str(cells._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL
+    small = bytes_read(cells) < SMALL
     held = lambda df: df.coalesce(1) if small else df
 
     def with_mass(now: DataFrame, d: str) -> DataFrame:

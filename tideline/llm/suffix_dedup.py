@@ -348,7 +348,7 @@ class Shard:
 
 def dedup(
     docs: DataFrame, need: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, passage: int | None = None,
-    sorted_at_once: int = 1 << 20, hot: int = 1 << 13,
+    sorted_at_once: int = 1 << 19, hot: int = 1 << 13,
 ) -> DataFrame:
     """One row for each row of docs: (id, n_bytes, n_removed, n_spans, kept_sha256), with ``passage`` n_passage, and if with_text ``kept``
     (binary), ``kept_text`` (the same without the halves of characters that a cut may leave) and ``spans`` (first and end byte).
@@ -427,7 +427,9 @@ def dedup(
             yield pa.RecordBatch.from_arrays(cols, list(fields))
 
     def replied(to: DataFrame, replies: DataFrame, name: str) -> DataFrame:
-        return to.join(materialize(replies.withColumnRenamed("replies", name), name), "batch", "left")
+        with arrow.batches_of(docs.sparkSession, 16):  # of a megabyte each
+            held = materialize(replies, name)
+        return to.join(held.withColumnRenamed("replies", name), "batch", "left")
 
     fields = {id_col: "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"}
     fields |= {"n_passage": "bigint"} if passage else {}
@@ -435,8 +437,8 @@ def dedup(
     known = replied(batches, ask(batches.select("batch", "notes").mapInArrow(first, ASK), _repeating, given, "<u4"), "anchors")
     known = replied(known, ask(known.mapInArrow(second, ASK), partial(_shared, most=hot, kind=kind), given, kind, 4), "cores")
     sent = known.mapInArrow(third, _SENT).repartition(max(given.n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "part").sortWithinPartitions("part")
-    settled = sent.mapInArrow(settle, "part int, batch bigint, reply binary").groupBy("batch").agg(F.collect_list(F.struct("part", "reply")).alias("repeats"))
-    return known.join(materialize(settled, "repeats"), "batch", "left").mapInArrow(finish, ", ".join(f"`{name}` {kind_}" for name, kind_ in fields.items()))
+    settled = sent.mapInArrow(settle, "part int, batch bigint, reply binary").groupBy("batch").agg(F.collect_list(F.struct("part", "reply")).alias("replies"))
+    return replied(known, settled, "repeats").mapInArrow(finish, ", ".join(f"`{name}` {kind_}" for name, kind_ in fields.items()))
 
 
 def without_repeats(docs: DataFrame, need: int = 400, text_col: str = "text") -> DataFrame:
