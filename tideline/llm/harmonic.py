@@ -206,5 +206,6 @@ def pack(
         placed = packer.finish()
         if placed:
             yield rows(placed)
+        words.ids.clear()  # a worker that stays for other tasks would keep a hundred megabytes
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, T.StructType(fields))
