@@ -81,7 +81,7 @@ def write_batches(docs: DataFrame, id_col: str, text_col: str, most: int = BATCH
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     spark = docs.sparkSession
     buckets, name = spread(rows), f"tideline_batches_{uuid.uuid4().hex}"
-    dealt = rows.mapInArrow(run, _BATCH + (", notes binary" if notes else "")).repartition(buckets, "batch")
+    dealt = rows.mapInArrow(arrow.trimmed(run), _BATCH + (", notes binary" if notes else "")).repartition(buckets, "batch")
     path = scratch_path(spark, "batches")
     on_remove(path, partial(_forget, spark, name))
     with arrow.batches_of(spark, 1000):

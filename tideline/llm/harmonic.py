@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import arrow
+
 
 def _byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: itself if it prints, else the next from 256 on."""
@@ -208,4 +210,4 @@ def pack(
             yield rows(placed)
         words.ids.clear()  # a worker that stays for other tasks would keep a hundred megabytes
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, T.StructType(fields))
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(arrow.trimmed(run), T.StructType(fields))

@@ -144,7 +144,7 @@ def _sketch(docs: DataFrame, id_col: str, text_at: int | None, size: int, bands:
 
     rows_in = docs.select(F.col(id_col).alias("id"), carried.alias("carried"))
     fields = [T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("print", T.BinaryType()), T.StructField("total", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("marks", T.BinaryType()), rows_in.schema["carried"]]
-    return rows_in.mapInArrow(run, T.StructType(fields))
+    return rows_in.mapInArrow(arrow.trimmed(run), T.StructType(fields))
 
 
 def least_agreement(m: int, similar: float, miss: float = 1e-6) -> int:
@@ -182,7 +182,7 @@ def _promising(pairs: DataFrame, marks: DataFrame, least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
 
     side = lambda k, t: marks.select(F.col("node").alias(k), F.col("marks").alias(t))
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(arrow.trimmed(run), "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
@@ -212,7 +212,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Da
     both = salted.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(leaders, ["b", "salt"])
     both = both.select("a", "b", "x", "y", F.array(F.octet_length("x"), F.octet_length("y")).alias("sizes"))
     with arrow.batches_of(pairs.sparkSession, 1000):
-        return materialize(both.mapInArrow(run, "a bigint, b bigint"), "verified")
+        return materialize(both.mapInArrow(arrow.trimmed(run), "a bigint, b bigint"), "verified")
 
 
 def links_within(
@@ -328,7 +328,7 @@ def _settle(cells: DataFrame, member: DataFrame, texts: DataFrame, size: int, le
             yield links(held, groups(held))
 
     with arrow.batches_of(cells.sparkSession, 1000):
-        return materialize(dealt.mapInArrow(run, "a bigint, b bigint"), "settled")
+        return materialize(dealt.mapInArrow(arrow.trimmed(run), "a bigint, b bigint"), "settled")
 
 
 def classes(docs: DataFrame, similar: float = 0.8, size: int = 5, bands: int = 30, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -83,7 +83,7 @@ def measure(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 where = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(where, pa.array(x.ravel()))], [id_col, "features"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(arrow.trimmed(run), schema)
 
 
 #: How far covariances may be shrunk: towards the common one, and towards a sphere.
@@ -221,5 +221,5 @@ def classify(
                 x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(model.score(x))], [id_col, "held_out", "score"])
 
-    scored = measured.select(id_col, held_out(id_col).alias("held_out"), "features").mapInArrow(run, schema)
+    scored = measured.select(id_col, held_out(id_col).alias("held_out"), "features").mapInArrow(arrow.trimmed(run), schema)
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))

@@ -166,10 +166,10 @@ def dedup(docs: DataFrame, size: int = 13, block: int | None = None, id_col: str
                 cols += [pa.array(texts, pa.string()), pa.array([s.tolist() for s in spans], pa.list_(pa.list_(pa.int64())))]
             yield pa.RecordBatch.from_arrays(cols, [id_col, "n_words", "n_removed", "kept_sha256", "kept", "spans"][: len(cols)])
 
-    hits = ask(batches.mapInArrow(probe, ASK), _index, given, "<u4")
+    hits = ask(batches.mapInArrow(arrow.trimmed(probe), ASK), _index, given, "<u4")
     with arrow.batches_of(docs.sparkSession, 16):  # of a megabyte each
         hits = materialize(hits, "replies")  # written, being needed twice
     hit = batches.join(hits, "batch", "left")
-    lesser = ask(hit.mapInArrow(claim, ASK), _lesser, given, _CLAIM).withColumnRenamed("replies", "lesser")
+    lesser = ask(hit.mapInArrow(arrow.trimmed(claim), ASK), _lesser, given, _CLAIM).withColumnRenamed("replies", "lesser")
     schema = f"`{id_col}` bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept string, spans array<array<bigint>>" if with_text else "")
-    return hit.join(lesser, "batch", "left").mapInArrow(finish, schema)
+    return hit.join(lesser, "batch", "left").mapInArrow(arrow.trimmed(finish), schema)

@@ -434,11 +434,11 @@ def dedup(
     fields = {id_col: "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"}
     fields |= {"n_passage": "bigint"} if passage else {}
     fields |= {"kept": "binary", "kept_text": "string", "spans": "array<array<bigint>>"} if with_text else {}
-    known = replied(batches, ask(batches.select("batch", "notes").mapInArrow(first, ASK), _repeating, given, "<u4"), "anchors")
-    known = replied(known, ask(known.mapInArrow(second, ASK), partial(_shared, most=hot, kind=kind), given, kind, 4), "cores")
-    sent = known.mapInArrow(third, _SENT).repartition(max(given.n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "part").sortWithinPartitions("part")
-    settled = sent.mapInArrow(settle, "part int, batch bigint, reply binary").groupBy("batch").agg(F.collect_list(F.struct("part", "reply")).alias("replies"))
-    return replied(known, settled, "repeats").mapInArrow(finish, ", ".join(f"`{name}` {kind_}" for name, kind_ in fields.items()))
+    known = replied(batches, ask(batches.select("batch", "notes").mapInArrow(arrow.trimmed(first), ASK), _repeating, given, "<u4"), "anchors")
+    known = replied(known, ask(known.mapInArrow(arrow.trimmed(second), ASK), partial(_shared, most=hot, kind=kind), given, kind, 4), "cores")
+    sent = known.mapInArrow(arrow.trimmed(third), _SENT).repartition(max(given.n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "part").sortWithinPartitions("part")
+    settled = sent.mapInArrow(arrow.trimmed(settle), "part int, batch bigint, reply binary").groupBy("batch").agg(F.collect_list(F.struct("part", "reply")).alias("replies"))
+    return replied(known, settled, "repeats").mapInArrow(arrow.trimmed(finish), ", ".join(f"`{name}` {kind_}" for name, kind_ in fields.items()))
 
 
 def without_repeats(docs: DataFrame, need: int = 400, text_col: str = "text") -> DataFrame:

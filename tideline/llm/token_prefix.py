@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import arrow
+
 SPACE = "▁"
 #: Texts that a model with any normalisation of its own spells otherwise: ligatures, wide letters, marks apart, odd and repeated spaces.
 PROBES = ("x", " ﬁ Ａ e\u0301  x\ty\n\n z ", "½²\u00a0\u3000Å\u212b", "  ", "\u200b.\ufeff")
@@ -215,4 +217,4 @@ def count_tokens(
                     cols.append(pa.array([[int(np.flatnonzero(g <= x)[-1]) for x in budgets] for g in got], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
 
-    return docs.select(F.col(id_col), F.col(text_col), F.octet_length(text_col).cast("bigint").alias("_bytes")).mapInArrow(run, T.StructType(fields))
+    return docs.select(F.col(id_col), F.col(text_col), F.octet_length(text_col).cast("bigint").alias("_bytes")).mapInArrow(arrow.trimmed(run), T.StructType(fields))
