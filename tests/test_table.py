@@ -1,5 +1,6 @@
 """SortedTable against a dict, and its edges."""
 
+import bisect
 import math
 import random
 from types import SimpleNamespace
@@ -248,6 +249,27 @@ def _constant(rows, g, x, up, lower, strict):
     return fit[-1] if fit else None
 
 
+def _neighbours_in_linear_time(spark, up, lower, strict):
+    """Wide gaps, so that whole partitions hold no table row; no frame may end with its partition, as Spark reads such a frame once for each row."""
+    keys = [float(k) for k in (*range(0, 300, 3), *range(20_000, 20_300, 3))]
+    t = SortedTable(spark.createDataFrame([(k, int(k)) for k in keys], "k double, v int"), KeySpec.of(Key("k", ascending=up)))
+    probes = [(i, i - 5.0) for i in range(20_400)]
+    out = t.asof(spark.createDataFrame(probes, "i int, at double"), "k", "at", [], ["v"], "lower" if lower else "higher", strict)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().analyzed().toString().lower()
+    got = {r.i: r.v for r in out.collect()}
+    if up == lower:
+        want = {i: bisect.bisect_left(keys, x) if strict else bisect.bisect_right(keys, x) for i, x in probes}
+        assert got == {i: keys[n - 1] if n else None for i, n in want.items()}
+    else:
+        want = {i: bisect.bisect_right(keys, x) if strict else bisect.bisect_left(keys, x) for i, x in probes}
+        assert got == {i: keys[n] if n < len(keys) else None for i, n in want.items()}
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_neighbours_after_in_a_descending_table_take_linear_time(spark, strict):
+    _neighbours_in_linear_time(spark, False, False, strict)
+
+
 def test_batch_neighbours_where_nulls_are_keys(spark):
     t = SortedTable(spark.createDataFrame([(None, 1), (3, 2), (5, 3)], "k int, v int"), KeySpec.of(Key("k", nulls="first"), allow_null=True))
     p = spark.createDataFrame([(0, None), (1, 4)], "i int, at int")

@@ -50,16 +50,15 @@ class Sweep:
         # groups go the way that the key goes, so that the last row of all is the largest or the smallest
         groups = [F.col(b).asc_nulls_first() if key.ascending else F.col(b).desc_nulls_last() for b in self.by]
         self.by_key = [*groups, *KeySpec((self.key,)).order(self.rows)]
-        table_first = self.before != strict
-        self.order = [*self.by_key, F.col("_side").asc() if table_first else F.col("_side").desc()]
+        # a sweep goes with the key for the rows before, against it for those after; at a probe's own key table rows come first if they fit
+        self.order = [*KeySpec((self.key,)).order(self.rows, reverse=not self.before), F.col("_side").desc() if strict else F.col("_side").asc()]
         self.floats = isinstance(kind, (T.DoubleType, T.FloatType))
         self.names = list(probes.columns)
 
     def hit(self, *by: str) -> Column:
+        """The last table row so far. Spark reads a frame that ends with the partition anew for each row, so both directions use one that begins with it."""
         w = Window.partitionBy(*by).orderBy(*self.order)
-        if self.before:
-            return F.last("_match", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        return F.first("_match", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        return F.last("_match", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
     def edge(self) -> Column:
         """The table row that is last (first) in the order, as an aggregate."""
@@ -112,8 +111,8 @@ def asof_global(
     dealt = materialize(dealt.withColumn("_part", F.spark_partition_id()), "asof")
     held = dealt.filter(F.col("_side") == 0).groupBy("_part").agg(sweep.edge().alias("_edge"))
     parts = spark.range(n).select(F.col("id").cast("int").alias("_part")).join(held, "_part", "left")
-    across = Window.orderBy("_part")
-    carry = F.last("_edge", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)) if sweep.before else F.first("_edge", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing))
+    across = Window.orderBy(F.col("_part").asc() if sweep.before else F.col("_part").desc())
+    carry = F.last("_edge", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
     carries = parts.select("_part", carry.alias("_carry"))
     swept = dealt.withColumn("_local", sweep.hit("_part", *sweep.by)).join(F.broadcast(carries), "_part")  # one row for each partition
     own = F.lit(True)
