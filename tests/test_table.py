@@ -270,6 +270,19 @@ def test_neighbours_after_in_a_descending_table_take_linear_time(spark, strict):
     _neighbours_in_linear_time(spark, False, False, strict)
 
 
+@pytest.mark.parametrize("strict", [True, False])
+def test_neighbours_after_in_an_ascending_table_take_linear_time(spark, strict):
+    _neighbours_in_linear_time(spark, True, False, strict)
+
+
+@pytest.mark.parametrize("skewed", [True, False])
+def test_neighbours_after_within_a_group_take_linear_time(spark, skewed):
+    t = SortedTable(spark.range(0, 4000, 4).selectExpr("0 g", "id k", "id v"), KeySpec.of("g", "k"))
+    out = t.asof(spark.range(5000).selectExpr("0 g", "id at"), "k", "at", ["g"], ["v"], "higher", True, skewed)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().analyzed().toString().lower()
+    assert {r.at: r.v for r in out.collect()} == {x: (x // 4 + 1) * 4 if x < 3996 else None for x in range(5000)}
+
+
 def test_batch_neighbours_where_nulls_are_keys(spark):
     t = SortedTable(spark.createDataFrame([(None, 1), (3, 2), (5, 3)], "k int, v int"), KeySpec.of(Key("k", nulls="first"), allow_null=True))
     p = spark.createDataFrame([(0, None), (1, 4)], "i int, at int")
